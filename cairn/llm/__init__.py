@@ -1,0 +1,4 @@
+"""Operators for large training-data pipelines: text, pages, conversations and archives.
+
+Nothing outside this subpackage imports it.
+"""
