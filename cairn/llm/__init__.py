@@ -1,4 +1,11 @@
 """Operators for large training-data pipelines: text, pages, conversations and archives.
 
-Nothing outside this subpackage imports it.
+Nothing outside this subpackage imports it. Functions that run in tasks are sent with their code, so
+executors need no copy of this package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.llm import q_core
+from cairn.llm import q_core, q_pages
 
-MODULES = (q_core,)
+MODULES = (q_core, q_pages)
 
 
 def queries() -> dict:

@@ -102,13 +102,14 @@ def labelled(labels: DataFrame, *, per_class: int, modulus: int = 5, held_out: i
     return pick(1).unionByName(pick(0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest: int = 4, longest: int = 10, support: int = 3, evidence: float = 15.0, most: int = 4096) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest: int = 4, longest: int = 10, support: int = 3, evidence: float = 6.0, most: int = 4096) -> Lexicon:
     """A lexicon from the training fold of ``labels``.
 
     The classifier is fitted on a bounded sample: at most ``per_class`` documents of either label, so the
     sample's ids are broadcast. Candidates are folded words and their prefixes; each task counts those of
     its own documents, Spark adds them up, and those that occur in ``support`` toxic documents and lean
-    to them with a log-likelihood ratio over ``evidence`` stay, at most ``most``. Of candidates that
+    to them with a log-likelihood ratio over ``evidence`` plus twice the logarithm of the number of
+    candidates (so that chance passes few of however many) stay, at most ``most``. Of candidates that
     extend each other the one with most evidence is taken, the longest of equals.
     """
     sample = F.broadcast(labelled(labels, per_class=per_class))  # at most 2 * per_class ids
@@ -138,6 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
         counts.unpersist()
         return Lexicon()
     big_t, big_c = totals["t"], totals["c"]
+    evidence += 2 * math.log(max(1, counts.count()))
 
     def part(x, of, share):
         return F.when(x > 0, x * F.log(x / (F.lit(float(of)) * share))).otherwise(0.0)
