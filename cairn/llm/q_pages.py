@@ -1,11 +1,11 @@
-"""Queries on conversations and pages: chat formatting, URL filters."""
+"""Queries on conversations and pages: chat formatting, URL filters, WARC archives."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import chat, urls
-from cairn.llm.common import table
+from cairn.llm import chat, urls, warc
+from cairn.llm.common import scratch, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,22 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_urls": op5_urls}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.inventory(spark, path)
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op1_chat": op1_chat, "op5_urls": op5_urls, "op7_warc": op7_warc}
+
+ORACLES = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS head FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> head THEN head END AS refers_to
+FROM g
+""",
+}

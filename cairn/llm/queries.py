@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.llm import q_core, q_pages
+from cairn.llm import q_core, q_models, q_pages
 
-MODULES = (q_core, q_pages)
+MODULES = (q_core, q_pages, q_models)
 
 
 def queries() -> dict:
