@@ -1,0 +1 @@
+"""Cohort, vector and evaluation operators on Spark DataFrames."""
