@@ -13,8 +13,11 @@ def mae(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", baseline
     """(by, n, mae, baseline_mae): the baseline predicts the mean of the scored group, or a given train mean."""
     if baseline is not None:
         rows, base = df, F.lit(float(baseline))
-    else:
-        rows, base = df.withColumn("_m", F.avg(y).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))), F.col("_m")
+    else:  # means first, a row per group, then joined: no group is gathered in one task
+        means = df.groupBy(*by).agg(F.avg(y).alias("_m")) if by else df.agg(F.avg(y).alias("_m"))
+        means = means.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_m")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
+        rows, base = (df.join(means, same) if by else df.withColumn("_k", F.lit(1)).join(means.withColumn("_k", F.lit(1)), "_k")), F.col("_m")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(pred) - F.col(y))).alias("mae"), F.avg(F.abs(base - F.col(y))).alias("baseline_mae"))
 
 

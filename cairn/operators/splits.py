@@ -6,22 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Subjects of a bucket of the shuffled order; ranks are counted per bucket first.
-BUCKETS = 1 << 12
-
 
 def shuffled(key: str, seed: int) -> Column:
     """A text that puts keys in a random order, the same in every engine that has md5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def global_rank(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds rank, from 1, in the order of a hex digest. Bucket counts are summed up first; no task sees all rows."""
+def global_rank(df: DataFrame, order: str, by: str | None = None, ties: str | None = None) -> DataFrame:
+    """Adds rank, from 1, and total, the number of rows, in the order of a hex digest, for all rows or per value of ``by``.
+
+    Counts per bucket of the digest's first digits are summed up first, so no task sees all rows of a value.
+    """
+    own = [by] if by else []
     rows = df.withColumn("_b", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))
-    base = counts.select("_b", F.coalesce(F.sum("_k").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(W.partitionBy("_b").orderBy(order))
-    return rows.withColumn("_r", inside).join(F.broadcast(base), "_b").withColumn("rank", F.col("_base") + F.col("_r")).drop("_b", "_r", "_base")  # at most 4,096 rows
+    counts = rows.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    part = W.partitionBy(*own) if by else W.partitionBy(F.lit(0))
+    before = F.sum("_k").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.select(*[F.col(c).alias("_by") for c in own], F.col("_b").alias("_bucket"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_k").over(part).alias("total"))
+    inside = F.row_number().over(W.partitionBy(*own, "_b").orderBy(order, *([ties] if ties else [])))
+    same = F.col("_b") == F.col("_bucket")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("_by"))
+    ranked = rows.withColumn("_r", inside).join(base, same).withColumn("rank", F.col("_base") + F.col("_r"))
+    return ranked.select(*df.columns, "rank", "total")
 
 
 def subject_split(df: DataFrame, subject: str = "subject_id", fractions=(0.7, 0.1, 0.2), seed: int = 42) -> DataFrame:
@@ -38,10 +45,9 @@ def subject_split(df: DataFrame, subject: str = "subject_id", fractions=(0.7, 0.
 
 def stratified_mask(df: DataFrame, gate: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Adds is_train: of each class, in shuffled order, the first round(fraction * n)."""
-    rows = df.withColumn("_o", shuffled(key, seed))
-    by = W.partitionBy(gate)
+    ranked = global_rank(df.withColumn("_o", shuffled(key, seed)), "_o", gate, key)
     # round half to even, as the cut on the driver would be
-    return rows.withColumn("is_train", F.row_number().over(by.orderBy("_o", key)) <= F.bround(F.count(F.lit(1)).over(by) * F.lit(fraction))).drop("_o")
+    return ranked.withColumn("is_train", F.col("rank") <= F.bround(F.col("total") * F.lit(fraction))).select(*df.columns, "is_train")
 
 
 def leaking_subjects(df: DataFrame, subject: str = "subject_id", split: str = "split") -> DataFrame:
