@@ -903,3 +903,79 @@ _SUMMARY = ", ".join(f"count(*) FILTER ({n}_gate) AS {n}_positive, " + ", ".join
 @query(with_views(f"SELECT count(*) AS n_notes, count(DISTINCT subject_id) AS n_patients, {_SUMMARY} FROM gated WHERE any_label", "diagnoses", more=_GATED))
 def extraction_summary(spark, d):
     return text.extraction_summary(_gated(spark, d).where("any_label"), "subject_id")
+
+
+@query(
+    with_views(
+        f"""
+SELECT note_id, stay_id, record_id, {', '.join(f'coalesce(has_{n}, 0) AS has_{n}' for n in text.CODES)} FROM notes n
+JOIN (SELECT stay_id, record_id FROM stays s JOIN records r ON s.subject_id = r.subject_id AND record_ts BETWEEN start_ts AND end_ts
+      QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY abs(date_diff('second', start_ts, record_ts)), record_ts, record_id) = 1) p ON n.note_id = p.stay_id
+LEFT JOIN (SELECT stay_id, {_FLAGS} FROM diagnoses GROUP BY stay_id) f USING (stay_id)
+WHERE contains(lower(text), 'aortic valve') OR contains(lower(text), 'mitral valve') OR contains(lower(text), 'tricuspid valve') OR contains(lower(text), 'echocardiogram')""",
+        "notes",
+        "stays",
+        "records",
+        "diagnoses",
+    )
+)
+def notes_with_records(spark, d):
+    near = pairing.nearest_to_start(V.stays(spark, d), V.records(spark, d), on="subject_id", span_id="stay_id", start="start_ts", end="end_ts", record_ts="record_ts", record_id="record_id")
+    notes = V.notes(spark, d).withColumn("stay_id", F.col("note_id"))
+    out = text.notes_with_records(notes, near.select("stay_id", "record_id"), text.code_flags(V.diagnoses(spark, d)))
+    return out.select("note_id", "stay_id", "record_id", *[f"has_{n}" for n in text.CODES])
+
+
+@query(with_views("SELECT note_id, [as_gate, mr_gate, tr_gate] AS flags, [coalesce(as_grade, -1), coalesce(mr_grade, -1), coalesce(tr_grade, -1)] AS grades FROM gated", "diagnoses", more=_GATED))
+def label_arrays(spark, d):
+    flags, grades = S.label_array(["as_gate", "mr_gate", "tr_gate"], ["as_grade", "mr_grade", "tr_grade"])
+    return _gated(spark, d).select("note_id", flags.alias("flags"), grades.alias("grades"))
+
+
+_MASKED = "CASE WHEN vec_id % 3 <> 0 AND vec_id % 7 <> 0 THEN a ELSE list_transform(range(32), lambda x: CAST(0 AS DOUBLE)) END"
+
+
+@query(with_views(f"SELECT vec_id, vec_id % 3 <> 0 AND vec_id % 7 <> 0 AS has_a, {_MASKED} AS a, list_sum(b) / 32 AS mean_b, 8 AS n_tokens FROM vectors", "vectors"))
+def modality_masks(spark, d):
+    rows = V.vectors(spark, d).withColumn("a", F.expr("CASE WHEN vec_id % 7 <> 0 THEN a END"))
+    keep = F.expr("vec_id % 3 <> 0")
+    out = rows.select("vec_id", (keep & F.col("a").isNotNull()).alias("has_a"), S.masked("a", keep, 32).cast("array<double>").alias("a"), S.mean_of("b").alias("mean_b"), S.tile("b", 8).alias("tokens"))
+    return out.select("vec_id", "has_a", "a", "mean_b", F.size("tokens").alias("n_tokens"))
+
+
+@query("SELECT o_orderkey, vec_id, label FROM (SELECT o_orderkey, o_custkey FROM orders) LEFT JOIN (SELECT vec_id, label FROM embeddings) ON o_custkey = vec_id")
+def join_canonical(spark, d):
+    left = V._t(spark, d, "orders").selectExpr("o_orderkey", "concat('files/p1/s', o_custkey) AS ref")
+    right = V._t(spark, d, "embeddings").selectExpr("concat('x/rec', vec_id) AS ref2", "vec_id", "label")
+    return joins.join_canonical(left, right, "ref", "ref2").select("o_orderkey", "vec_id", "label")
+
+
+@query(with_views("SELECT o_orderkey AS study, o_custkey AS record, v.a[1] AS a1, w.b[1] AS b1 FROM orders JOIN vectors v ON o_orderkey = v.vec_id JOIN vectors w ON o_custkey = w.vec_id", "vectors"))
+def join_three(spark, d):
+    v = V.vectors(spark, d)
+    rows = V._t(spark, d, "orders").selectExpr("o_orderkey AS study", "o_custkey AS record")
+    out = joins.join_three(rows, v.selectExpr("vec_id AS study", "a"), v.selectExpr("vec_id AS record", "b"), "study", "record")
+    return out.select("study", "record", F.col("a")[0].alias("a1"), F.col("b")[0].alias("b1"))
+
+
+@query("SELECT o.o_orderkey, e.event_id FROM orders o LEFT JOIN events e ON o.o_custkey = e.user_id AND e.event_type = 'signup'")
+def subject_fanout(spark, d):
+    left = V._t(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS subject_id")
+    right = V._t(spark, d, "events").where("event_type = 'signup'").selectExpr("user_id AS subject_id", "event_id")
+    return joins.join_m2o(left, right, ["subject_id"], allow_fanout=True).select("o_orderkey", "event_id")
+
+
+@query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return joins.duplicate_keys(V._t(spark, d, "orders").selectExpr("o_custkey AS key"), ["key"])
+
+
+@query(with_views("SELECT study_id, record_id, label FROM manifest WHERE split = 'train' AND a IS NOT NULL AND b IS NOT NULL", "vectors", more=_MANIFEST))
+def split_view(spark, d):
+    out = tables.split_view(_manifest(spark, d), "train", ["a", "b"], ["study_id", "record_id", "label"])
+    return out.select("meta.study_id", "meta.record_id", "meta.label")
+
+
+@query(with_views("SELECT CAST(sum(CAST('0x' || substr(md5(i::VARCHAR), 1, 12) AS BIGINT)) AS VARCHAR) AS sum_hash, count(*) AS n FROM (SELECT DISTINCT subject_id AS i FROM studies)", "studies"))
+def set_fingerprint(spark, d):
+    return splits.fingerprint(V.studies(spark, d), "subject_id")
