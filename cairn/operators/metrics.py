@@ -139,8 +139,9 @@ def draws(df: DataFrame, by: list[str], key: str, b: int, seed: int) -> DataFram
     part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     rows = df.withColumn("_i", F.row_number().over(part.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_i").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
-    picks = rows.select(*by, "_i", "_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_pick", F.pmod(h, F.col("_n")))
-    weights = picks.groupBy(*by, "replicate", F.col("_pick").alias("_i")).agg(F.count(F.lit(1)).alias("weight"))
+    picks = rows.select(*by, "_i", "_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(*by, "replicate", F.pmod(h, F.col("_n")).alias("_i"))
+    # dealt by row once, for both the count of draws and the join
+    weights = picks.repartition(*by, "_i").groupBy(*by, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
     return weights.join(rows.drop("_n"), [*by, "_i"]).drop("_i")
 
 
@@ -160,9 +161,14 @@ def bootstrap_ci(df: DataFrame, by: list[str], *, key: str = "example_id", y: st
     """Percentile intervals of MAE and AUROC per group, with how many replicates had no AUROC (``mode`` exact or poisson)."""
     rows = draws(df, by, key, b, seed) if mode == "exact" else poisson_weights(df, key, b, seed)
     keys = [*by, "replicate"]
-    errors = rows.groupBy(*keys).agg((F.sum(F.abs(F.col(pred) - F.col(y)) * F.col("weight")) / F.sum("weight")).alias("mae"))
-    ranks = auroc(rows.withColumn("_score", -F.col(pred)), keys, gate, "_score", "weight")
-    both = errors.join(ranks.select(*keys, "auroc"), keys, "left")
+    # both metrics from one table of sums per replicate and score
+    w = F.col("weight")
+    counts = rows.groupBy(*keys, (-F.col(pred).cast("double") + 0.0).alias("_s")).agg(
+        F.sum(F.when(F.col(gate), w).otherwise(0)).alias("pos"), F.sum(F.when(~F.col(gate), w).otherwise(0)).alias("neg"), F.sum(F.abs(F.col(pred) - F.col(y)) * w).alias("e"), F.sum(w).alias("w")
+    )
+    below = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("_b", below).groupBy(*keys).agg((F.sum("e") / F.sum("w")).alias("mae"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("_b") + F.col("neg") * 0.5)).alias("_u"))
+    both = sums.withColumn("auroc", F.try_divide(F.col("_u").cast("double"), F.col("p").cast("double") * F.col("n")))
     lo, hi = alpha / 2, 1 - alpha / 2
     return both.groupBy(*by).agg(
         F.percentile("mae", F.lit(lo)).alias("mae_lo"), F.percentile("mae", F.lit(hi)).alias("mae_hi"), F.percentile("auroc", F.lit(lo)).alias("auroc_lo"), F.percentile("auroc", F.lit(hi)).alias("auroc_hi"),
