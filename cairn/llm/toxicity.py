@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold
+from cairn.llm.common import cut, fold
 
 # Characters that look like a Latin letter, by alphabet, and digits that stand for letters. Fixed values.
 HOMOGLYPHS = {
@@ -102,7 +102,7 @@ def labelled(labels: DataFrame, *, per_class: int, modulus: int = 5, held_out: i
     return pick(1).unionByName(pick(0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest: int = 4, longest: int = 10, support: int = 3, evidence: float = 6.0, most: int = 4096) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest: int = 4, longest: int = 10, support: int = 3, evidence: float = 6.0, most: int = 4096, rounds: int = 8) -> Lexicon:
     """A lexicon from the training fold of ``labels``.
 
     The classifier is fitted on a bounded sample: at most ``per_class`` documents of either label, so the
@@ -110,35 +110,50 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
     its own documents, Spark adds them up, and those that occur in ``support`` toxic documents and lean
     to them with a log-likelihood ratio over ``evidence`` plus twice the logarithm of the number of
     candidates (so that chance passes few of however many) stay, at most ``most``. Of candidates that
-    extend each other the one with most evidence is taken, the longest of equals.
+    extend each other the one with most evidence is taken, the longest of equals. The strongest are taken first;
+    the next round counts only toxic documents that nothing taken explains, so words that copies of one
+    document share with an insult are not learned along with it.
     """
     sample = F.broadcast(labelled(labels, per_class=per_class))  # at most 2 * per_class ids
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic").where("text is not null")
+    texts = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic").where("text is not null"))
+    totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals.get(1) or not totals.get(0):
+        return Lexicon()
+    stems: dict[str, float] = {}
+    for _ in range(rounds):
+        found = _stems(texts, stems, shortest, longest, support, evidence, most, totals)
+        if not found:
+            break
+        stems |= found
+    return _scaled(texts, Lexicon(stems, _exceptions(texts, stems)))
+
+
+def _stems(texts: DataFrame, known: dict[str, float], shortest: int, longest: int, support: int, evidence: float, most: int, totals: dict[int, int], strong: float = 0.1) -> dict[str, float]:
+    """The strongest new stems and their weights, from clean documents and toxic ones without a known stem."""
+    lexicon = Lexicon(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
-        n = [0, 0]
+        toxic, clean, automaton = Counter(), Counter(), lexicon.automaton()
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set()
+                if label and known and weigh(automaton, text)[1]:
+                    continue
+                seen = {""}
                 for w in folded_words(text):
                     seen.update(w[:k] for k in range(shortest, min(longest, len(w) - 1) + 1))
                     seen.add(w + " ")
                 (toxic if label else clean).update(seen)
-                n[bool(label)] += 1
-        toxic[""], clean[""] = n[1], n[0]
         keys = sorted(toxic.keys() | clean.keys())
         for i in range(0, len(keys), 50_000):
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["stem", "t", "c"])
 
     counts = texts.mapInArrow(count, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = counts.where((F.col("t") >= support) | (F.col("stem") == "")).persist()
-    totals = counts.where("stem = ''").first()
-    if totals is None or not totals["t"] or not totals["c"]:
-        counts.unpersist()
-        return Lexicon()
-    big_t, big_c = totals["t"], totals["c"]
+    counts = cut(counts.where((F.col("t") >= support) | (F.col("stem") == "")))
+    whole = counts.where("stem = ''").first()
+    if whole is None or not whole["t"]:
+        return {}
+    big_t, big_c = whole["t"], whole["c"]
     evidence += 2 * math.log(max(1, counts.count()))
 
     def part(x, of, share):
@@ -150,15 +165,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
     ratio = 2 * (part(t, big_t, share) + part(c, big_c, share) + part(big_t - t, big_t, rest) + part(big_c - c, big_c, rest))
     leaning = counts.where("stem <> ''").withColumn("g", ratio).where((F.col("g") >= evidence) & (t / big_t > 4 * c / big_c))
     rows = leaning.orderBy(F.desc("g"), F.desc(F.length("stem")), "stem").limit(most).collect()  # at most ``most`` rows: the model
-    counts.unpersist()
     stems: dict[str, float] = {}
     for r in rows:
         stem = r["stem"].rstrip()
-        if len(stem) < 3 or any(stem.startswith(s) or s.startswith(stem) for s in stems):
+        if r["g"] < strong * rows[0]["g"] or len(stem) < 3 or any(stem.startswith(s) or s.startswith(stem) for s in (*stems, *known)):
             continue
-        stems[stem] = math.log((r["t"] + 0.5) / (big_t + 1)) - math.log((r["c"] + 0.5) / (big_c + 1))
-    lexicon = Lexicon(stems, _exceptions(texts, stems))
-    return _scaled(texts, lexicon)
+        stems[stem] = math.log((r["t"] + 0.5) / (totals[1] + 1)) - math.log((r["c"] + 0.5) / (totals[0] + 1))
+    return stems
 
 
 def _exceptions(texts: DataFrame, stems: dict[str, float], most: int = 1000) -> tuple[str, ...]:
