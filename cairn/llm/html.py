@@ -378,8 +378,12 @@ def _laid_out(rng: random.Random, main: list[tuple[str, str]], strangers: list[s
 
 def learn(pages: DataFrame, *, sample: int = 240, longest: int = 30_000, seed: int = 11) -> Crf:
     """A field fitted on at most ``sample`` pages that mark their article, of at most ``longest`` characters, chosen by a hash of the id."""
-    marked = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.length("html") <= longest).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()  # at most sample * longest characters
+    marked = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.col("page_id").isNotNull() & (F.length("html") <= longest)).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    marked = marked.withColumn("h", F.xxhash64("html"))
+    # ids first: what the tasks send to the driver are ids, and then the chosen pages alone
+    chosen = marked.select("page_id", "h").distinct().orderBy(F.xxhash64("page_id"), "page_id", "h").limit(sample)
+    found = marked.join(F.broadcast(chosen), ["page_id", "h"]).select(F.xxhash64("page_id").alias("o"), "page_id", "h", "html").distinct().collect()  # at most sample * longest characters
+    rows = sorted(found, key=lambda r: (r["o"], r["page_id"], r["h"]))
     pool = [b.text for r in rows for b in blocks_of(r["html"]) if not any(t in ("article", "main") for t, _ in b.path)]
     prose = [b.text for r in rows[:40] for b in blocks_of(r["html"]) if len(b.text) < 400]
     data = []
