@@ -61,6 +61,7 @@ def test_search_equals_brute_force_on_the_table(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 90)
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)
     monkeypatch.setattr(search, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(search, "SHARDS_AT_ONCE", 1)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     queries = [d for d in docs if d[0] % 20 == 0]
     same(found(spark, docs, queries, 7), brute_search(docs, queries, 7))
@@ -78,15 +79,15 @@ def test_pruned_index_equals_full_sums():
     texts = [np.minimum(rng.zipf(1.3, rng.integers(0, 400)) - 1, 4999).astype(np.int32) for _ in range(3000)]
     index = search.Index(np.arange(5000, dtype=np.int64), texts, 200.0)
     assert len(index.dense) > 10
-    for i in range(60):
-        terms = np.unique(texts[i])
-        weights = np.log(1 + 3000 / (index.df[terms] + 0.5))
-        if not len(terms):
-            continue
-        full = index.postings(terms, weights)
-        docs, scores = index.top(terms, weights, 10)
-        best = np.sort(full)[-10:]
-        assert np.sort(scores)[-10:] == pytest.approx(best[best > 0], abs=1e-8)
+    queries = [(t, np.log(1 + 3000 / (index.df[t] + 0.5))) for t in (np.unique(texts[i]) for i in range(60)) if len(t)]
+    full = [index.exact(t, w, np.arange(3000)) for t, w in queries]
+    for level in (0, 10, 1):
+        thresholds = np.array([0.0 if not level else np.sort(f)[-level] for f in full])
+        got = dict(index.candidates(queries, thresholds, 10))
+        for i, f in enumerate(full):
+            best = np.sort(f)[-10:]
+            want = set(np.flatnonzero((f >= best[0]) & (f >= thresholds[i]) & (f > 0)).tolist())
+            assert want <= set(got.get(i, np.empty(0, int)).tolist())
 
 
 # WARC --------------------------------------------------------------------------------------------
