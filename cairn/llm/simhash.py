@@ -155,14 +155,16 @@ def unsigned_hex(fp):
 # Near-duplicates by similarity -------------------------------------------------------------------
 
 
-def wide_links(prints: DataFrame, *, words: int, block_bits: int = 20, max_share: float = 0.165, first_bits: int = 21, cap: int = 48) -> DataFrame:
+def wide_links(prints: DataFrame, *, words: int, block_bits: int = 24, max_share: float = 0.165, first_bits: int = 21, cap: int = 8, rounds: int = 2) -> DataFrame:
     """Links (a, b) between rows of ``prints`` (node, fp, wide) whose wide fingerprints differ in at most ``max_share`` of the bits.
 
     The wide fingerprint is cut into blocks of ``block_bits``; rows that share a block are candidates, are
     screened by the first 64 bits (at most ``first_bits`` differ) and verified over all bits. A block
-    shared by more than ``cap`` rows is not joined with itself: its rows are split again by each other
-    block of a coarser set, and there each row is compared with its neighbours in the order of the
-    fingerprint and with the least row, so the comparisons grow with the rows alone.
+    shared by more than ``cap`` rows is not joined with itself: its rows are compared with the row nearest
+    to the block's majority of bits, which in a group of copies is the original. Rows that this links to nothing are
+    dealt out once more among themselves, in the same way; after ``rounds`` of it, those still alone in
+    crowded blocks are compared with their neighbours in the order of the fingerprint. So comparisons grow with the
+    rows, and no row is left out.
     """
     n = words * 64 // block_bits
 
@@ -182,34 +184,56 @@ def wide_links(prints: DataFrame, *, words: int, block_bits: int = 20, max_share
     keyed = prints.select("node", "fp", "wide").mapInArrow(keys, "node long, fp long, key long")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keyed.join(sizes, "key"))
-    small = shared.where(F.col("n") <= cap).select("key", "node", "fp")
-    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    pairs = (
-        small.join(small.select("key", F.col("node").alias("node2"), F.col("fp").alias("fp2")), "key")
-        .where((F.col("node") > F.col("node2")) & (differ <= first_bits))
-        .select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    )
-    return _verified(prints, pairs.union(_chained(shared.where(F.col("n") > cap).select("key", "node", "fp"), first_bits)), words, max_share)
+    links = cut(_verified(prints, _paired(shared.where(F.col("n") <= cap), first_bits), words, max_share))
+    rest = shared.where(F.col("n") > cap)
+    for _ in range(rounds):
+        more = cut(_verified(prints, _centred(rest, first_bits), words, max_share))
+        links = links.union(more)
+        told = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
+        left = rest.drop("n").join(told, "node", "left_anti")
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        left = cut(left.join(sizes, "key"))
+        links = links.union(_verified(prints, _paired(left.where(F.col("n") <= cap), first_bits), words, max_share))
+        rest = left.where(F.col("n") > cap)
+    return links.union(_verified(prints, _neighbours(rest, first_bits), words, max_share))
+
+
+def _differ(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _chained(crowded: DataFrame, first_bits: int) -> DataFrame:
-    """Candidates of crowded blocks: in each block and each 16-bit slice, neighbours in sorted order, and the slice's least row."""
+def _paired(rows: DataFrame, first_bits: int) -> DataFrame:
+    """Candidates of small blocks: all pairs."""
+    rows = rows.select("key", "node", "fp")
+    pairs = rows.join(rows.select("key", F.col("node").alias("node2"), F.col("fp").alias("fp2")), "key")
+    return pairs.where((F.col("node") > F.col("node2")) & (_differ("fp", "fp2") <= first_bits)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
+def _centred(rows: DataFrame, first_bits: int, best: int = 2, most: int = 6) -> DataFrame:
+    """Candidates of crowded blocks: each row with the rows nearest to the majority of its ``most`` largest blocks, the ``best`` nearest of these.
+
+    In a group of copies the largest blocks are those that hold the original; what this leaves unlinked is dealt with in the next round.
+    """
+    largest = F.slice(F.sort_array(F.collect_set(F.struct("n", "key")), asc=False), 1, most)  # of at most one entry per block of the row
+    rows = rows.groupBy("node").agg(F.min("fp").alias("fp"), largest.alias("k")).select("node", "fp", F.explode("k").alias("k")).select("k.key", "node", "fp")
+    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ones)
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    centres = sums.select("key", F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("centre"))
+    heads = rows.join(centres, "key").groupBy("key").agg(F.min(F.struct(_differ("fp", "centre").alias("d"), F.col("node"), F.col("fp"))).alias("h"))
+    near = rows.join(heads.select("key", F.col("h.node").alias("node2"), F.col("h.fp").alias("fp2")), "key").where("node <> node2")
+    near = near.withColumn("d", _differ("fp", "fp2")).where(F.col("d") <= first_bits)
+    picked = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "node2"))), 1, best).alias("p"))  # at most one per block of the row
+    picked = picked.select("node", F.explode("p").alias("p")).select("node", F.col("p.node2").alias("node2"))
+    return picked.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b"))
+
+
+def _neighbours(rows: DataFrame, first_bits: int) -> DataFrame:
     from pyspark.sql import Window as W
 
-    slices = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)]))
-    rows = crowded.select("key", "node", "fp", slices.alias("s")).select("key", "node", "fp", "s.i", "s.v")
-    order = W.partitionBy("key", "i", "v").orderBy("fp", "node")
-    least = rows.groupBy("key", "i", "v").agg(F.min(F.struct("node", "fp")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    to_least = rows.join(least, ["key", "i", "v"]).select("node", "fp", F.col("h.node").alias("node2"), F.col("h.fp").alias("fp2"))
-    near = [rows.select("node", "fp", F.lag("node", k).over(order).alias("node2"), F.lag("fp", k).over(order).alias("fp2")) for k in (1, 2, 3)]
-    # and the block's own least row, for rows whose slices all differ
-    head = crowded.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("h"))
-    to_head = crowded.join(head, "key").select("node", "fp", F.col("h.node").alias("node2"), F.col("h.fp").alias("fp2"))
-    found = to_least.union(to_head)
-    for x in near:
-        found = found.union(x.where("node2 is not null"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= first_bits
-    return found.where((F.col("node") != F.col("node2")) & close).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b"))
+    order = W.partitionBy("key").orderBy("fp", "node")
+    near = rows.select("node", "fp", F.lag("node").over(order).alias("node2"), F.lag("fp").over(order).alias("fp2")).where("node2 is not null")
+    return near.where(_differ("fp", "fp2") <= first_bits).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b"))
 
 
 def _verified(prints: DataFrame, pairs: DataFrame, words: int, max_share: float) -> DataFrame:
@@ -230,10 +254,10 @@ def _verified(prints: DataFrame, pairs: DataFrame, words: int, max_share: float)
     return joined.mapInArrow(verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, words: int = 20, max_share: float = 0.165) -> DataFrame:
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, words: int = 30, max_share: float = 0.165) -> DataFrame:
     """(doc_id, component_id): groups of documents whose shingles are similar, by wide SimHash fingerprints.
 
-    With 1,280 bits, the share of differing bits is the angle between the shingle counts within about one
+    With 1,920 bits, the share of differing bits is the angle between the shingle counts within about one
     hundredth: 0.152 for texts whose shingle sets have a Jaccard similarity of 0.8. Rows, nulls and
     empty texts are treated as in ``simhash_groups``; texts without words form one group.
     """
