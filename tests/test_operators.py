@@ -444,7 +444,7 @@ def test_profile_and_readiness(spark):
 
 def test_vector_cache(spark, tmp_path):
     c = cache.VectorCache(spark, str(tmp_path / "cache"), "a", "v1")
-    rows = lambda *ids: spark.createDataFrame([(i, [float(len(i)), x]) for x, i in enumerate(ids, 1)], "id string, embedding array<double>")
+    rows = lambda *ids: spark.createDataFrame([(i, [float(len(i)), float(x)]) for x, i in enumerate(ids, 1)], "id string, embedding array<double>")
     assert c.read().count() == 0 and not c.has("b")
     c.append(rows("b", "aa"))
     assert [r["id"] for r in c.keys().collect()] == ["aa", "b"] and c.has("b")
