@@ -155,85 +155,134 @@ def unsigned_hex(fp):
 # Near-duplicates by similarity -------------------------------------------------------------------
 
 
-def wide_links(prints: DataFrame, *, words: int, block_bits: int = 24, max_share: float = 0.165, first_bits: int = 21, cap: int = 8, rounds: int = 2) -> DataFrame:
-    """Links (a, b) between rows of ``prints`` (node, fp, wide) whose wide fingerprints differ in at most ``max_share`` of the bits.
+def wide_links(prints: DataFrame, *, words: int, block_bits: int = 24, max_share: float = 0.165, first_bits: int = 21, cap: int = 8) -> DataFrame:
+    """Links (a, b) that connect the rows of ``prints`` (node, fp, wide) whose wide fingerprints share a block and differ in at most ``max_share`` of the bits.
 
     The wide fingerprint is cut into blocks of ``block_bits``; rows that share a block are candidates, are
-    screened by the first 64 bits (at most ``first_bits`` differ) and verified over all bits. A block
-    shared by more than ``cap`` rows is not joined with itself: its rows are compared with the row nearest
-    to the block's majority of bits, which in a group of copies is the original. Rows that this links to nothing are
-    dealt out once more among themselves, in the same way; after ``rounds`` of it, those still alone in
-    crowded blocks are compared with their neighbours in the order of the fingerprint. So comparisons grow with the
-    rows, and no row is left out.
+    screened by the first 64 bits (at most ``first_bits`` differ) and verified over all bits. Rows of a block of
+    over ``cap`` are first compared with the row nearest to the block's majority of bits, which in a group of
+    copies is the original. The components of all links found so far then tell which pairs are left: those of
+    a crowded block that lie in different components are all compared, however many rows the block has. So
+    two rows that share a block end in one component if they are close, whatever the block's size.
     """
-    n = words * 64 // block_bits
+    keyed = _dealt(prints.select("node", "fp", "wide").mapInArrow(_keys(np.arange(words * 64 // block_bits * block_bits).reshape(-1, block_bits)), "node long, fp long, key long"))
+    found = cut(keyed.mapInArrow(_by_key(lambda k, c: _first_pairs(k, c, first_bits, cap)), "a long, b long, key long"))
+    links = cut(_verified(prints, found.where("key is null").select("a", "b"), words, max_share))
+    crowded = found.where("key is not null").select(F.col("a").alias("node"), F.col("b").alias("fp"), "key")
+    roots = cut(components(links))
+    crowded = crowded.join(roots, "node", "left").select("node", "fp", "key", F.coalesce("root", "node").alias("root"))
+    parted = crowded.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("key")
+    rest = _dealt(crowded.join(parted, "key").select("node", "fp", "key", "root"))
+    pairs = rest.mapInArrow(_by_key(lambda k, c: _cross_pairs(k, c, first_bits)), "a long, b long, key long").select("a", "b")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.union(_verified(prints, pairs, words, max_share))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def _keys(positions: np.ndarray):
+    """A row for each block of each row: the block's number above its bits, which are those at a row of ``positions``."""
+    n, width = positions.shape
+    gap = -width % 8  # packbits fills the last byte with zeros
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                packed = np.packbits(np.unpackbits(wide, axis=1)[:, positions.reshape(-1)].reshape(-1, n, width), axis=2).astype(np.int64)
+                value = np.zeros(packed.shape[:2], np.int64)
+                for i in range(packed.shape[2]):
+                    value = (value << 8) | packed[:, :, i]
+                key = (value >> gap) + (np.arange(n, dtype=np.int64) << width)[None, :]
+                columns = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(key.reshape(-1))], names=["node", "fp", "key"])
+
+    return run
+
+
+def _by_key(pairs_of):
+    """Feeds rows sorted by key to ``pairs_of(key, columns)``, the rows of a key always together; rows are (node, fp, key, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # of the last key so far, and what came with it
+
+        def given(parts):
+            key, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+            for a, b, k in pairs_of(key, rest):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if k is None else pa.array(k, pa.int64())], names=["a", "b", "key"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
-            if not rows:
+            if not batch.num_rows:
                 continue
-            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(rows, -1)
-            bits = np.unpackbits(wide, axis=1)[:, : n * block_bits].reshape(rows, n, block_bits).astype(np.int64)
-            value = bits @ (1 << np.arange(block_bits, dtype=np.int64))
-            key = value + (np.arange(n, dtype=np.int64) << block_bits)[None, :]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)), pa.array(key.reshape(-1))], names=["node", "fp", "key"]
-            )
-
-    keyed = prints.select("node", "fp", "wide").mapInArrow(keys, "node long, fp long, key long")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(keyed.join(sizes, "key"))
-    links = cut(_verified(prints, _paired(shared.where(F.col("n") <= cap), first_bits), words, max_share))
-    rest = shared.where(F.col("n") > cap)
-    for _ in range(rounds):
-        more = cut(_verified(prints, _centred(rest, first_bits), words, max_share))
-        links = links.union(more)
-        told = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct()
-        left = rest.drop("n").join(told, "node", "left_anti")
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        left = cut(left.join(sizes, "key"))
-        links = links.union(_verified(prints, _paired(left.where(F.col("n") <= cap), first_bits), words, max_share))
-        rest = left.where(F.col("n") > cap)
-    return links.union(_verified(prints, _neighbours(rest, first_bits), words, max_share))
-
-
-def _differ(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _paired(rows: DataFrame, first_bits: int) -> DataFrame:
-    """Candidates of small blocks: all pairs."""
-    rows = rows.select("key", "node", "fp")
-    pairs = rows.join(rows.select("key", F.col("node").alias("node2"), F.col("fp").alias("fp2")), "key")
-    return pairs.where((F.col("node") > F.col("node2")) & (_differ("fp", "fp2") <= first_bits)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-
-
-def _centred(rows: DataFrame, first_bits: int, best: int = 2, most: int = 6) -> DataFrame:
-    """Candidates of crowded blocks: each row with the rows nearest to the majority of its ``most`` largest blocks, the ``best`` nearest of these.
-
-    In a group of copies the largest blocks are those that hold the original; what this leaves unlinked is dealt with in the next round.
-    """
-    largest = F.slice(F.sort_array(F.collect_set(F.struct("n", "key")), asc=False), 1, most)  # of at most one entry per block of the row
-    rows = rows.groupBy("node").agg(F.min("fp").alias("fp"), largest.alias("k")).select("node", "fp", F.explode("k").alias("k")).select("k.key", "node", "fp")
-    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
-    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *ones)
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    centres = sums.select("key", F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("centre"))
-    heads = rows.join(centres, "key").groupBy("key").agg(F.min(F.struct(_differ("fp", "centre").alias("d"), F.col("node"), F.col("fp"))).alias("h"))
-    near = rows.join(heads.select("key", F.col("h.node").alias("node2"), F.col("h.fp").alias("fp2")), "key").where("node <> node2")
-    near = near.withColumn("d", _differ("fp", "fp2")).where(F.col("d") <= first_bits)
-    picked = near.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "node2"))), 1, best).alias("p"))  # at most one per block of the row
-    picked = picked.select("node", F.explode("p").alias("p")).select("node", F.col("p.node2").alias("node2"))
-    return picked.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b"))
-
-
-def _neighbours(rows: DataFrame, first_bits: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("key").orderBy("fp", "node")
-    near = rows.select("node", "fp", F.lag("node").over(order).alias("node2"), F.lag("fp").over(order).alias("fp2")).where("node2 is not null")
-    return near.where(_differ("fp", "fp2") <= first_bits).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b"))
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 0, 1, *range(3, batch.num_columns))]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if held and (last or columns[0][0] != held[-1][0][-1]):
+                yield from given([*held, [c[:last] for c in columns]])
+                held = []
+            elif last:
+                yield from given([[c[:last] for c in columns]])
+            held.append([c[last:] for c in columns])
+        if held:
+            yield from given(held)
+
+    return run
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def _first_pairs(key: np.ndarray, columns: list[np.ndarray], first_bits: int, cap: int):
+    """(a, b, None): all pairs of small blocks, and each row of a crowded one with its head; (node, fp, key): the rows of crowded blocks."""
+    node, fp = columns
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    few = np.repeat(sizes <= cap, sizes)
+    one, two = [], []
+    for lag in range(1, min(cap, len(key))):
+        i = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:])
+        i = i[_far(fp[i], fp[i + lag]) <= first_bits]
+        one.append(i)
+        two.append(i + lag)
+    for start, size in zip(starts[sizes > cap].tolist(), sizes[sizes > cap].tolist(), strict=True):
+        own = fp[start : start + size]
+        ones = np.zeros(64, np.int64)
+        for at in range(0, size, 100_000):
+            ones += np.unpackbits(own[at : at + 100_000].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        centre = np.packbits(ones * 2 > size).view(">i8").astype(np.int64)
+        off = _far(own, centre)
+        nearest = np.flatnonzero(off == off.min())
+        head = nearest[np.argmin(node[start + nearest])]
+        i = np.flatnonzero(_far(own, own[head : head + 1]) <= first_bits)
+        i = start + i[i != head]
+        one.append(i)
+        two.append(np.full(len(i), start + head))
+    if one:
+        i, j = np.concatenate(one), np.concatenate(two)
+        yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), None
+    if not few.all():
+        yield node[~few], fp[~few], key[~few]
+
+
+def _cross_pairs(key: np.ndarray, columns: list[np.ndarray], first_bits: int, step: int = 4_000_000):
+    """(a, b, None): of each block all pairs of rows with different roots."""
+    edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+    for start, end in itertools.pairwise(edges.tolist()):
+        node, fp, root = (c[start:end] for c in columns)
+        names, number = np.unique(root, return_inverse=True)
+        largest = number == np.bincount(number, minlength=len(names)).argmax()
+        order = np.r_[np.flatnonzero(~largest), np.flatnonzero(largest)]
+        node, fp, number, others = node[order], fp[order], number[order], int((~largest).sum())
+        rows = max(1, step // len(node))
+        for at in range(0, others, rows):  # each row outside the largest component with all behind it
+            to = min(at + rows, others)
+            near = (_far(fp[at:to, None], fp[None, at:]) <= first_bits) & (number[at:to, None] != number[None, at:])
+            i, j = np.nonzero(np.triu(near))
+            if len(i):
+                yield np.maximum(node[at + i], node[at + j]), np.minimum(node[at + i], node[at + j]), None
 
 
 def _verified(prints: DataFrame, pairs: DataFrame, words: int, max_share: float) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,6 +118,39 @@ def test_crowded_blocks_of_near_copies(spark):
     assert got == {0}
 
 
+def flipped(rng, bits, share):
+    """``bits`` with exactly that share of them changed."""
+    out = bits.copy()
+    out[rng.choice(len(bits), round(share * len(bits)), replace=False)] ^= 1
+    return out
+
+
+def wide_rows(spark, prints):
+    rows = [(i, int.from_bytes(w[:8], "big", signed=True), bytearray(w)) for i, w in enumerate(np.packbits(p).tobytes() for p in prints)]
+    return spark.createDataFrame(rows, "node long, fp long, wide binary")
+
+
+@pytest.mark.parametrize("cap", [1, 3, 8, 1000])
+def test_wide_links_of_crowded_blocks_equal_brute_force(spark, cap):
+    rng = np.random.default_rng(3)
+    blank = rng.integers(0, 2, 1920, np.uint8)
+    prints = []
+    for _ in range(6):  # groups that all share some blocks, with chains of copies of copies
+        base = blank.copy()
+        base[480:] = rng.integers(0, 2, 1440, np.uint8)
+        group = [base]
+        for _ in range(50):
+            copy = flipped(rng, group[rng.integers(len(group))], rng.uniform(0.02, 0.16))
+            copy[:240] = blank[:240]
+            group.append(copy)
+        prints += group
+    blocks = [p.reshape(-1, 24) for p in prints]
+    near = lambda a, b: (prints[a] != prints[b]).sum() <= int(0.165 * 1920) and (prints[a][:64] != prints[b][:64]).sum() <= 21 and (blocks[a] == blocks[b]).all(axis=1).any()
+    links = simhash.wide_links(wide_rows(spark, prints), words=30, cap=cap)
+    got = {i: i for i in range(len(prints))} | {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert got == brute_components(range(len(prints)), near)
+
+
 def test_one_of_each_keeps_one_row_per_group(spark):
     docs = spark.createDataFrame(EDGES, DOC)
     kept = simhash.one_of_each(docs, simhash.near_copies(docs)).collect()
