@@ -155,17 +155,40 @@ def unsigned_hex(fp):
 # Near-duplicates by similarity -------------------------------------------------------------------
 
 
-def wide_links(prints: DataFrame, *, words: int, block_bits: int = 24, max_share: float = 0.165, first_bits: int = 21, cap: int = 8) -> DataFrame:
+#: Share of differing bits at a Jaccard similarity of 0.8: the angle of cosine 2 * 0.8 / 1.8, over pi.
+AT_LEAST = 0.1515
+#: Share of isolated pairs at ``AT_LEAST`` that meet in a block.
+RECALL = 0.995
+
+
+def blocks_for(rows: int, words: int, seed: int = 17) -> np.ndarray:
+    """Bit positions of the blocks, one block a line, so that pairs at ``AT_LEAST`` meet with probability ``RECALL``.
+
+    Blocks have so many bits that unrelated rows seldom share one, and there are as many as this width needs. The first are the
+    fingerprint in order; when its bits are used up, they are shuffled and cut again.
+    """
+    width = min(max(16, int(rows).bit_length() + 1), 40)
+    number = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - AT_LEAST) ** width))))
+    rng, bits, lines = np.random.default_rng(seed), np.arange(64 * words), []
+    while len(lines) < number:
+        lines += list(bits[: len(bits) // width * width].reshape(-1, width))
+        bits = rng.permutation(64 * words)
+    return np.array(lines[:number])
+
+
+def wide_links(prints: DataFrame, *, words: int, positions: np.ndarray | None = None, max_share: float = 0.165, first_bits: int = 21, cap: int = 8) -> DataFrame:
     """Links (a, b) that connect the rows of ``prints`` (node, fp, wide) whose wide fingerprints share a block and differ in at most ``max_share`` of the bits.
 
-    The wide fingerprint is cut into blocks of ``block_bits``; rows that share a block are candidates, are
+    The blocks are the bits at the lines of ``positions``, else ``blocks_for`` the number of rows; rows that share a block are candidates, are
     screened by the first 64 bits (at most ``first_bits`` differ) and verified over all bits. Rows of a block of
     over ``cap`` are first compared with the row nearest to the block's majority of bits, which in a group of
     copies is the original. The components of all links found so far then tell which pairs are left: those of
     a crowded block that lie in different components are all compared, however many rows the block has. So
     two rows that share a block end in one component if they are close, whatever the block's size.
     """
-    keyed = _dealt(prints.select("node", "fp", "wide").mapInArrow(_keys(np.arange(words * 64 // block_bits * block_bits).reshape(-1, block_bits)), "node long, fp long, key long"))
+    if positions is None:
+        positions = blocks_for(prints.count(), words)
+    keyed = _dealt(prints.select("node", "fp", "wide").mapInArrow(_keys(positions), "node long, fp long, key long"))
     found = cut(keyed.mapInArrow(_by_key(lambda k, c: _first_pairs(k, c, first_bits, cap)), "a long, b long, key long"))
     links = cut(_verified(prints, found.where("key is null").select("a", "b"), words, max_share))
     crowded = found.where("key is not null").select(F.col("a").alias("node"), F.col("b").alias("fp"), "key")

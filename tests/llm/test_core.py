@@ -146,11 +146,29 @@ def test_wide_links_of_crowded_blocks_equal_brute_force(spark, cap):
         prints += group
     blocks = [p.reshape(-1, 24) for p in prints]
     near = lambda a, b: (prints[a] != prints[b]).sum() <= int(0.165 * 1920) and (prints[a][:64] != prints[b][:64]).sum() <= 21 and (blocks[a] == blocks[b]).all(axis=1).any()
-    links = simhash.wide_links(wide_rows(spark, prints), words=30, cap=cap)
+    links = simhash.wide_links(wide_rows(spark, prints), words=30, cap=cap, positions=np.arange(1920).reshape(-1, 24))
     got = {i: i for i in range(len(prints))} | {r["node"]: r["root"] for r in components.components(links).collect()}
     assert got == brute_components(range(len(prints)), near)
 
 
+def test_isolated_pairs_of_fingerprints_are_found(spark):
+    rng = np.random.default_rng(8)
+    found = {}
+    for share in (0.1515, 0.145, 0.13):  # similarity 0.80, 0.81 and 0.84
+        prints = [p for _ in range(500) for a in [rng.integers(0, 2, 1920, np.uint8)] for p in (a, flipped(rng, a, share))]
+        links = {tuple(sorted(r)) for r in simhash.wide_links(wide_rows(spark, prints), words=30).collect()}
+        found[share] = len(links & {(i, i + 1) for i in range(0, 1000, 2)}) / 500
+    assert min(found.values()) >= 0.985 and found[0.13] >= 0.995, found
+
+
+@pytest.mark.parametrize("rows", [0, 1, 50_000, 250_000, 15_000_000])
+def test_blocks_for_any_size(rows):
+    lines = simhash.blocks_for(rows, 30)
+    width = lines.shape[1]
+    assert rows <= 2**width and 1 - (1 - 0.8485**width) ** len(lines) >= 0.995
+    assert all(len(set(x)) == width for x in lines.tolist())
+
+
 def test_one_of_each_keeps_one_row_per_group(spark):
     docs = spark.createDataFrame(EDGES, DOC)
     kept = simhash.one_of_each(docs, simhash.near_copies(docs)).collect()
