@@ -267,6 +267,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are.
+
+    Each row is judged by its own text, whatever other rows have its id or a null id.
+    """
+    key = F.xxhash64(F.col("text").cast("string"))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

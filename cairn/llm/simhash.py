@@ -327,26 +327,48 @@ def _verified(prints: DataFrame, pairs: DataFrame, words: int, max_share: float)
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, seed: int = 42, words: int = 30, max_share: float = 0.165) -> DataFrame:
-    """(doc_id, component_id): groups of documents whose shingles are similar, by wide SimHash fingerprints.
+    """(doc_id, text_key, node, component_id, head): groups of documents whose shingles are similar, by wide SimHash fingerprints.
 
     With 1,920 bits, the share of differing bits is the angle between the shingle counts within about one
     hundredth: 0.152 for texts whose shingle sets have a Jaccard similarity of 0.8. Rows, nulls and
-    empty texts are treated as in ``simhash_groups``; texts without words form one group.
+    empty texts are treated as in ``simhash_groups``; texts without words form one group. text_key is a hash
+    of the text; head is true for the rows that stand for their group: those of its least id and, if texts
+    differ under it, of the least text_key (of a null id only where the group has no other).
     """
-    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed, words=words))
+    keyed = docs.select(F.struct(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key")).alias("row"), F.col(text).cast("string").alias("text"))
+    prints = fingerprints(keyed, doc_id="row", shingle=shingle, seed=seed, words=words)
     node = F.xxhash64("wide")
+    prints = cut(prints.select("doc_id.*", "fp", "wide"))
     nodes = cut(prints.select(node.alias("node"), "fp", "wide").groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide")))
-    return _grouped(prints.select("doc_id", node.alias("node")), wide_links(nodes, words=words, max_share=max_share), "node")
+    roots = components(wide_links(nodes, words=words, max_share=max_share)).withColumnRenamed("node", "_n")
+    first = prints.groupBy(node.alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
+    first = cut(first.join(roots, first["node"] == roots["_n"], "left").select("node", "m", F.coalesce("root", "node").alias("root")))
+    least = first.groupBy("root").agg(F.min("m").alias("h"))
+    heads = first.join(least, "root").select("node", "h")
+    rows = prints.select("doc_id", "text_key", node.alias("node")).join(heads, "node")
+    head = F.col("doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("text_key") == F.col("h.text_key"))
+    return rows.select("doc_id", "text_key", "node", F.col("h.doc_id").alias("component_id"), head.alias("head"))
+
+
+def text_key(text):
+    """A hash of the text, another for null than for the empty text."""
+    return F.xxhash64(text.cast("string"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group; one row for an id that repeats within it.
+    """One row of ``docs`` for each group of ``near_copies``: that of its least id.
 
-    Ids with several rows are told apart by their group: such an id stays if it heads any of its groups.
-    Rows with a null id stay where no other row of their group has an id.
+    Rows are told apart by id and text, so ids that are null or repeat with other texts stand for each of
+    their groups; a row with a null id stays where no other row of its group has an id. Of rows that
+    repeat both, one stays.
     """
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_head"))
-    counted = heads.groupBy("_head").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counted.where("n > 1").limit(1).count() > 0
-    out = docs.join(counted.select("_head"), docs["doc_id"].eqNullSafe(F.col("_head")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    heads = groups.where("head").groupBy(F.col("doc_id").alias("_head"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    key = text_key(F.col("text"))
+
+    def those(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_head")) & (key == F.col("_key")), "left_semi")
+
+    if not heads.where("_n > 1").limit(1).count():
+        return those(heads)
+    twice = those(heads.where("_n > 1")).withColumn("_text", key).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return those(heads.where("_n = 1")).unionByName(twice)

@@ -175,6 +175,20 @@ def test_one_of_each_keeps_one_row_per_group(spark):
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, 4, 5, 7]
 
 
+def test_null_and_repeated_ids_with_different_texts(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("w%d" % rng.randrange(4000) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (0, d), (3, e), (3, e), (None, e), (4, a + " " + ITEM), (None, ITEM), (5, ITEM + " x"), (5, "clean " + text())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.one_of_each(docs, simhash.near_copies(docs))
+    want = [(None, a), (None, b), (1, c), (0, d), (3, e), (4, rows[10][1]), (None, ITEM), (5, rows[13][1])]
+    got = sorted(map(tuple, kept.collect()), key=str)
+    assert [x for x in got if ITEM not in x[1]] == sorted((x for x in want if ITEM not in x[1]), key=str)
+    clean = decontam.clean(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((x for x in rows if ITEM not in x[1]), key=str)
+
+
 def brute_mix(rows, weights=(5, 2, 1), passes=3):
     sizes = {}
     for i, (d, t, s) in enumerate(rows):
