@@ -21,7 +21,11 @@ MOST_WINDOWS = 4_000_000
 # Units that follow a number. Fixed values.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "percent % c f k kelvin degree degrees kmh kph mph hz khz mhz ghz w kw v a j kj cal kcal pa kpa bar b kb mb gb tb usd eur gbp dollar dollars cent cents euro euros".split()
+    "percent % c f k kelvin degree degrees kmh kph mph hz khz mhz ghz w kw v a j kj cal kcal pa kpa bar b kb mb gb tb usd eur gbp dollar dollars cent cents euro euros "
+    "mile miles kilometer kilometers kilometre kilometres meter meters metre metres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres "
+    "foot feet inch inches yard yards acre acres hectare hectares pound pounds ounce ounces gram grams kilogram kilograms kilo kilos milligram milligrams ton tons tonne tonnes "
+    "liter liters litre litres milliliter milliliters millilitre millilitres gallon gallons quart quarts pint pints cup cups teaspoon teaspoons tablespoon tablespoons "
+    "celsius fahrenheit hertz watt watts volt volts amp amps joule joules calorie calories penny pennies pence yen rupee rupees peso pesos franc francs quarter quarters decade decades century centuries".split()
 )
 
 _NUMBER = re.compile(r"[+-]?(?:[$€£])?\d[\d.,:/]*(?:%|[a-zA-Z]{1,3})?")
@@ -29,8 +33,12 @@ _SPELLED = frozenset("zero one two three four five six seven eight nine ten elev
 _TRIM = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 _P = np.uint64(0x100000001B3 * 2 + 1)
 
-#: Classes of a word.
-WORD_, NUM, UNIT, NAME = 0, 1, 2, 3
+#: Classes of a word; START is a capitalised word at the start of a sentence, which may be a name.
+WORD_, NUM, UNIT, NAME, START = 0, 1, 2, 3, 4
+#: Words of a window that must be no slots where words at the start of sentences count as names.
+LITERAL = 3
+#: Items of fewer words are searched by their exact words.
+SHORT = 4
 
 
 def _h(text: str) -> int:
@@ -77,7 +85,7 @@ class Reader:
         self.words, self.most = Words(), most_words
 
     def read(self, texts: list[str]):
-        """(doc index, word numbers, plain hash, template hash, slot class) of all words of ``texts`` that have a letter or digit."""
+        """(doc index, word numbers, plain hash, template hash, hash with names at sentence starts, slot class) of all words of ``texts`` that have a letter or digit."""
         if len(self.words) > self.most:
             self.words = Words()
         get, ids, sizes = self.words.__getitem__, [], []
@@ -99,11 +107,12 @@ class Reader:
         unit = (flag & 2) > 0
         unit[1:] &= number[:-1]
         unit[:1] = False
-        name = ((flag & 4) > 0) & ~starts
-        kind = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, WORD_)))
+        capital = (flag & 4) > 0
+        name = capital & ~starts
+        kind = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, np.where(capital, START, WORD_))))
         plain = np.where(unit, np.uint64(UNIT_H), plain)
         template = np.where(name, np.uint64(NAME_H), plain)
-        return doc, ids, plain, template, kind
+        return doc, ids, plain, template, np.where(capital, np.uint64(NAME_H), template), kind
 
 
 def rolled(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -123,11 +132,12 @@ def rolled(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def windows_of(reader: Reader, texts: list[str], window: int, wanted: np.ndarray | None = None):
-    """Per window: text index, position, hash, and the slot values inside; only hashes in ``wanted``, if given.
+    """Per window: text index, position, hash, slot values inside, and form; only hashes in ``wanted``, if given.
 
-    A window is hashed twice: with numbers and units replaced, and with names replaced as well.
+    A window is hashed in three forms: 0, with numbers and units replaced; 1, with names replaced as well; 2, with
+    capitalised words at the start of a sentence too. A window shorter than ``SHORT`` has form 0 alone.
     """
-    doc, ids, plain, template, kind = reader.read(texts)
+    doc, ids, plain, template, started, kind = reader.read(texts)
     form = reader.words.form
     first = np.zeros(len(doc), np.int64)
     if len(doc):
@@ -138,13 +148,16 @@ def windows_of(reader: Reader, texts: list[str], window: int, wanted: np.ndarray
     if wanted is not None:
         screen = np.zeros(1 << 20, bool)
         screen[wanted >> np.uint64(44)] = True
-    for which, hashes in ((0, plain), (1, template)):
+    for which, hashes in ((0, plain), (1, template), (2, started))[: 3 if window >= SHORT else 1]:
         h = rolled(hashes, window)
         at = np.arange(len(h))
         good = doc[: len(h)] == doc[window - 1 :] if len(h) else np.empty(0, bool)
         if which == 1 and len(h):  # without a name both forms are the same
             names = np.cumsum(np.r_[0, kind == NAME])
             good = good & (names[window:] > names[:-window])
+        if which == 2 and len(h):  # nor does the third form differ without a word at a start
+            begun, literal = np.cumsum(np.r_[0, kind == START]), np.cumsum(np.r_[0, kind == WORD_])
+            good = good & (begun[window:] > begun[:-window]) & (literal[window:] - literal[:-window] >= min(LITERAL, window // 2))
         if screen is not None and len(h):
             good = good & screen[h >> np.uint64(44)]
         at = at[good]
@@ -154,16 +167,16 @@ def windows_of(reader: Reader, texts: list[str], window: int, wanted: np.ndarray
             hit = wanted[spot] == h
             at, h = at[hit], h[hit]
         for i, x in zip(at.tolist(), h.tolist(), strict=True):
-            slots = [form[ids[j]].lower() for j in range(i, i + window) if kind[j] in (NUM, UNIT) or (which and kind[j] == NAME)]
-            out.append((int(doc[i]), i - int(first[i]), x - (1 << 64) if x >> 63 else x, slots))
+            slots = [form[ids[j]].lower() for j in range(i, i + window) if kind[j] in (NUM, UNIT) or (which and kind[j] == NAME) or (which == 2 and kind[j] == START)]
+            out.append((int(doc[i]), i - int(first[i]), x - (1 << 64) if x >> 63 else x, slots, which))
     return out, np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
 
 
-_WINDOWS = "{id} {kind}, pos int, h long, slots array<string>, n_words int, window int"
+_WINDOWS = "{id} {kind}, pos int, h long, slots array<string>, n_words int, window int, form int"
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, pos, h, slots, n_words, window): all windows of the benchmark; an item shorter than a window is one window."""
+    """(item_id, pos, h, slots, n_words, window, form): all windows of the benchmark; an item shorter than a window is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,33 +184,35 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = len(reader.read([text or ""])[0])
                 size = min(window, n)
-                if size < 4:  # too short to tell anything
+                if not size:
                     continue
-                out += [(item, p, h, s, n, size) for _, p, h, s in windows_of(reader, [text], size)[0]]
-            yield _batch(out, batch.schema.field(0).type, ("item_id", "pos", "h", "slots", "n_words", "window"))
+                out += [(item, p, h, s, n, size, f) for _, p, h, s, f in windows_of(reader, [text], size)[0]]
+            yield _batch(out, batch.schema.field(0).type, ("item_id", "pos", "h", "slots", "n_words", "window", "form"))
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _WINDOWS.format(id="item_id", kind=kind)).dropDuplicates(["item_id", "pos", "h"])
 
 
 def _batch(rows: list[tuple], kind: pa.DataType, names: tuple[str, ...]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    types = [kind, pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    types = [kind, pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, run: int = RUN, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, longest_run, n_slots, changed_slots): documents that hold a benchmark item.
 
-    Numbers become <num>, units after a number <unit>, capitalised words inside a sentence <name>; windows of
+    Numbers become <num>, units after a number <unit>, capitalised words inside a sentence <name>, and in a
+    further form those at its start as well (in windows with ``LITERAL`` words that are no slots); windows of
     ``window`` template words are joined by hash. Of the windows that line up (same shift between document
     and item) the slots must agree: one item value always stands for one document value and the other way
     round; else only those with equal slots count. An item is in a document if a run of ``run`` words
-    matches, or all of a shorter item, or ``coverage`` of its windows.
+    matches, or all of a shorter item, or ``coverage`` of its windows; this is decided without the further form
+    and with it. Items of fewer than ``SHORT`` words are in a document that has their exact words in a row.
 
     Rows with a null id are handled like any id; null and empty texts match nothing; repeated rows of an id
     count as one document; an empty table on either side gives no rows; words without letter or digit are
-    skipped; items of fewer than four words are not searched. Other columns are not read.
+    skipped, and so are items without any. Other columns are not read.
     """
     items = item_windows(benchmark, window)
     items = items.persist()
@@ -226,25 +241,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
                     if wanted is not None and s not in wanted:
                         continue
                     found, n = windows_of(reader, texts[at:to], s, None if wanted is None else wanted[s])
-                    out += [(ids[at + d], p, h, sl, int(n[d]), s) for d, p, h, sl in found]
+                    out += [(ids[at + d], p, h, sl, int(n[d]), s, f) for d, p, h, sl, f in found]
                 if out:
-                    yield _batch(out, batch.schema.field(0).type, ("doc_id", "pos", "h", "slots", "n_words", "window"))
+                    yield _batch(out, batch.schema.field(0).type, ("doc_id", "pos", "h", "slots", "n_words", "window", "form"))
                 at = to
 
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, _WINDOWS.format(id="doc_id", kind=kind))
-    side = items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), "window")
+    side = items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), "window", F.col("form").alias("item_form"))
     if wanted is not None:
         side = F.broadcast(side)  # at most MOST_WINDOWS hashes, checked above
-    pairs = found.select("doc_id", "pos", "h", "slots", "window").join(side, ["h", "window"])
+    pairs = found.select("doc_id", "pos", "h", "slots", "window", "form").join(side, ["h", "window"])
+    started = F.greatest("form", "item_form") == 2
+    pairs = pairs.withColumn("started", F.explode(F.when(started, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     together = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    by_shift = pairs.groupBy("doc_id", "item_id", "window", "item_words", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    by_shift = pairs.groupBy("doc_id", "item_id", "window", "item_words", "started", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.collect_set("item_pos").alias("at"),
         F.collect_set(F.when(F.col("item_slots") == F.col("slots"), F.col("item_pos"))).alias("same_at"),
         F.array_distinct(F.flatten(F.collect_set(together))).alias("filled"),
     )  # of one document, item and shift: at most the item's windows
     n = F.size("filled")
     agrees = (F.size(F.array_distinct(F.transform("filled", lambda x: x["i"]))) == n) & (F.size(F.array_distinct(F.transform("filled", lambda x: x["d"]))) == n)
-    by_shift = by_shift.withColumn("use", F.when(agrees, F.col("at")).otherwise(F.col("same_at"))).where(F.size("use") > 0)
+    by_shift = by_shift.withColumn("use", F.when(agrees & (F.col("window") >= SHORT), F.col("at")).otherwise(F.col("same_at"))).where(F.size("use") > 0)
     sorted_use = F.array_sort("use")
     longest = F.aggregate(
         sorted_use,
@@ -257,13 +274,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
         lambda a: a["best"],
     )
     by_shift = by_shift.withColumn("longest", longest + F.col("window") - 1).withColumn("changed", F.size(F.filter("filled", lambda x: x["i"] != x["d"])))
-    by_item = by_shift.groupBy("doc_id", "item_id", "window", "item_words").agg(
+    by_item = by_shift.groupBy("doc_id", "item_id", "window", "item_words", "started").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("use")))).alias("n_windows"), F.max("longest").alias("longest_run"), F.max(F.size("filled")).alias("n_slots"), F.max("changed").alias("changed_slots")
     )
     by_item = by_item.withColumn("item_windows", F.col("item_words") - F.col("window") + 1).withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-    return by_item.where((F.col("longest_run") >= F.least(F.lit(run), F.col("item_words"))) | (F.col("coverage") >= coverage)).select(
-        "doc_id", "item_id", "n_windows", "item_windows", "coverage", "longest_run", "n_slots", "changed_slots"
-    )
+    held = by_item.where((F.col("longest_run") >= F.least(F.lit(run), F.col("item_words"))) | (F.col("coverage") >= coverage))
+    told = ["n_windows", "item_windows", "coverage", "longest_run", "n_slots", "changed_slots"]
+    return held.groupBy("doc_id", "item_id").agg(F.min(F.struct("started", *told)).alias("f")).select("doc_id", "item_id", *[f"f.{c}" for c in told])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -259,6 +259,30 @@ def test_decontamination_finds_reparameterised_items(spark):
     assert by[1]["changed_slots"] == 0 and by[2]["changed_slots"] >= 4 and by[1]["coverage"] == 1.0
 
 
+def test_decontamination_of_names_at_sentence_starts_units_and_short_items(spark):
+    items = [
+        (1, "Tom buys 5 apples. Tom gives 3 to Ann. Ann eats 2 of them. How many apples are left?"),
+        (2, "a runner covers 5 miles in one go and then rests for 9 feet of shade before going on"),
+        (3, "Zebra quiz 7"),
+        (4, "Tom sings. The old man from Rome likes it when Tom sings his song about the sea"),
+        (5, "zorp"),
+    ]
+    docs = [
+        (1, "so Bob buys 7 apples. Bob gives 4 to Eve. Eve eats 1 of them. How many apples are left? yes"),
+        (2, "Bob buys 7 apples. Max gives 4 to Eve. Pia eats 1 of them. How many apples are left?"),  # Tom is two persons, and so is Ann
+        (3, "a runner covers 7 kilometers in one go and then rests for 4 inches of shade before going on"),
+        (4, "the Zebra quiz 7 was hard"),
+        (5, "the Zebra quiz 8 was hard"),
+        (6, "Tom sings. The old man from Bonn likes it when Ben sings his song about the sea"),
+        (7, "Ich Du Er Sie. Es Wir Ihr Sie Du. Er Ich Wir Es Sie Ihr Du. Ich Er Sie Es Wir Ihr?"),
+        (8, "a zorp b"),
+        (9, "zorpa"),
+    ]
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (6, 4), (8, 5)}
+
+
 def test_decontamination_checks_slots(spark):
     item = "add 3 apples to 3 pears and 5 plums then take 3 away and give 5 to them all"
     wrong = "add 4 apples to 9 pears and 5 plums then take 2 away and give 1 to them all"
