@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SMALLEST = 100
 #: Bytes at which a task of the writer starts another file.
 FILE_BYTES = 256 << 20
+#: Bytes of records that a task of the reader hands over at once.
+BATCH_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = (
     "record_id string, warc_type string, target_uri string, warc_date string, content_type string, content_length long, payload_digest string, "
@@ -97,31 +99,35 @@ class Buffered:
     """Forward reading with skips; holds a chunk at a time."""
 
     def __init__(self, source, size: int, chunk: int = 1 << 20) -> None:
-        self.source, self.size, self.chunk, self.at, self.held = source, size, chunk, 0, b""
-
-    def more(self, n: int) -> bytes:
-        """At least ``n`` bytes from here on, fewer at the end; they stay unread."""
-        while len(self.held) < n:
-            got = self.source.read(max(self.chunk, n - len(self.held)))
-            if not got:
-                break
-            self.held += got
-        return self.held
+        self.source, self.size, self.chunk, self.held, self.at = source, size, chunk, b"", 0
+
+    def peek(self, n: int, start: int = 0) -> bytes:
+        """The ``n`` bytes from ``start`` on, counted from here; fewer at the end. They stay unread."""
+        if self.at + start + n > len(self.held):
+            parts = [self.held[self.at :]]
+            there = len(parts[0])
+            while there < start + n:
+                got = self.source.read(max(self.chunk, start + n - there))
+                if not got:
+                    break
+                parts.append(got)
+                there += len(got)
+            self.held, self.at = b"".join(parts), 0
+        return self.held[self.at + start : self.at + start + n]
 
     def skip(self, n: int) -> None:
-        self.at += n
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        if self.at + n <= len(self.held):
+            self.at += n
         else:
-            self.source.seek(self.source.tell() + n - len(self.held))
-            self.held = b""
+            self.source.seek(self.source.tell() + self.at + n - len(self.held))
+            self.held, self.at = b"", 0
 
 
 def records(source, size: int, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of the records whose fields pass ``wanted``; of others no block is decoded."""
     data = Buffered(source, size)
     while True:
-        head = data.more(2)
+        head = data.peek(2)
         if not head:
             return
         if head[:2] == b"\x1f\x8b":
@@ -132,7 +138,7 @@ def records(source, size: int, wanted) -> Iterator[tuple[dict[str, str], bytes]]
 
 def _plain(data: Buffered, wanted):
     n = 4096
-    while b"\r\n\r\n" not in (seen := data.more(n)):
+    while b"\r\n\r\n" not in (seen := data.peek(n)):
         if len(seen) < n:
             if seen.strip():
                 raise ValueError("a WARC record ends inside its headers")
@@ -142,7 +148,7 @@ def _plain(data: Buffered, wanted):
     fields, start = headers_of(seen)
     length = int(fields.get("content-length", 0))
     if wanted(fields):
-        block = data.more(start + length)[start : start + length]
+        block = data.peek(length, start)
         if len(block) < length:
             raise ValueError("a WARC record is cut off")
         yield fields, block
@@ -150,11 +156,11 @@ def _plain(data: Buffered, wanted):
 
 
 def _zipped(data: Buffered, wanted):
-    seen = data.more(64)
+    seen = data.peek(64)
     skip = 0
     if seen[3] & 4:
         size, at = int.from_bytes(seen[10:12], "little"), 12
-        seen = data.more(12 + size)
+        seen = data.peek(12 + size)
         while at + 4 <= 12 + size:
             field = int.from_bytes(seen[at + 2 : at + 4], "little")
             if seen[at : at + 2] == b"sl" and field == 8:
@@ -163,7 +169,7 @@ def _zipped(data: Buffered, wanted):
     unpack, out, used = zlib.decompressobj(31), b"", 0
     # headers first: a little at a time, until the blank line
     while b"\r\n\r\n" not in out and not unpack.eof:
-        part = data.more(used + 512)[used : used + 512]
+        part = data.peek(512, used)
         if not part:
             raise ValueError("a gzip member is cut off")
         out += unpack.decompress(part)
@@ -174,7 +180,7 @@ def _zipped(data: Buffered, wanted):
         return
     parts = [out]
     while not unpack.eof:
-        part = data.more(used + (1 << 16))[used : used + (1 << 16)]
+        part = data.peek(1 << 16, used)
         if not part:
             raise ValueError("a gzip member is cut off")
         parts.append(unpack.decompress(part))
@@ -258,16 +264,31 @@ class WarcReader(DataSourceReader):
                     return False
             return True
 
+        types = {"payload": pa.binary(), "content_length": pa.int64(), "payload_length": pa.int64()}
+        kinds = [types.get(n, pa.string()) for n in names]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         fs, _ = filesystem(self.options["path"])
         with fs.open_input_file(partition.path) as source:
+            rows, held = [], 0
             for fields, block in records(source, partition.size, wanted):
-                yield tuple((payload_of(fields, block) if decode and fields.get("warc-type") != "revisit" else None) if n == "payload" else value_of(n, fields) for n in names)
+                payload = payload_of(fields, block) if decode and fields.get("warc-type") != "revisit" else None
+                rows.append([payload if n == "payload" else value_of(n, fields) for n in names])
+                held += len(payload or b"") + 500
+                if held >= BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
 
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows (record_id, warc_type, target_uri, payload, payload_digest, payload_length, refers_to), a gzip member each.
 
-    Tasks write to a hidden name; the driver renames on commit, so a failed or repeated task leaves nothing behind.
+    Tasks write to a hidden name. On commit the driver renames the files of the tasks that count and deletes what failed
+    or repeated ones have left so far; what a late one still writes stays hidden and is never read.
     """
 
     def __init__(self, options, overwrite: bool) -> None:
@@ -315,12 +336,18 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             for name in m.names if m else ():
                 fs.move(f"{path}/_{name}", f"{path}/{name}")
+        self._sweep(fs, path)
 
     def abort(self, messages):
         fs, path = filesystem(self.options["path"])
-        for m in messages:
-            for name in m.names if m else ():
-                fs.delete_file(f"{path}/_{name}")
+        fs.create_dir(path, recursive=True)
+        self._sweep(fs, path)
+
+    def _sweep(self, fs, path: str) -> None:
+        """Deletes this job's hidden files."""
+        for x in fs.get_file_info(pyarrow.fs.FileSelector(path)):
+            if x.type == pyarrow.fs.FileType.File and x.base_name.startswith(f"_{self.tag}-"):
+                fs.delete_file(x.path)
 
 
 class Written(WriterCommitMessage):
@@ -367,24 +394,19 @@ def records_of(pages: DataFrame, *, smallest: int = SMALLEST) -> DataFrame:
     """The records to write for (page_id, url, html): the first page of each payload whole, others as revisits of it.
 
     Of pages with equal payloads of at least ``smallest`` bytes, the one with the least page_id (null last)
-    is a response and the others revisit it; rows that repeat that very page_id are responses too. Only
-    digests are grouped, summed up before the shuffle; the payloads move once, by page_id.
+    is a response and the others revisit it; rows that repeat that very page_id are responses too, and an id
+    that repeats with other payloads is judged for each. Only digests are grouped, summed up before the
+    shuffle. The payloads move once, to the revisits' ids and digests, and are not sorted: the short side
+    of the join is the one that is hashed, and adaptive execution splits an id with very many rows.
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     slim = pages.select("page_id", F.octet_length(body).alias("n"), F.sha2(body, 256).alias("digest")).where(F.col("n") >= smallest)
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null")
-    later = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body"))
-    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")), "left")
-    # rows that share an id may have other payloads
-    digest = F.sha2("body", 256)
-    return joined.select(
-        page_urn(F.col("page_id")).alias("record_id"),
-        "url",
-        "body",
-        digest.alias("digest"),
-        F.when(F.col("first").isNotNull() & (F.col("_digest") == digest), F.col("first")).alias("first"),
-    )
+    later = slim.select("page_id", "digest").distinct().join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    later = later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    joined = rows.join(later.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select(page_urn(F.col("page_id")).alias("record_id"), "url", "body", "digest", "first")
 
 
 def archive(pages: DataFrame, path: str, *, smallest: int = SMALLEST) -> None:
@@ -417,11 +439,14 @@ def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all page records under ``path``.
 
-    Responses are read whole and their payloads measured and digested again; revisits by their headers alone.
+    Responses are read whole and their payloads measured and digested again; of revisits the headers tell both.
     """
-    whole = read(spark, path).where(F.col("warc_type") == "response")
-    whole = whole.select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("warc_type").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
-    brief = read(spark, path, payload=False).where(F.col("warc_type") == "revisit")
-    brief = brief.select("record_id", F.col("payload_length").alias("payload_bytes"), F.expr("substring(payload_digest, 8)").alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to")
-    both = whole.unionByName(brief)
-    return both.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+    whole = F.col("warc_type") == "response"
+    rows = read(spark, path).where(F.col("warc_type").isin("response", "revisit"))
+    return rows.select(
+        page_of("record_id").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.expr("substring(payload_digest, 8)")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page_of("refers_to").alias("refers_to"),
+    )

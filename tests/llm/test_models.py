@@ -111,6 +111,7 @@ def brute_warc(rows):
 ODD = [
     (1, "http://a/", "x" * 99), (2, "http://b/", "x" * 99), (5, None, "y" * 100), (3, "http://c/\r\nX: y", "y" * 100), (4, "http://é/", "é" * 50), (9, "u", "é" * 50), (6, "u", None), (7, "u", ""),
     (8, "u", "WARC/1.0\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" * 9), (None, "u", "y" * 100), (10, "u", "z" * 300_000 + "\r\n\r\n"), (3, "u", "w" * 200), (11, "u", "w" * 200), (3, "http://c/\r\nX: y", "y" * 100),
+    (21, "u", "A" * 120), (22, "u", "B" * 120), (23, "u", "A" * 120), (23, "u", "B" * 120), (23, "v", "B" * 120), (None, "u", "A" * 120), (None, "u", "C" * 120), (None, "u", "D" * 120), (22, "u", "C" * 120),
 ]
 
 
