@@ -142,10 +142,16 @@ def simhash_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def _grouped(prints: DataFrame, links: DataFrame, node: str) -> DataFrame:
     """Adds component_id, the least doc_id of the nodes that ``links`` connect."""
     roots = components(links).withColumnRenamed("node", node)
-    least = prints.groupBy(node).agg(F.min("doc_id").alias("m")).join(roots, node, "left")
-    least = cut(least.select(node, "m", F.coalesce("root", node).alias("root")))
-    heads = least.groupBy("root").agg(F.min("m").alias("component_id"))
-    return prints.join(least.select(node, "root").join(heads, "root").select(node, "component_id"), node)
+    least = cut(prints.groupBy(node).agg(F.min("doc_id").alias("m")).join(roots, node, "left"))
+    heads = _headed(least.where("root is not null").withColumnRenamed(node, "node"), "m", F.min).select(F.col("node").alias(node), F.col("h").alias("component_id"))
+    return prints.join(least.where("root is null").select(node, F.col("m").alias("component_id")).union(heads), node)
+
+
+def _headed(rooted: DataFrame, value: str, of, salts: int = 16) -> DataFrame:
+    """(node, h): ``of`` the values of all nodes of a root, for each of its nodes; a root's nodes are dealt over ``salts`` tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
+    least = rooted.groupBy("root").agg(of(value).alias("h")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return rooted.withColumn("salt", salt).join(least, ["root", "salt"]).select("node", "h")
 
 
 def unsigned_hex(fp):
@@ -176,37 +182,54 @@ def blocks_for(rows: int, words: int, seed: int = 17) -> np.ndarray:
     return np.array(lines[:number])
 
 
-def wide_links(prints: DataFrame, *, words: int, positions: np.ndarray | None = None, max_share: float = 0.165, first_bits: int = 21, cap: int = 8) -> DataFrame:
+def wide_links(prints: DataFrame, *, words: int, positions: np.ndarray | None = None, max_share: float = 0.165, first_bits: int = 26, cap: int = 8, cell: int = 1024) -> DataFrame:
     """Links (a, b) that connect the rows of ``prints`` (node, fp, wide) whose wide fingerprints share a block and differ in at most ``max_share`` of the bits.
 
     The blocks are the bits at the lines of ``positions``, else ``blocks_for`` the number of rows; rows that share a block are candidates, are
-    screened by the first 64 bits (at most ``first_bits`` differ) and verified over all bits. Rows of a block of
-    over ``cap`` are first compared with the row nearest to the block's majority of bits, which in a group of
-    copies is the original. The components of all links found so far then tell which pairs are left: those of
-    a crowded block that lie in different components are all compared, however many rows the block has. So
-    two rows that share a block end in one component if they are close, whatever the block's size.
+    screened by the first 64 bits (at most ``first_bits`` differ: 5 deviations above what ``max_share`` gives) and verified over all bits.
+    The rows of a block of over ``cap`` are seated in cells of ``cell`` rows, and a cell's task finds its components. The components of
+    all links so far then tell what is left: in a block whose rows lie in several components, the rows outside the largest one meet
+    all rows of the block, in cells of two times ``cell``. So rows that share a block end in one component if they are close,
+    whatever the block's size; no task holds more than a cell, and a cell gives no more links than it has rows.
     """
     if positions is None:
         positions = blocks_for(prints.count(), words)
-    keyed = _dealt(prints.select("node", "fp", "wide").mapInArrow(_keys(positions), "node long, fp long, key long"))
-    found = cut(keyed.mapInArrow(_by_key(lambda k, c: _first_pairs(k, c, first_bits, cap)), "a long, b long, key long"))
-    links = cut(_verified(prints, found.where("key is null").select("a", "b"), words, max_share))
-    crowded = found.where("key is not null").select(F.col("a").alias("node"), F.col("b").alias("fp"), "key")
+    rows = prints.select("node", "fp", "wide")
+    keyed = rows.mapInArrow(_keys(positions, _hot_keys(rows, positions)), _KEYED).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    found = cut(keyed.mapInArrow(_by_key(first_bits, cap, cell), "a long, b long, key long"))
+    links = _verified(prints, found.where("key is null").select("a", "b"), words, max_share)
+    crowded = found.where("key is not null").select(F.col("a").alias("node"), "key", F.col("b").alias("i"))
+    wide = prints.select("node", "wide")
+    seated = crowded.withColumn("j", F.lit(0).cast("long")).join(wide, "node").withColumn("root", F.col("node"))
+    links = cut(links.union(_met(seated, words, max_share, first_bits)))
     roots = cut(components(links))
-    crowded = crowded.join(roots, "node", "left").select("node", "fp", "key", F.coalesce("root", "node").alias("root"))
-    parted = crowded.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n").select("key")
-    rest = _dealt(crowded.join(parted, "key").select("node", "fp", "key", "root"))
-    pairs = rest.mapInArrow(_by_key(lambda k, c: _cross_pairs(k, c, first_bits)), "a long, b long, key long").select("a", "b")
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars.union(_verified(prints, pairs, words, max_share))
+    rooted = cut(crowded.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")))
+    by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parted = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+    parted = cut(parted.select("key", "main", F.ceil(F.col("n") / cell).alias("across"), F.ceil((F.col("n") - F.col("most")) / cell).alias("down")))
+    left = rooted.join(parted, "key")
+    seat = lambda seats: F.pmod(F.xxhash64("node"), seats)
+    every = left.select("node", "key", "root", seat(F.col("across")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("j"))
+    others = left.where("root <> main").select("node", "key", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("i"), seat(F.col("down")).alias("j"))
+    crossed = _met(every.union(others).distinct().join(wide, "node"), words, max_share, first_bits)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossed)
+
+
+_KEYED = "node long, fp long, key long, salt int"
+
 
+def _hot_keys(rows: DataFrame, positions: np.ndarray, one_in: int = 64, often: int = 16, most: int = 200_000) -> np.ndarray:
+    """Block keys of some thousand rows or more, as a hashed share of the rows tells; at most ``most``.
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key")
+    They only tell which keys are dealt over many tasks from the start; what is compared is the same with or without them.
+    """
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).mapInArrow(_keys(positions, np.empty(0, np.int64)), _KEYED)
+    counted = some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often).orderBy(F.desc("n"), "key").limit(most)
+    return np.sort(np.array([r["key"] for r in counted.select("key").collect()], np.int64))  # at most ``most`` keys
 
 
-def _keys(positions: np.ndarray):
-    """A row for each block of each row: the block's number above its bits, which are those at a row of ``positions``."""
+def _keys(positions: np.ndarray, hot: np.ndarray):
+    """A row for each block of each row: the block's number above its bits, which are those at a row of ``positions``; salt deals the rows of hot keys."""
     n, width = positions.shape
     gap = -width % 8  # packbits fills the last byte with zeros
 
@@ -219,93 +242,112 @@ def _keys(positions: np.ndarray):
                 value = np.zeros(packed.shape[:2], np.int64)
                 for i in range(packed.shape[2]):
                     value = (value << 8) | packed[:, :, i]
-                key = (value >> gap) + (np.arange(n, dtype=np.int64) << width)[None, :]
-                columns = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(key.reshape(-1))], names=["node", "fp", "key"])
+                key = ((value >> gap) + (np.arange(n, dtype=np.int64) << width)[None, :]).reshape(-1)
+                node, fp = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+                salt = np.zeros(len(key), np.int32)
+                if len(hot):
+                    often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    salt[often] = 1 + ((node[often].astype(np.uint64) * np.uint64(GOLDEN)) >> np.uint64(58)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (node, fp, key, salt))], names=["node", "fp", "key", "salt"])
 
     return run
 
 
-def _by_key(pairs_of):
-    """Feeds rows sorted by key to ``pairs_of(key, columns)``, the rows of a key always together; rows are (node, fp, key, ...)."""
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # of the last key so far, and what came with it
 
-        def given(parts):
-            key, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
-            for a, b, k in pairs_of(key, rest):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if k is None else pa.array(k, pa.int64())], names=["a", "b", "key"])
+def _by_key(first_bits: int, cap: int, cell: int):
+    """From rows sorted by key and salt: (a, b, null), the pairs of blocks of at most ``cap`` rows, and (node, cell, key), the rows of the others.
+
+    Keeps at most ``cap`` rows besides the batch it is at.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]  # key, salt, node, fp of the last block so far, if it is small
+        open_, told = None, 0  # the last block, if it is not, and how many of its rows were told
+
+        def batch_of(a, b, key):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64())], names=["a", "b", "key"])
+
+        def seats(salt, place):
+            return (salt.astype(np.int64) << 32) + place // cell
+
+        def given(columns, closed: bool):
+            nonlocal held, open_, told
+            key, salt, node, fp = columns
+            if not len(key):
+                return
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            sizes = np.diff(np.r_[starts, len(key)])
+            large = (sizes > cap) | (salt[starts] > 0)
+            if not closed and not large[-1]:
+                held = [c[starts[-1] :] for c in columns]
+                key, salt, node, fp = (c[: starts[-1]] for c in columns)
+                starts, sizes, large = starts[:-1], sizes[:-1], large[:-1]
+            elif not closed:
+                open_, told = (key[-1], salt[-1]), int(sizes[-1])
+            many = np.repeat(large, sizes)
+            for lag in range(1, min(cap, len(key))):
+                i = np.flatnonzero((key[lag:] == key[:-lag]) & ~many[lag:])
+                i = i[_far(fp[i], fp[i + lag]) <= first_bits]
+                if len(i):
+                    yield batch_of(np.maximum(node[i], node[i + lag]), np.minimum(node[i], node[i + lag]), None)
+            if many.any():
+                place = np.arange(len(key)) - np.repeat(starts, sizes)
+                yield batch_of(node[many], seats(salt[many], place[many]), key[many])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 0, 1, *range(3, batch.num_columns))]
-            last = int(np.searchsorted(columns[0], columns[0][-1]))
-            if held and (last or columns[0][0] != held[-1][0][-1]):
-                yield from given([*held, [c[:last] for c in columns]])
-                held = []
-            elif last:
-                yield from given([[c[:last] for c in columns]])
-            held.append([c[last:] for c in columns])
-        if held:
-            yield from given(held)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 0, 1)]
+            if open_ is not None:
+                same = (columns[0] == open_[0]) & (columns[1] == open_[1])
+                n = int(same.sum())
+                if n:
+                    yield batch_of(columns[2][:n], seats(columns[1][:n], told + np.arange(n)), columns[0][:n])
+                    told += n
+                columns = [c[n:] for c in columns]
+                if not len(columns[0]):
+                    continue
+                open_ = None
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            held = [c[:0] for c in columns]
+            yield from given(columns, False)
+        yield from given(held, True)
 
     return run
 
 
-def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
-
+def _met(seated: DataFrame, words: int, max_share: float, first_bits: int) -> DataFrame:
+    """Links (a, b) between the close rows of each cell (key, i, j) of rows (node, wide, root): as many as connect what is close or has one root."""
+    limit = int(max_share * 64 * words)
 
-def _first_pairs(key: np.ndarray, columns: list[np.ndarray], first_bits: int, cap: int):
-    """(a, b, None): all pairs of small blocks, and each row of a crowded one with its head; (node, fp, key): the rows of crowded blocks."""
-    node, fp = columns
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    few = np.repeat(sizes <= cap, sizes)
-    one, two = [], []
-    for lag in range(1, min(cap, len(key))):
-        i = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:])
-        i = i[_far(fp[i], fp[i + lag]) <= first_bits]
-        one.append(i)
-        two.append(i + lag)
-    for start, size in zip(starts[sizes > cap].tolist(), sizes[sizes > cap].tolist(), strict=True):
-        own = fp[start : start + size]
-        ones = np.zeros(64, np.int64)
-        for at in range(0, size, 100_000):
-            ones += np.unpackbits(own[at : at + 100_000].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        centre = np.packbits(ones * 2 > size).view(">i8").astype(np.int64)
-        off = _far(own, centre)
-        nearest = np.flatnonzero(off == off.min())
-        head = nearest[np.argmin(node[start + nearest])]
-        i = np.flatnonzero(_far(own, own[head : head + 1]) <= first_bits)
-        i = start + i[i != head]
-        one.append(i)
-        two.append(np.full(len(i), start + head))
-    if one:
-        i, j = np.concatenate(one), np.concatenate(two)
-        yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), None
-    if not few.all():
-        yield node[~few], fp[~few], key[~few]
-
-
-def _cross_pairs(key: np.ndarray, columns: list[np.ndarray], first_bits: int, step: int = 4_000_000):
-    """(a, b, None): of each block all pairs of rows with different roots."""
-    edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-    for start, end in itertools.pairwise(edges.tolist()):
-        node, fp, root = (c[start:end] for c in columns)
-        names, number = np.unique(root, return_inverse=True)
-        largest = number == np.bincount(number, minlength=len(names)).argmax()
-        order = np.r_[np.flatnonzero(~largest), np.flatnonzero(largest)]
-        node, fp, number, others = node[order], fp[order], number[order], int((~largest).sum())
-        rows = max(1, step // len(node))
-        for at in range(0, others, rows):  # each row outside the largest component with all behind it
-            to = min(at + rows, others)
-            near = (_far(fp[at:to, None], fp[None, at:]) <= first_bits) & (number[at:to, None] != number[None, at:])
-            i, j = np.nonzero(np.triu(near))
-            if len(i):
-                yield np.maximum(node[at + i], node[at + j]), np.minimum(node[at + i], node[at + j]), None
+    def run(rows: pa.Table) -> pa.Table:
+        wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
+        node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+        one, two = cell_links(wide, root, limit, first_bits)
+        return pa.table({"a": np.maximum(node[one], node[two]), "b": np.minimum(node[one], node[two])})
+
+    return seated.select("key", "i", "j", "node", "wide", "root").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def cell_links(wide: np.ndarray, root: np.ndarray, limit: int, first_bits: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (one, two) of close rows that connects all rows that close rows and equal roots connect: a breadth-first search over the rows not yet met."""
+    fp, left = wide[:, 0], np.arange(len(wide))
+    one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(left) > 1:
+        own = root[left] == root[left[0]]
+        ahead, left = left[own], left[~own]
+        while len(ahead) and len(left):
+            now, ahead = ahead[:step], ahead[step:]
+            i, j = np.nonzero(np.bitwise_count(fp[now, None] ^ fp[None, left]) <= first_bits)
+            near = np.bitwise_count(wide[now[i]] ^ wide[left[j]]).sum(axis=1, dtype=np.int64) <= limit
+            hit, first = np.unique(j[near], return_index=True)
+            if len(hit):
+                one.append(now[i[near][first]])
+                two.append(left[hit])
+                new = np.isin(root[left], root[left[hit]])
+                ahead, left = np.r_[ahead, left[new]], left[~new]
+    return np.concatenate(one), np.concatenate(two)
 
 
 def _verified(prints: DataFrame, pairs: DataFrame, words: int, max_share: float) -> DataFrame:
@@ -342,9 +384,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     nodes = cut(prints.select(node.alias("node"), "fp", "wide").groupBy("node").agg(F.min("fp").alias("fp"), F.min("wide").alias("wide")))
     roots = components(wide_links(nodes, words=words, max_share=max_share)).withColumnRenamed("node", "_n")
     first = prints.groupBy(node.alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
-    first = cut(first.join(roots, first["node"] == roots["_n"], "left").select("node", "m", F.coalesce("root", "node").alias("root")))
-    least = first.groupBy("root").agg(F.min("m").alias("h"))
-    heads = first.join(least, "root").select("node", "h")
+    first = cut(first.join(roots, first["node"] == roots["_n"], "left").select("node", "m", "root"))
+    heads = first.where("root is null").select("node", F.col("m").alias("h")).union(_headed(first.where("root is not null"), "m", F.min))
     rows = prints.select("doc_id", "text_key", node.alias("node")).join(heads, "node")
     head = F.col("doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("text_key") == F.col("h.text_key"))
     return rows.select("doc_id", "text_key", "node", F.col("h.doc_id").alias("component_id"), head.alias("head"))

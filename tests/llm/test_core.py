@@ -130,8 +130,10 @@ def wide_rows(spark, prints):
     return spark.createDataFrame(rows, "node long, fp long, wide binary")
 
 
-@pytest.mark.parametrize("cap", [1, 3, 8, 1000])
-def test_wide_links_of_crowded_blocks_equal_brute_force(spark, cap):
+@pytest.mark.parametrize(("cap", "cell"), [(1, 16), (3, 1024), (8, 5), (1000, 1024)])
+def test_wide_links_of_crowded_blocks_equal_brute_force(spark, monkeypatch, cap, cell):
+    if cap == 8:  # keys dealt from the start
+        monkeypatch.setattr(simhash._hot_keys, "__defaults__", (1, 16, 200_000))
     rng = np.random.default_rng(3)
     blank = rng.integers(0, 2, 1920, np.uint8)
     prints = []
@@ -145,12 +147,37 @@ def test_wide_links_of_crowded_blocks_equal_brute_force(spark, cap):
             group.append(copy)
         prints += group
     blocks = [p.reshape(-1, 24) for p in prints]
-    near = lambda a, b: (prints[a] != prints[b]).sum() <= int(0.165 * 1920) and (prints[a][:64] != prints[b][:64]).sum() <= 21 and (blocks[a] == blocks[b]).all(axis=1).any()
-    links = simhash.wide_links(wide_rows(spark, prints), words=30, cap=cap, positions=np.arange(1920).reshape(-1, 24))
+    near = lambda a, b: (prints[a] != prints[b]).sum() <= int(0.165 * 1920) and (prints[a][:64] != prints[b][:64]).sum() <= 26 and (blocks[a] == blocks[b]).all(axis=1).any()
+    links = simhash.wide_links(wide_rows(spark, prints), words=30, cap=cap, cell=cell, positions=np.arange(1920).reshape(-1, 24))
     got = {i: i for i in range(len(prints))} | {r["node"]: r["root"] for r in components.components(links).collect()}
     assert got == brute_components(range(len(prints)), near)
 
 
+def test_a_group_of_thousands_on_the_edge(spark):
+    """4,000 copies of one row at distances around the limit from each other: chains connect some and leave others."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 1920, np.uint8)
+    prints = [flipped(rng, base, share) for share in rng.uniform(0.06, 0.17, 4000)]
+    bits = np.array(prints, np.int32) * 2 - 1
+    differ = (1920 - bits.astype(np.float32) @ bits.T.astype(np.float32)) / 2
+    first = (64 - bits[:, :64].astype(np.float32) @ bits[:, :64].T.astype(np.float32)) / 2
+    close = (differ <= int(0.165 * 1920)) & (first <= 26)
+    root = np.arange(4000)
+    while True:
+        least = np.where(close, root[None, :], 4000).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    links = simhash.wide_links(wide_rows(spark, prints), words=30)
+    got = {i: i for i in range(4000)} | {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert len(set(root.tolist())) > 50 and max(np.bincount(root)) > 1000
+    lost = sum(got[i] != r for i, r in enumerate(root.tolist()))
+    joined = {}
+    for i, r in enumerate(root.tolist()):
+        joined.setdefault(got[i], set()).add(r)
+    assert all(len(x) == 1 for x in joined.values()) and lost <= 20  # links of one near row alone share a block with probability 0.995
+
+
 def test_isolated_pairs_of_fingerprints_are_found(spark):
     rng = np.random.default_rng(8)
     found = {}
