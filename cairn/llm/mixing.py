@@ -16,6 +16,8 @@ MIN_SLOTS, MAX_BLOCK = 65536, 4096
 BUCKET = 4096
 #: Slices of the unit interval on which slots and sources are joined.
 SLICES = 4096
+#: Sources up to which their table is sent to the tasks.
+MOST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -99,25 +101,35 @@ def streams(sizes: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
     return placed.select("doc_id", "source", "size", "rn", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
 
+def pieces(placed: DataFrame, block: int, max_passes: int) -> DataFrame:
+    """(rn, start, rank, words): what each document gives to each block of its source's stream, which is repeated ``max_passes`` times.
+
+    Blocks of ``block`` tokens each are numbered from 0 and run on from the end of one pass to the start of the next.
+    """
+    rows = placed.where("size > 0").select("rn", "start", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))).alias("pass"))
+    rows = rows.select("rn", "start", "size", (F.col("start") + F.col("pass") * F.col("source_size")).alias("at"))
+    div = lambda x: F.expr(f"({x}) div {block}")
+    rows = rows.withColumn("rank", F.explode(F.sequence(div("at"), div("at + size - 1"))))
+    words = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
+    return rows.select("rn", "start", "rank", words.alias("words"))
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_passes: int = 3, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes.
 
-    A schedule gives each slot a source; the k-th slot of a source reads the k-th block of equal token
-    count of the source's shuffled stream, which starts again at its end, up to ``max_passes`` times. The
-    blocks read are a prefix of the repeated stream, so a document's share is how far the prefix covers
-    it. One row per input row, in any table: an empty or null text has size 0 and nothing taken; null
-    sources are one source; repeated rows and ids count once each; a table without words takes nothing.
+    A schedule gives each slot a source; the k-th slot of a source is joined with the k-th block of equal
+    token count of the source's shuffled stream, which starts again at its end, up to ``max_passes`` times; a document
+    gives the words that it shares with the blocks so joined. One row per input row, in any table: an empty or null text
+    has size 0 and nothing taken; null sources are one source; repeated rows and ids count once each; a table without words takes nothing.
     Reruns give the same mix. Other columns are not read.
     """
     sizes = cut(sized(docs, doc_id=doc_id, text=text, source=source))
     goals = cut(targets(sizes, weights=weights, max_passes=max_passes))
-    row = goals.agg(F.max("total").alias("total")).first()
-    total = row["total"] or 0
+    total = goals.agg(F.max("total").alias("total")).first()["total"] or 0
     block = block_tokens(total)
-    reads = schedule(goals, total, block).groupBy("rn").agg((F.count(F.lit(1)) * block).alias("reads"))
-    goals = cut(goals.join(reads, "rn", "left").withColumn("reads", F.least(F.coalesce("reads", F.lit(0)), F.col("source_size") * max_passes)))
-    placed = streams(sizes, goals, seed).join(goals.select("rn", "source_size", "target", "reads"), "rn")
-    whole = F.expr("reads div source_size")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("reads") - whole * F.col("source_size") - F.col("start")))
-    taken = F.when(F.col("source_size") > 0, F.col("size") * whole + rest).otherwise(0).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    placed = cut(streams(sizes, goals, seed).join(F.broadcast(goals.select("rn", "source_size", "target")) if goals.count() <= MOST_SOURCES else goals.select("rn", "source_size", "target"), "rn"))
+    slots = ranked(schedule(goals, total, block)).select("rn", "rank")
+    read = pieces(placed, block, max_passes).join(slots, ["rn", "rank"]).groupBy("rn", "start").agg(F.sum("words").alias("taken"))
+    # a document with words is known by its place in its source
+    some = placed.where("size > 0").join(read, ["rn", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return some.unionByName(placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))

@@ -54,16 +54,19 @@ b AS (SELECT greatest(1, least(4096, max(total) // 65536)) AS block, max(total)
 c AS (SELECT rn, sum(target) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t WHERE target > 0),
 e AS (SELECT rn, upto / max(upto) OVER () AS hi FROM c),
 spans AS (SELECT rn, coalesce(lag(hi) OVER (ORDER BY rn), 0) AS lo, hi FROM e),
-slots AS (SELECT i * CAST(0.6180339887498949 AS DOUBLE) - floor(i * CAST(0.6180339887498949 AS DOUBLE)) AS x
+slots AS (SELECT i, i * CAST(0.6180339887498949 AS DOUBLE) - floor(i * CAST(0.6180339887498949 AS DOUBLE)) AS x
           FROM (SELECT unnest(range(1, total // block + 1)) AS i FROM b)),
-r AS (SELECT rn, count(*) AS k FROM slots JOIN spans ON x >= lo AND x < hi GROUP BY rn),
-reads AS (SELECT t.rn, t.source, t.source_size, t.target, CAST(least(coalesce(k, 0) * block, source_size * 3) AS BIGINT) AS n FROM t LEFT JOIN r ON t.rn = r.rn, b),
+r AS (SELECT rn, row_number() OVER (PARTITION BY rn ORDER BY i) - 1 AS rank FROM slots JOIN spans ON x >= lo AND x < hi),
 placed AS (
-  SELECT s.doc_id, s.size, reads.source_size, reads.target, n,
-         CAST(sum(s.size) OVER (PARTITION BY reads.rn ORDER BY h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
-  FROM s JOIN reads ON s.source IS NOT DISTINCT FROM reads.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size > 0 THEN size * (n // source_size) + greatest(0, least(size, n - (n // source_size) * source_size - start)) ELSE 0 END AS BIGINT) AS taken
-FROM placed
+  SELECT row_number() OVER () AS line, s.doc_id, s.size, t.rn, t.source_size, t.target,
+         CAST(sum(s.size) OVER (PARTITION BY t.rn ORDER BY h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - s.size AS start
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+passes AS (SELECT line, rn, size, start + p * source_size AS pos FROM placed, range(3) AS q(p) WHERE size > 0),
+pieces AS (
+  SELECT line, rn, pos, size, block, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS rank FROM passes, b),
+words AS (
+  SELECT line, sum(least(pos + size, (pieces.rank + 1) * block) - greatest(pos, pieces.rank * block)) AS n
+  FROM pieces JOIN r ON r.rn = pieces.rn AND r.rank = pieces.rank GROUP BY line)
+SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM placed LEFT JOIN words ON words.line = placed.line
 """,
 }
