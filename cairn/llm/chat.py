@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.llm.common import in_batches
+
 #: Where the vocabulary lies; a parameter of every function that needs it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -75,7 +77,7 @@ def turn_tokens(convs: DataFrame, *, vocabulary: str = VOCABULARY, train_role: s
             yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "ids", "n_ids", "text_from", "text_to"])
 
     kinds = {k: convs.schema[k].dataType.simpleString() for k in ("conv_id", "turn")}
-    rows = convs.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(convs).select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, ids array<int>, n_ids long, text_from long, text_to long")
 
 

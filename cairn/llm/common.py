@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that a Python task is handed at once (a single row may be longer).
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, for tasks in Python: from here on the session hands over batches of at most ``BATCH_BYTES``, so that long texts don't add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    held = conf.get(key, "").lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def id_text(column) -> F.Column:
     """An id as text; null as the empty text."""
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import in_batches
+
 #: Words of a window.
 WINDOW = 8
 #: A run of this many matching words, or this share of an item's windows, makes a document contaminated.
@@ -246,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
                     yield _batch(out, batch.schema.field(0).type, ("doc_id", "pos", "h", "slots", "n_words", "window", "form"))
                 at = to
 
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, _WINDOWS.format(id="doc_id", kind=kind))
+    found = in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(search, _WINDOWS.format(id="doc_id", kind=kind))
     side = items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), F.col("n_words").alias("item_words"), "window", F.col("form").alias("item_form"))
     if wanted is not None:
         side = F.broadcast(side)  # at most MOST_WINDOWS hashes, checked above

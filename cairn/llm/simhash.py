@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import cut
+from cairn.llm.common import cut, in_batches
 from cairn.llm.components import components
 
 #: Multiplier of the streams that widen one 64-bit hash to several (the golden ratio in 64 bits).
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), wide], names=["doc_id", "fp", "wide"])
 
     schema = StructType([StructField("doc_id", kind), StructField("fp", LongType()), StructField("wide", BinaryType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return in_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def block_keys(fp, bits: int, blocks: int, agree: int):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, fold
+from cairn.llm.common import cut, fold, in_batches
 
 # Characters that look like a Latin letter, by alphabet, and digits that stand for letters. Fixed values.
 HOMOGLYPHS = {
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
     document share with an insult are not learned along with it.
     """
     sample = F.broadcast(labelled(labels, per_class=per_class))  # at most 2 * per_class ids
-    texts = cut(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic").where("text is not null"))
+    texts = cut(in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic").where("text is not null"))
     totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return Lexicon()
@@ -251,7 +251,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> DataF
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, hits int, predicted int")
+    return in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, hits int, predicted int")
 
 
 def kept(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> DataFrame:
@@ -268,4 +268,4 @@ def kept(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> DataFr
                 keep.append(lexicon.score_of(w, n) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)

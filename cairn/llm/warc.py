@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
+from cairn.llm.common import in_batches
+
 #: Payloads smaller than this are never replaced by a reference.
 SMALLEST = 100
 #: Bytes at which a task of the writer starts another file.
@@ -417,7 +419,7 @@ def archive(pages: DataFrame, path: str, *, smallest: int = SMALLEST) -> None:
     read. A page id that repeats with different payloads has a record for each.
     """
     register(pages.sparkSession)
-    rows = records_of(pages, smallest=smallest)
+    rows = records_of(in_batches(pages), smallest=smallest)
     revisits = F.col("first").isNotNull()
     out = rows.select(
         "record_id",
