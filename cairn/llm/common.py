@@ -56,7 +56,7 @@ def in_batches(df: DataFrame) -> DataFrame:
     """``df``, for tasks in Python: from here on the session hands over batches of at most ``BATCH_BYTES``, so that long texts don't add up."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    held = conf.get(key, "").lower().removesuffix("b")
+    held = conf.get(key).lower().removesuffix("b")
     if not held.isdigit() or int(held) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
