@@ -4,7 +4,7 @@ A token is coded as its class, ten bits that a hash of its ending gives, and its
 training tokens. The class's bits are predicted one after another in three contexts: none, the last short
 word, and a hash of the previous word. Each context holds how often either bit followed in the training
 texts; their log odds are mixed with weights that a gate on the contexts' evidence selects, learned online
-on documents that the counts leave out. While a text is read, a share of the probability moves to the words it has
+on documents that the counts for learning leave out. While a text is read, a share of the probability moves to the words it has
 used already; the share follows the text.
 """
 
@@ -16,17 +16,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fold, id_text, stored
+from cairn.llm.common import fold, id_text, in_batches, stored
 
 BITS = 10
 CLASSES = 1 << BITS
-CONTEXTS = 2048
-SLOTS = CONTEXTS * CLASSES
+#: Contexts of each kind, as a power of two: the size of the tables that the tasks are sent.
+CONTEXT_BITS = 11
 SLICE = 1 << 17
 #: Tokens that are encoded and scored together.
 CHUNK = 1_000_000
@@ -35,13 +35,14 @@ NO_WORD = 0
 GATES = 32
 
 
-def properties(word: bytes) -> int:
-    """Class, context as a short word (or -1), and context as the previous word, packed in one integer."""
+def properties(word: bytes, context_bits: int = CONTEXT_BITS) -> int:
+    """Class, context as a short word (0 for none), and context as the previous word, packed in one integer."""
+    some = (1 << context_bits) - 1
     key = word if len(word) <= 4 else b"~" + word[-3:]
     cls = zlib.crc32(key) & (CLASSES - 1)
-    short = zlib.crc32(b"s" + word) % (CONTEXTS - 1) + 1 if len(word) <= 3 else 0
-    before = zlib.crc32(b"p" + (word if len(word) <= 5 else b"~" + word[:1] + word[-3:])) % (CONTEXTS - 1) + 1
-    return cls | short << BITS | before << (BITS + 11)
+    short = zlib.crc32(b"s" + word) % some + 1 if len(word) <= 3 else 0
+    before = zlib.crc32(b"p" + (word if len(word) <= 5 else b"~" + word[:1] + word[-3:])) % some + 1
+    return cls | short << BITS | before << (BITS + context_bits)
 
 
 class Vocabulary(dict):
@@ -50,11 +51,11 @@ class Vocabulary(dict):
         return number
 
 
-def contexts(ids: np.ndarray, starts: np.ndarray, props: np.ndarray):
+def contexts(ids: np.ndarray, starts: np.ndarray, props: np.ndarray, context_bits: int = CONTEXT_BITS):
     """(class, last short word, previous word) of each token; ``starts`` marks the first token of each text."""
     packed = props[ids]
     cls = packed & (CLASSES - 1)
-    short, before = (packed >> BITS) & 2047, packed >> (BITS + 11)
+    short, before = (packed >> BITS) & ((1 << context_bits) - 1), packed >> (BITS + context_bits)
     n = len(ids)
     previous = np.zeros(n, np.int64)
     previous[1:] = before[:-1]
@@ -124,9 +125,9 @@ def class_log_prob(tables: Tables, cls, short, previous) -> np.ndarray:
     return total
 
 
-def train_weights(tables: Tables, cls, short, previous, *, step: int = 512, rate: float = 0.02) -> None:
-    """Online gradient steps over the tokens in order, ``step`` tokens at a time, on each gate's weights."""
-    w = tables.weights
+def train_weights(tables: Tables, cls, short, previous, *, step: int = 512, rate: float = 0.02) -> np.ndarray:
+    """Online gradient steps over the tokens in order, ``step`` tokens at a time, on each gate's weights; how many bits each gate saw."""
+    w, seen = tables.weights, np.zeros(GATES)
     for at in range(0, len(cls), step):
         part = slice(at, at + step)
         pull = rate / (1 + at / 200_000) ** 0.5
@@ -139,6 +140,8 @@ def train_weights(tables: Tables, cls, short, previous, *, step: int = 512, rate
             for k in range(3):
                 change[:, k] = np.bincount(gate, weights=error * x[:, k], minlength=GATES)
             w += pull * change / np.sqrt(n + 1)[:, None]
+            seen += n
+    return seen
 
 
 def text_scores(ids, starts, model_p, seen_before, place, *, prior: float = 0.05, weight: float = 20.0) -> np.ndarray:
@@ -168,47 +171,108 @@ def occurrences(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Model:
+    """Context tables with mixing weights, training tokens and distinct words per class, and the size of the tables."""
+
+    tables: Tables
+    class_n: np.ndarray
+    class_v: np.ndarray
+    context_bits: int = CONTEXT_BITS
+
+    def text(self, ids: np.ndarray, size: np.ndarray, props: np.ndarray, c: np.ndarray):
+        """(known tokens, base score, score) of texts, given as word numbers one after another and their sizes; c is each word's training count."""
+        ids = ids.astype(np.int64)
+        at = np.cumsum(size) - size
+        starts = np.zeros(len(ids), bool)
+        starts[at] = True
+        text = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(ids)) - np.repeat(at, size)
+        cls = props & (CLASSES - 1)
+        inside = (c + 0.5) / (self.class_n[cls] + 0.5 * (self.class_v[cls] + 1))
+        model_p = np.exp(class_log_prob(self.tables, *contexts(ids, starts, props, self.context_bits))) * inside[ids]
+        told = text_scores(ids, starts, model_p, occurrences(ids, text), place)
+        base = np.log10((c + 0.5) / (self.class_n.sum() + 0.5 * (self.class_v.sum() + 1)))
+        return np.add.reduceat((c > 0)[ids].astype(np.int64), at), np.add.reduceat(base[ids], at), np.add.reduceat(told, at)
+
+
 # Spark -------------------------------------------------------------------------------------------
 
-_ROWS = "chunk long, lid int, word binary, n long, props long, doc_id {kind}, held_out boolean, ids binary, slice int"
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one dimension as compressed bytes."""
+    head = np.array([len(arrays), *(v for a in arrays for v in (ord(a.dtype.kind), a.dtype.itemsize, len(a)))], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def _encoded(docs: DataFrame, kind: str) -> DataFrame:
-    """Rows of three sorts: words of a chunk of texts with their training counts, texts as word numbers, and context counts of a task."""
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    out, at = [], 8 + 24 * n
+    for kind, size, length in np.frombuffer(raw, "<i8", 3 * n, 8).reshape(n, 3).tolist():
+        out.append(np.frombuffer(raw, f"<{chr(kind)}{size}", length, at))
+        at += out[-1].nbytes
+    return out
+
+
+TEXT, WORDS, LESSON, TABLE = range(4)
+_ROWS = "kind int, chunk long, bucket int, doc_ids array<{kind}>, held array<boolean>, n_bytes array<long>, blob binary"
+
+
+def _encoded(docs: DataFrame, kind: str, buckets: int, context_bits: int) -> DataFrame:
+    """Rows of four sorts: a chunk's texts as word numbers; its words of a bucket with their training counts; its texts to learn weights on; and a task's context counts.
+
+    Words are told apart by a 64-bit hash, which also gives the bucket. A chunk's words are numbered by bucket and hash,
+    so that the answers of all buckets, one after another, are in the order of the numbers.
+    """
+    size = 2 << (BITS + context_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
-        zip_ = zstandard.ZstdCompressor(level=1)
-        counts = None
+        counts = [None, None]
         vocabulary, texts, tokens, chunk, id_type = Vocabulary(), [], 0, 0, None
 
-        def rows(**columns):
-            n = len(next(iter(columns.values())))
-            types = {"chunk": pa.int64(), "lid": pa.int32(), "word": pa.binary(), "n": pa.int64(), "props": pa.int64(), "doc_id": id_type, "held_out": pa.bool_(), "ids": pa.binary(), "slice": pa.int32()}
+        def rows(kind, n, **columns):
+            types = {"kind": pa.int32(), "chunk": pa.int64(), "bucket": pa.int32(), "doc_ids": pa.list_(id_type), "held": pa.list_(pa.bool_()), "n_bytes": pa.list_(pa.int64()), "blob": pa.binary()}
+            columns |= {"kind": [kind] * n, "chunk": [base + chunk] * n}
             return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()], names=list(types))
 
         def flush():
-            nonlocal counts, vocabulary, texts, tokens, chunk
+            nonlocal vocabulary, texts, tokens, chunk
             words = list(vocabulary)
-            props = np.array([properties(w) for w in words], np.int64)
-            train = [t[2] for t in texts if not t[1]]
-            n = np.bincount(np.concatenate(train), minlength=len(words)) if train else np.zeros(len(words), np.int64)
-            told = [t[2] for t in texts if not t[1] and not t[3]]
-            if told:
-                ids = np.concatenate(told)
-                starts = np.zeros(len(ids), bool)
-                starts[np.cumsum([0, *map(len, told[:-1])])] = True
-                cls, short, previous = contexts(ids, starts, props)
-                if counts is None:
-                    counts = np.zeros(2 * SLOTS, np.uint32)
-                counts[:SLOTS] += np.bincount(short * CLASSES + cls, minlength=SLOTS).astype(np.uint32)
-                counts[SLOTS:] += np.bincount(previous * CLASSES + cls, minlength=SLOTS).astype(np.uint32)
-            yield rows(chunk=np.full(len(words), base + chunk), lid=np.arange(len(words), dtype=np.int32), word=words, n=n, props=props)
-            blobs = [zip_.compress(t[2].astype("<i4").tobytes()) for t in texts]
-            yield rows(chunk=np.full(len(texts), base + chunk), doc_id=[t[0] for t in texts], held_out=[t[1] for t in texts], n=[t[4] for t in texts], ids=blobs)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            bucket = (hashes >> np.uint64(32)).astype(np.int64) % buckets
+            order = np.lexsort((hashes, bucket))
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words), dtype=np.int32)
+            hashes, bucket = hashes[order], bucket[order]
+            props = np.array([properties(words[i], context_bits) for i in order.tolist()], np.int64)
+            sizes = np.array([len(t[2]) for t in texts], np.int64)
+            ids = number[np.concatenate([t[2] for t in texts])]
+            held, apart = (np.repeat([t[i] for t in texts], sizes) for i in (1, 3))
+            starts = np.zeros(len(ids), bool)
+            starts[np.cumsum(sizes) - sizes] = True
+            cls, short, previous = contexts(ids, starts, props, context_bits)
+            for side in (0, 1):
+                mine = ~held & (apart == side)
+                if mine.any():
+                    if counts[side] is None:
+                        counts[side] = np.zeros(size, np.uint32)
+                    for k, ctx in enumerate((short, previous)):
+                        counts[side] += np.bincount(k * (size // 2) + ctx[mine] * CLASSES + cls[mine], minlength=size).astype(np.uint32)
+            n = np.bincount(ids[~held], minlength=len(words)).astype(np.uint32)
+            yield rows(TEXT, 1, doc_ids=[[t[0] for t in texts]], held=[[t[1] for t in texts]], n_bytes=[[t[4] for t in texts]], blob=[packed(sizes, ids, props)])
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            there = np.flatnonzero(np.diff(edges))
+            spans = [slice(edges[i], edges[i + 1]) for i in there.tolist()]
+            yield rows(WORDS, len(spans), bucket=there, blob=[packed(hashes[x], n[x], (props[x] & (CLASSES - 1)).astype(np.uint16)) for x in spans])
+            lessons = ~held & apart
+            if lessons.any():
+                used, mine = np.unique(ids[lessons], return_inverse=True)
+                yield rows(LESSON, 1, blob=[packed(np.array([int(lessons[i : i + s].sum()) for i, s in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True) if lessons[i]], np.int64), mine.astype(np.int32), props[used])])
             vocabulary, texts, tokens, chunk = Vocabulary(), [], 0, chunk + 1
 
         for batch in batches:
@@ -223,13 +287,13 @@ def _encoded(docs: DataFrame, kind: str) -> DataFrame:
                     yield from flush()
         if texts:
             yield from flush()
-        if counts is not None:
-            for i in range(len(counts) // SLICE):
-                part = counts[i * SLICE : (i + 1) * SLICE]
-                if part.any():
-                    yield rows(chunk=[base], ids=[zip_.compress(part.tobytes())], slice=[i])
+        for side, own in enumerate(counts):
+            if own is not None:
+                slices = [(i, own[i * SLICE : (i + 1) * SLICE]) for i in range(-(-size // SLICE))]
+                slices = [(i, x) for i, x in slices if x.any()]
+                yield rows(TABLE, len(slices), bucket=[2 * i + side for i, _ in slices], blob=[packed(x) for _, x in slices])
 
-    return docs.mapInArrow(run, _ROWS.format(kind=kind))
+    return in_batches(docs).mapInArrow(run, _ROWS.format(kind=kind))
 
 
 def _added(slices: DataFrame) -> DataFrame:
@@ -237,97 +301,113 @@ def _added(slices: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = unzip.decompress(blob)
-                part = np.frombuffer(raw, np.uint32 if len(raw) == 4 * SLICE else np.uint64).astype(np.uint64)
+                part = unpacked(blob)[0].astype(np.uint64)
                 sums[i] = sums[i] + part if i in sums else part
         for i, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zip_.compress(total.tobytes())], pa.binary())], names=["slice", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(total)], pa.binary())], names=["slice", "blob"])
 
-    salted = slices.select("slice", "ids", F.shiftright("chunk", 32).alias("task"))
-    salted = salted.withColumn("salt", F.pmod("task", F.lit(16))).repartition("slice", "salt").select("slice", "ids")
-    return salted.mapInArrow(run, "slice int, ids binary").repartition("slice").mapInArrow(run, "slice int, ids binary")
+    salted = slices.select(F.col("bucket").alias("slice"), "blob", F.pmod(F.shiftright("chunk", 32), F.lit(16)).alias("salt"))
+    salted = salted.repartition("slice", "salt").select("slice", "blob")
+    return salted.mapInArrow(run, "slice int, blob binary").repartition("slice").mapInArrow(run, "slice int, blob binary")
 
 
-def score(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int = 20, sample: int = 400, longest: int = 40_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
+def _answered(words: DataFrame) -> DataFrame:
+    """(chunk, bucket, blob, cls, n, v): for the words of each chunk and bucket their counts over all chunks; and per class the tokens and distinct words of a bucket.
 
-    Counts come from all texts outside the held-out fold. The context counts leave one document in ``apart``
-    out, and on at most ``sample`` of these (of at most ``longest`` characters) the mixing weights are
-    learned. Context tables have a fixed number of slots, so they are sent to the tasks whatever the
-    corpus; word counts are as many as the words and are joined by shuffles. A text is a null or empty one
-    if it has the end token alone; repeated rows are scored each; null ids are in the fold of the empty
-    text; an empty table gives no rows; with no training text all counts are zero. Other columns are not read.
+    A chunk sends each of its words once, so a bucket holds a word at most once a chunk, however frequent it is.
     """
-    spark = docs.sparkSession
+
+    def run(rows: pa.Table) -> pa.Table:
+        asked = [unpacked(b) for b in rows.column("blob").to_pylist()]
+        unique, first, place = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([a[1] for a in asked]).astype(np.float64), minlength=len(unique)).astype(np.int64)
+        cls = np.concatenate([a[2] for a in asked])[first][total > 0].astype(np.int64)
+        n = np.bincount(cls, weights=total[total > 0], minlength=CLASSES).astype(np.int64)
+        v = np.bincount(cls, minlength=CLASSES)
+        some = np.flatnonzero(v)
+        blobs = [packed(total[part]) for part in np.split(place, np.cumsum([len(a[0]) for a in asked])[:-1])]
+        k = len(some)
+        pad = lambda values, front: pa.concat_arrays([pa.nulls(front, values.type), values])
+        return pa.table({
+            "chunk": pa.chunked_array([*rows.column("chunk").chunks, pa.nulls(k, pa.int64())]), "bucket": pa.chunked_array([*rows.column("bucket").chunks, pa.nulls(k, pa.int32())]), "blob": pa.array([*blobs, *[None] * k], pa.binary()),
+            "cls": pad(pa.array(some, pa.int32()), len(blobs)), "n": pad(pa.array(n[some], pa.int64()), len(blobs)), "v": pad(pa.array(v[some], pa.int64()), len(blobs)),
+        })
+
+    return words.select("chunk", "bucket", "blob").groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, cls int, n long, v long")
+
+
+def _weights(lessons: DataFrame, tables: Tables, context_bits: int) -> np.ndarray:
+    """The mixing weights: learned online on each chunk's lessons, and averaged over the chunks by the number of bits that each gate saw."""
+    sent = lessons.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                own = Tables(sent.value.plain, sent.value.odds, sent.value.evidence, sent.value.weights.copy())
+                sizes, ids, props = unpacked(blob)
+                starts = np.zeros(len(ids), bool)
+                starts[np.cumsum(sizes) - sizes] = True
+                seen = train_weights(own, *contexts(ids, starts, props, context_bits))
+                gate = np.repeat(np.arange(GATES), 3)
+                n = np.repeat(seen, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(gate), pa.array(np.tile(np.arange(3), GATES)), pa.array(own.weights.astype(np.float64).ravel() * n), pa.array(n)], names=["gate", "k", "w", "n"])
+
+    weights = tables.weights.astype(np.float64)
+    summed = lessons.select("blob").mapInArrow(run, "gate long, k long, w double, n double").groupBy("gate", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    for r in summed.where("n > 0").collect():  # a row per gate and predictor
+        weights[r["gate"], r["k"]] = round(r["w"] / r["n"], 6)
+    return weights.astype(np.float32)
+
+
+def learned(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int = 20, context_bits: int = CONTEXT_BITS) -> tuple[Model, DataFrame]:
+    """The model of all texts outside the held-out fold, and all texts as word numbers with their words' training counts (see ``score``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     side = F.pmod(F.crc32(F.concat(id_text(F.col("doc_id")), F.lit(":mix")).cast("binary")), F.lit(apart)) == 0
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), modulus) == held_out).alias("held_out"), side.alias("apart"))
-    encoded = stored(_encoded(rows, kind), "lm")
-    # counts of every word: each word comes once per chunk, with that chunk's count
-    words = encoded.where("lid is not null").select("chunk", "lid", "word", "n", "props")
-    by_word = W.partitionBy("word")
-    counted = words.select("chunk", "lid", "props", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk", "lid")) == 1).alias("head"))
-    counted = stored(counted, "lm-words")
-    per_class = counted.where("head and c > 0").groupBy(F.col("props").bitwiseAND(F.lit(CLASSES - 1)).alias("cls")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # at most CLASSES rows
+    buckets = 2 * max(4, docs.select(F.spark_partition_id().alias("p")).distinct().count())
+    encoded = stored(_encoded(rows, kind, buckets, context_bits), "lm")
+    answered = stored(_answered(encoded.where(F.col("kind") == WORDS)), "lm-words")
+    per_class = answered.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()  # at most CLASSES rows
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     class_n[per_class["cls"]], class_v[per_class["cls"]] = per_class["n"], per_class["v"]
-    total_n, total_v = int(class_n.sum()), int(class_v.sum())
-    summed = np.zeros(2 * SLOTS, np.float64)
-    unzip = zstandard.ZstdDecompressor()
-    for r in _added(encoded.where("slice is not null").select("chunk", "slice", "ids")).collect():  # at most 2 * SLOTS counts
-        summed[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(unzip.decompress(r["ids"]), np.uint64)
-    tables = tables_of(summed[:SLOTS].reshape(CONTEXTS, CLASSES), summed[SLOTS:].reshape(CONTEXTS, CLASSES))
-    lessons = rows.where("apart and not held_out and doc_id is not null").where(F.length("text") <= longest).select("doc_id", "text", F.xxhash64("text").alias("h"))
-    # ids first: what the tasks send to the driver are ids, and then the chosen texts alone
-    chosen = lessons.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
-    taught = lessons.join(F.broadcast(chosen), ["doc_id", "h"]).select(F.xxhash64("doc_id").alias("o"), "doc_id", "h", "text").distinct().collect()  # at most sample * longest characters
-    _learn(tables, [r["text"] for r in sorted(taught, key=lambda r: (r["o"], r["doc_id"], r["h"]))])
-    sent = spark.sparkContext.broadcast((tables, class_n, class_v))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables, class_n, class_v = sent.value
-        unzip = zstandard.ZstdDecompressor()
-        lid = left.column("lid").to_numpy()
-        props, c = np.zeros(len(lid), np.int64), np.zeros(len(lid), np.int64)
-        props[lid], c[lid] = left.column("props").to_numpy(), left.column("c").to_numpy()
-        texts = [np.frombuffer(unzip.decompress(b), "<i4") for b in right.column("ids").to_pylist()]
-        if not texts:
-            return pa.table({k: pa.array([], t) for k, t in (("doc_id", right.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()))})
-        size = np.array([len(t) for t in texts])
-        ids = np.concatenate(texts).astype(np.int64)
-        at = np.cumsum(size) - size
-        starts = np.zeros(len(ids), bool)
-        starts[at] = True
-        text = np.repeat(np.arange(len(texts)), size)
-        place = np.arange(len(ids)) - np.repeat(at, size)
-        cls, short, previous = contexts(ids, starts, props)
-        inside = (c + 0.5) / (class_n[props & (CLASSES - 1)] + 0.5 * (class_v[props & (CLASSES - 1)] + 1))
-        model_p = np.exp(class_log_prob(tables, cls, short, previous)) * inside[ids]
-        told = text_scores(ids, starts, model_p, occurrences(ids, text), place)
-        base = np.log10((c + 0.5) / (total_n + 0.5 * (total_v + 1)))
-        return pa.table({
-            "doc_id": right.column("doc_id"), "held_out": right.column("held_out"), "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((c > 0)[ids].astype(np.int64), at)),
-            "base_score": pa.array(np.add.reduceat(base[ids], at)), "score": pa.array(np.add.reduceat(told, at)), "n_bytes": right.column("n"),
-        })
+    size = 2 << (BITS + context_bits)
+    sums = np.zeros((2, size))
+    for r in _added(encoded.where(F.col("kind") == TABLE)).collect():  # at most 2 * size counts
+        part = unpacked(r["blob"])[0]
+        sums[r["slice"] & 1, (r["slice"] >> 1) * SLICE :][: len(part)] = part
+    shape = (2, 1 << context_bits, CLASSES)
+    lesson = tables_of(*sums[0].reshape(shape))  # without the documents that the weights are learned on
+    tables = tables_of(*sums.sum(axis=0).reshape(shape))
+    tables.weights = _weights(encoded.where(F.col("kind") == LESSON), lesson, context_bits)
+    texts = encoded.where(F.col("kind") == TEXT).select("chunk", F.lit(-1).alias("bucket"), "doc_ids", "held", "n_bytes", "blob")
+    return Model(tables, class_n, class_v, context_bits), texts.unionByName(answered.where("chunk is not null").select("chunk", "bucket", "blob"), allowMissingColumns=True)
+
+
+def score(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int = 20, context_bits: int = CONTEXT_BITS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
 
-    texts = encoded.where("ids is not null and slice is null").select("chunk", "doc_id", "held_out", "n", "ids")
-    out = counted.select("chunk", "lid", "props", "c").groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    Word and context counts come from all texts outside the held-out fold. The mixing weights are learned in tasks on one in ``apart`` of these
+    documents, all of them whole, from context counts of the others. Context tables have 2 ** ``context_bits`` contexts of each kind,
+    so they are sent to the tasks whatever the corpus; word counts are as many as the words and are added up and handed back by shuffles, in
+    which a chunk of texts sends each of its words once. A null or empty text has the end token alone; repeated rows are scored
+    each; null ids are in the fold of the empty text; an empty table gives no rows; with no training text all counts are zero. Words are told apart by 64-bit
+    hashes. Other columns are not read.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    model, chunks = learned(docs, modulus=modulus, held_out=held_out, apart=apart, context_bits=context_bits)
+    total_n = int(model.class_n.sum())
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = sorted(zip(rows.column("bucket").to_pylist(), range(rows.num_rows), strict=True))
+        blobs, text = rows.column("blob").to_pylist(), parts[0][1]
+        size, ids, props = unpacked(blobs[text])
+        known, base, told = sent.value.text(ids, size, props, np.concatenate([unpacked(blobs[i])[0] for _, i in parts[1:]]))
+        of = lambda k: pa.concat_arrays(rows.column(k).slice(text, 1).chunks).flatten()
+        return pa.table({"doc_id": of("doc_ids"), "held_out": of("held"), "n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(told), "n_bytes": of("n_bytes")})
+
+    out = chunks.groupBy("chunk").applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") * float(np.log2(10))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total_n).cast("long").alias("train_tokens"), "base_score", "score", (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
-
-
-def _learn(tables: Tables, texts: list[str]) -> None:
-    vocabulary, ids = Vocabulary(), []
-    for t in texts:
-        words = (t or "").encode().lower().split()
-        words.append(END)
-        ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
-    if not ids:
-        return
-    props = np.array([properties(w) for w in vocabulary], np.int64)
-    starts = np.zeros(sum(map(len, ids)), bool)
-    starts[np.cumsum([0, *map(len, ids[:-1])])] = True
-    train_weights(tables, *contexts(np.concatenate(ids), starts, props))

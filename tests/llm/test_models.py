@@ -236,13 +236,78 @@ def test_lm_base_and_counts_equal_brute_force(spark, monkeypatch):
     assert all(r["score"] < 0 for r in got) and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def brute_scores(rows, model, apart=20):
+    """log10 probabilities text by text and token by token, with the model's weights and counts of our own."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5
+    context = lambda w: (zlib.crc32(b"p" + (w if len(w) <= 5 else b"~" + w[:1] + w[-3:])) % 2047 + 1, zlib.crc32(b"s" + w) % 2047 + 1 if len(w) <= 3 else 0)
+    class_of = lambda w: zlib.crc32(w if len(w) <= 4 else b"~" + w[-3:]) & 1023
+
+    def walk(t):
+        short = previous = 0
+        for w in tokens(t):
+            yield w, class_of(w), short, previous
+            previous, own = context(w)
+            short = own or short
+
+    words, nodes = Counter(), [Counter(), Counter(), Counter()]
+    for r in rows:
+        if fold(r["doc_id"]) != 1:
+            for w, cls, short, previous in walk(r["text"]):
+                words[w] += 1
+                for depth in range(10):
+                    node, bit = (1 << depth) + (cls >> (10 - depth)), cls >> (9 - depth) & 1
+                    for k, ctx in enumerate((0, short, previous)):
+                        nodes[k][ctx, node, bit] += 1
+    in_class, kinds = Counter(), Counter()
+    for w, n in words.items():
+        in_class[class_of(w)] += n
+        kinds[class_of(w)] += 1
+    out = []
+    for r in rows:
+        total, seen, guesses = 0.0, Counter(), 0.0
+        for place, (w, cls, short, previous) in enumerate(walk(r["text"])):
+            p = (words[w] + 0.5) / (in_class[cls] + 0.5 * (kinds[cls] + 1))
+            for depth in range(10):
+                node, bit = (1 << depth) + (cls >> (10 - depth)), cls >> (9 - depth) & 1
+                z0, z1 = nodes[0][0, node, 0], nodes[0][0, node, 1]
+                share = (z1 + 0.4) / (z0 + z1 + 0.8)
+                x, evidence = [math.log(share / (1 - share))], []
+                for k, ctx in ((1, short), (2, previous)):
+                    a, b = nodes[k][ctx, node, 0], nodes[k][ctx, node, 1]
+                    x.append(math.log(b + 1.5 * share) - math.log(a + 1.5 * (1 - share)))
+                    evidence.append(min(int(math.log2(a + b + 1) / 1.5), 7))
+                weights = model.tables.weights[evidence[1] * 4 + (evidence[0] >> 1)]
+                z = sum(float(u) * v for u, v in zip(weights, x, strict=True))
+                p /= 1 + math.exp(-z if bit else z)
+            own = seen[w] / max(place, 1)
+            share = (0.05 * 20 + guesses) / (20 + place) if place else 0.0
+            total += math.log10((1 - share) * p + share * own)
+            guesses += 0.05 * own / (0.05 * own + 0.95 * p)
+            seen[w] += 1
+        out.append((r["doc_id"], round(total, 3)))
+    return out
+
+
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 3_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 4000").limit(90)
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b"), (10_002, None), (10_003, "é É the the the")], "doc_id long, text string")).repartition(3).cache()
+    rows = docs.collect()
+    model, _ = lm.learned(docs, apart=4)
+    assert not np.allclose(model.tables.weights, [0.2, 0.4, 0.4])  # something was learned
+    got = {(r["doc_id"], round(r["score"], 3)) for r in lm.score(docs, apart=4).collect()}
+    for (doc, want), (_, told) in zip(sorted(brute_scores(rows, model), key=str), sorted(got, key=str), strict=True):
+        assert told == pytest.approx(want, rel=1e-4, abs=2e-3), doc
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    short, previous = rng.integers(0, 3, (lm.CONTEXTS, lm.CLASSES)), rng.integers(0, 3, (lm.CONTEXTS, lm.CLASSES))
+    short, previous = rng.integers(0, 3, (2048, lm.CLASSES)), rng.integers(0, 3, (2048, lm.CLASSES))
     tables = lm.tables_of(short, previous)
     every = np.arange(lm.CLASSES)
     for a, b in ((0, 0), (5, 900), (2047, 1)):
