@@ -88,7 +88,15 @@ def test_url_rules_equal_brute_force(spark):
 
 def brute_mine(baskets, min_support, min_confidence, lift):
     n = len(baskets)
-    least = max(min_support, 2.0 / n)
+    least = min_support
+    where = {}
+    for i, (toks, _) in enumerate(baskets):
+        for t in toks:
+            where.setdefault(t, set()).add(i)
+    first = {}
+    for t in sorted(where):
+        first.setdefault(frozenset(where[t]), t)  # of tokens of the same urls, the first
+    baskets = [({t for t in toks if t in first.values() and len(where[t]) >= least * n}, v) for toks, v in baskets]
     freq = {}
     for toks, verdict in baskets:
         for k in range(1, len(toks) + 1):
@@ -111,14 +119,36 @@ def test_mined_rules_and_verdicts_equal_brute_force(spark):
         host = f"{'abc'[i % 3]}.{'shop' if i % 5 else 'news'}.{'com' if i % 2 else 'org'}"
         rows.append((f"http://{host}/{'en' if i % 4 else 'de'}/{i}", "block" if i % 2 and i % 5 else "allow"))
     data = spark.createDataFrame(rows, "url string, verdict string").withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
-    data = data.withColumn("tokens", urls.tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("row", F.xxhash64("url"))
+    data = data.withColumn("tokens", urls.tokens(F.col("url"), F.col("host"), F.col("path")))
     rules = urls.mine(data, min_support=0.02, min_confidence=0.9)
     got = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in rules.collect()}
     baskets = [(set(r["tokens"]), r["verdict"]) for r in data.collect()]
     want = brute_mine(baskets, 0.02, 0.9, 1.05)
     assert got == pytest.approx(want) and got
-    told = {r["row"]: r["mined_verdict"] for r in urls.judged(data.select("row", "tokens"), rules).collect()}
+    told = {r["url"]: r["mined_verdict"] for r in urls.judged(data.select("url", "tokens"), rules).collect()}
     for r in data.collect():
         fits = {v: max((x for (c, w), x in want.items() if w == v and set(c) <= set(r["tokens"])), default=0) for v in ("block", "allow")}
         if fits["block"] != fits["allow"]:
-            assert told[r["row"]] == max(fits, key=fits.get)
+            assert told[r["url"]] == max(fits, key=fits.get)
+
+
+def test_mined_rules_block_what_no_stated_rule_covers(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 40}.com/en/{i}?sid={i}") for i in range(400)] + [(i, f"https://h{i % 40}.net/de/{i}?page={i}") for i in range(400, 800)]
+    new = [(i, f"http://h{i % 40}.info/fr/{i}?sid=1") for i in range(800, 900)] + [(i, f"https://h{i % 40}.info/fr/{i}?page=1") for i in range(900, 1000)]
+    long = [(2000, "http://" + "a." * 3000 + "com/en/" + "x/" * 3000), (2001, "https://z.info/" + "/".join(map(str, range(4000))) + "?" + "&".join(f"k{i}=1" for i in range(2000)))]
+    pages = spark.createDataFrame(rows + new + long, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filter_urls(pages).collect()}
+    assert len(got) == len(rows + new + long) and all(got[i]["rule"] is None for i, _ in new)
+    assert {got[i]["verdict"] for i in range(800, 900)} == {"block"} and {got[i]["verdict"] for i in range(900, 1000)} == {"allow"}
+    assert got[2000]["rule"] == "com/en/"
+    monkeypatch.setattr(urls, "mine", lambda labelled, **_: spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double, n int"))
+    assert {r["verdict"] for r in urls.filter_urls(pages).collect() if 800 <= r["page_id"] < 1000} == {"allow"}
+
+
+def test_many_stated_rules_are_joined(spark, monkeypatch):
+    rows = [(i, u) for i, u in enumerate(ODD)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    told = lambda: sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages).collect()), key=str)
+    want = told()
+    monkeypatch.setattr(urls, "MOST_RULES", 0)
+    assert told() == want
