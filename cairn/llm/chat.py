@@ -44,11 +44,17 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
-def encoder(path: str = VOCABULARY):
+def vocabulary_of(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, read on the driver; tasks are sent its bytes, so executors need no copy."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(vocabulary: bytes | None = None):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lines = (vocabulary_of() if vocabulary is None else vocabulary).splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={START: START_ID, END: END_ID})
 
 
@@ -59,9 +65,10 @@ def turn_tokens(convs: DataFrame, *, vocabulary: str = VOCABULARY, train_role: s
     to train on, and are equal where there are none. Reserved ids are spliced in between segments, so no
     text can produce them.
     """
+    sent = convs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(sent.value)
         line_end = bpe.encode_ordinary("\n")
         for batch in batches:
             out = {k: [] for k in ("ids", "n", "a", "b")}
@@ -104,11 +111,13 @@ def read_back(tokens: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_ids, n_loss_ids): digests read back from the tokens.
 
     Rows come in the order of conversation and place, and a task keeps only the running digests of the
-    conversation it is in, so the longest conversation needs no more memory than the shortest.
+    conversation it is in, so the longest conversation needs no more memory than the shortest. Its turns do come to one
+    task one after another, as a running SHA-256 can't be split; they are sorted on disk if need be.
     """
+    sent = tokens.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(sent.value)
         state = None
 
         def closed(s):
@@ -128,7 +137,8 @@ def read_back(tokens: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
                     if state is not None:
                         out.append(closed(state))
                     state = {"conv": conv, "turns": 0, "sha": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "ids": 0, "masked": 0}
-                assert ids[0] == START_ID and state["ids"] == start
+                if ids[0] != START_ID or state["ids"] != start:
+                    raise ValueError(f"conversation {conv!r}: a turn does not begin where the one before ends")
                 end = ids.index(END_ID)
                 role, text = bpe.decode(ids[1:end]).split("\n", 1)
                 turn = f"{unescape_role(role)}\n{unescape(text)}\n"

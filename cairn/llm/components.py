@@ -12,8 +12,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node that occurs in ``links`` (columns a, b); root is the least node reachable.
 
     Large-star and small-star passes (Kiveris et al., 2014): each is an aggregation of a node's least
-    neighbour and a join with it, so a node with very many links is combined before the shuffle and no
-    neighbour list is ever gathered. The table of links is cut by a checkpoint each round. Rows with a
+    neighbour, combined before the shuffle, and a join with it; no neighbour list is ever gathered, but the links of one
+    node, pairs of numbers, pass through one task of the join, one after another. The table of links is cut by a checkpoint each round. Rows with a
     null end are no links; a row that links a node with itself only lists the node.
     """
     links = links.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())

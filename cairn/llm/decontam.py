@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import in_batches
+from cairn.llm.common import cut, in_batches
 
 #: Words of a window.
 WINDOW = 8
@@ -27,11 +27,21 @@ UNITS = frozenset(
     "mile miles kilometer kilometers kilometre kilometres meter meters metre metres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres "
     "foot feet inch inches yard yards acre acres hectare hectares pound pounds ounce ounces gram grams kilogram kilograms kilo kilos milligram milligrams ton tons tonne tonnes "
     "liter liters litre litres milliliter milliliters millilitre millilitres gallon gallons quart quarts pint pints cup cups teaspoon teaspoons tablespoon tablespoons "
-    "celsius fahrenheit hertz watt watts volt volts amp amps joule joules calorie calories penny pennies pence yen rupee rupees peso pesos franc francs quarter quarters decade decades century centuries".split()
+    "celsius fahrenheit hertz watt watts volt volts amp amps joule joules calorie calories penny pennies pence yen rupee rupees peso pesos franc francs quarter quarters decade decades century centuries "
+    # German, French and Spanish
+    "sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad zentimeter millimeter fuß zoll meile meilen pfund unze unzen gramm kilogramm tonnen "
+    "seconde secondes heure heures jour jours semaine semaines mois an ans année années pourcent degré degrés mètre mètres kilomètre kilomètres centimètre centimètres pied pieds pouce pouces livre livres gramme grammes tonne litre "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros centímetro centímetros pie pies pulgada pulgadas milla millas libra libras gramo gramos kilo litro litros céntimo céntimos".split()
 )
 
 _NUMBER = re.compile(r"[+-]?(?:[$€£])?\d[\d.,:/]*(?:%|[a-zA-Z]{1,3})?")
-_SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+# Numbers as words. Fixed values.
+_SPELLED = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil".split()
+)
 _TRIM = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 _P = np.uint64(0x100000001B3 * 2 + 1)
 
@@ -216,8 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     count as one document; an empty table on either side gives no rows; words without letter or digit are
     skipped, and so are items without any. Other columns are not read.
     """
-    items = item_windows(benchmark, window)
-    items = items.persist()
+    items = cut(item_windows(benchmark, window))
     wanted = None
     sizes = sorted(r[0] for r in items.select("window").distinct().collect())  # at most ``window`` values
     if not sizes:

@@ -29,7 +29,12 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ENDS_P = BLOCK - frozenset("br button input label select option optgroup textarea tbody td tfoot th thead tr body head html caption legend".split())
 SHIELDS_P = frozenset("button td th table caption html body object".split()) | frozenset("article aside blockquote div section main nav header footer form li dd fieldset figure".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+#: The same for pages of broken quotes: a tag ends at the next ``>``.
+_LOOSE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_BEGINS = re.compile(r"<[!?/a-zA-Z]")
+#: Tags with quotes that never close, after which quotes no longer count; open elements, beyond which none is opened (as in browsers).
+MOST_BROKEN, MOST_DEPTH = 16, 512
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -43,7 +48,10 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page with text, in order: ancestors (tag, class and id tokens) and text with white space folded."""
+    """The leaf blocks of a page with text, in order: ancestors (tag, class and id tokens) and text with white space folded.
+
+    The time is linear in the page, whatever stands in it: what is read again and again for broken quotes or open elements is bounded.
+    """
     stack: list[tuple[str, str]] = []
     found: list[Block] = []
     runs: list[str] = []
@@ -73,14 +81,21 @@ def blocks_of(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
             anchors -= tag == "a"
 
-    n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            said(page[at:])
+    n, last, broken, told = len(page), page.rfind(">"), 0, 0
+    while told < n:
+        b = _BEGINS.search(page, at)
+        start = b.start() if b else n
+        if start > last:  # no tag ends any more; a comment may begin
+            comment = page.find("<!--", start)
+            said(page[told : comment if comment >= 0 else n])
             break
-        said(page[at : m.start()])
-        at = m.end()
+        m = (_TAG if broken < MOST_BROKEN else _LOOSE).match(page, start)
+        if m is None:  # no tag: text
+            broken += page[start + 1] not in "/!?" or page[start + 2 : start + 3].isalpha()
+            at = start + 1
+            continue
+        said(page[told:start])
+        at = told = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
@@ -110,14 +125,15 @@ def blocks_of(page: str) -> list[Block]:
             values = [a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3])]
             if values:
                 tokens = " ".join(dict.fromkeys(_TOKEN.findall(_CAMEL.sub(" ", " ".join(values)).lower())))
-        stack.append((tag, tokens))
-        hidden += tag in HIDDEN
-        anchors += tag == "a"
+        if len(stack) < MOST_DEPTH:
+            stack.append((tag, tokens))
+            hidden += tag in HIDDEN
+            anchors += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             stop = end.start() if end else n
             said(page[at:stop])
-            at = stop
+            at = told = stop
     flush()
     return found
 
@@ -153,7 +169,7 @@ def text_features(block: Block) -> list[str]:
         f"links:{min(4, 4 * block.linked // max(1, n))}",
         f"stop:{text[-1] in '.!?:;…\"”'}",
         f"commas:{min(3, text.count(','))}",
-        f"digits:{min(3, 8 * sum(c.isdigit() for c in text[:400]) // min(n, 400))}",
+        f"digits:{min(3, 8 * sum(map(text.count, '0123456789')) // n)}",
     ]
     if "©" in text or "(c)" in text:
         names.append("copyright")
@@ -284,7 +300,20 @@ MENU_NAMES = "nav navbar menu main-menu navigation breadcrumb breadcrumbs pagina
 FORM_NAMES = "form search-form login contact-form signup search subscribe-form".split()
 
 
-def labelled_variants(page: str, strangers: list[str], seed: int, variants: int = 3) -> list[tuple[list[list[str]], list[int]]]:
+_OTHERS = frozenset(t for name in (*SIDE_NAMES, *AD_NAMES, *NOTICE_NAMES, *COMMENT_NAMES, *FORM_NAMES, *MENU_NAMES) for t in name.split("-")) - frozenset("content author body single list slot container box top".split())
+
+
+def in_main(block: Block) -> bool:
+    """Whether a block is in an article or main element, and in none of its adverts, comments, notices, forms, menus and asides."""
+    tags = [t for t, _ in block.path]
+    for i, t in enumerate(tags):
+        if t in ("article", "main"):
+            inner = block.path[i + 1 :]
+            return not any(tag in ("aside", "nav", "footer", "form") or not _OTHERS.isdisjoint(names.split()) for tag, names in inner)
+    return False
+
+
+def labelled_variants(page: str, strangers: list[str], seed: int, variants: int = 3, most_blocks: int = 80) -> list[tuple[list[list[str]], list[int]]]:
     """Labelled block sequences from a page that marks its article: as it is, and laid out anew in several ways.
 
     In the new layouts the article's own blocks are the main text and everything else is known not to be:
@@ -292,11 +321,11 @@ def labelled_variants(page: str, strangers: list[str], seed: int, variants: int
     article, with varied or no class names. Texts of the other parts come from ``strangers``.
     """
     own = blocks_of(page)
-    main = [b for b in own if any(t in ("article", "main") for t, _ in b.path)]
-    rest = [b for b in own if b not in main]
-    if not main or len(own) > 80:
+    labels = [in_main(b) for b in own]
+    main, rest = ([b for b, label in zip(own, labels, strict=True) if label is side] for side in (True, False))
+    if not main or len(own) > most_blocks:
         return []
-    out = [(features(own), [int(any(t in ("article", "main") for t, _ in b.path)) for b in own])]
+    out = [(features(own), list(map(int, labels)))]
     rng = random.Random(seed)
     texts = [b.text for b in rest] + strangers
     for _ in range(variants):
@@ -378,21 +407,21 @@ def _laid_out(rng: random.Random, main: list[tuple[str, str]], strangers: list[s
     return features(blocks), labels
 
 
-def learn(pages: DataFrame, *, sample: int = 240, longest: int = 30_000, seed: int = 11) -> Crf:
-    """A field fitted on at most ``sample`` pages that mark their article, of at most ``longest`` characters, chosen by a hash of the id."""
+def learn(pages: DataFrame, *, sample: int = 240, longest: int = 30_000, most_blocks: int = 80, seed: int = 11) -> Crf:
+    """A field fitted on at most ``sample`` pages that mark their article, of at most ``longest`` characters and ``most_blocks`` blocks, chosen by a hash of the id."""
     marked = pages.select("page_id", F.col("html").cast("string").alias("html")).where(F.col("page_id").isNotNull() & (F.length("html") <= longest)).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
     marked = marked.withColumn("h", F.xxhash64("html"))
     # ids first: what the tasks send to the driver are ids, and then the chosen pages alone
     chosen = marked.select("page_id", "h").distinct().orderBy(F.xxhash64("page_id"), "page_id", "h").limit(sample)
     found = marked.join(F.broadcast(chosen), ["page_id", "h"]).select(F.xxhash64("page_id").alias("o"), "page_id", "h", "html").distinct().collect()  # at most sample * longest characters
     rows = sorted(found, key=lambda r: (r["o"], r["page_id"], r["h"]))
-    pool = [b.text for r in rows for b in blocks_of(r["html"]) if not any(t in ("article", "main") for t, _ in b.path)]
-    prose = [b.text for r in rows[:40] for b in blocks_of(r["html"]) if len(b.text) < 400]
+    pool = [b.text for r in rows for b in blocks_of(r["html"]) if not in_main(b)]
+    prose = [b.text for r in rows for b in blocks_of(r["html"]) if len(b.text) < 400]
     data = []
     for i, r in enumerate(rows):
         rng = random.Random(seed * 1000 + i)
         strangers = [rng.choice(pool) for _ in range(12)] + [rng.choice(prose) for _ in range(8)] if pool and prose else []
-        data += labelled_variants(r["html"], strangers, seed + i)
+        data += labelled_variants(r["html"], strangers, seed + i, most_blocks=most_blocks)
     return fit(data)
 
 

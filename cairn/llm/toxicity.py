@@ -79,12 +79,13 @@ def weigh(automaton, text: str) -> tuple[float, int, int]:
         else:
             hits.append((start, end, weight))
     best: dict[int, float] = {}
-    at = 0
+    at, reach = 0, -1  # of the exceptions that begin so far, how far one reaches
     spared.sort()
     for start, end, weight in sorted(hits):
-        while at < len(spared) and spared[at][1] < start:
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
             at += 1
-        if any(a <= start and end <= b for a, b in spared[at : at + 4]):
+        if end <= reach:
             continue
         best[start] = max(best.get(start, 0.0), weight)
     return math.fsum(best.values()), len(best), len(low)
@@ -106,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
     """A lexicon from the training fold of ``labels``.
 
     The classifier is fitted on a bounded sample: at most ``per_class`` documents of either label, so the
-    sample's ids are broadcast. Candidates are folded words and their prefixes; each task counts those of
+    sample's ids are broadcast; an id that repeats with several texts gives one of them. Candidates are folded words and their prefixes; each task counts those of
     its own documents, Spark adds them up, and those that occur in ``support`` toxic documents and lean
     to them with a log-likelihood ratio over ``evidence`` plus twice the logarithm of the number of
     candidates (so that chance passes few of however many) stay, at most ``most``. Of candidates that
@@ -115,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, shortest
     document share with an insult are not learned along with it.
     """
     sample = F.broadcast(labelled(labels, per_class=per_class))  # at most 2 * per_class ids
-    texts = cut(in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic").where("text is not null"))
+    texts = cut(in_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
     totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return Lexicon()

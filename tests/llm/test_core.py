@@ -310,6 +310,72 @@ def test_decontamination_of_names_at_sentence_starts_units_and_short_items(spark
     assert got == {(1, 1), (3, 2), (4, 3), (6, 4), (8, 5)}
 
 
+def brute_contaminated(docs, items, window=8, run=13, coverage=0.5):
+    """All windows of all documents against all windows of all items, compared word by word in the three forms."""
+    reader = decontam.Reader()
+
+    def words(text):
+        _, ids, *_, kind = reader.read([text or ""])
+        return [(reader.words.form[i].lower(), int(k)) for i, k in zip(ids.tolist(), kind.tolist(), strict=True)]
+
+    def masked(w, form):
+        slots = {decontam.NUM: "<num>", decontam.UNIT: "<unit>"} | ({decontam.NAME: "<name>"} if form else {}) | ({decontam.START: "<name>"} if form == 2 else {})
+        return [slots.get(k, x) for x, k in w], [x for x, k in w if k in slots]
+
+    found = set()
+    for item, item_text in items:
+        iw = words(item_text)
+        size = min(window, len(iw))
+        if size < decontam.SHORT:
+            continue
+        for doc, doc_text in docs:
+            dw = words(doc_text)
+            shifts = {}
+            for p in range(len(dw) - size + 1):
+                for q in range(len(iw) - size + 1):
+                    a, b = dw[p : p + size], iw[q : q + size]
+                    for form in (0, 1, 2):
+                        if form == 2 and any(sum(k == decontam.WORD_ for _, k in w) < min(decontam.LITERAL, size // 2) for w in (a, b)):
+                            continue
+                        (x, sx), (y, sy) = masked(a, form), masked(b, form)
+                        if x == y:
+                            for started in (False, True) if form < 2 else (True,):
+                                shifts.setdefault((p - q, started), []).append((q, tuple(sy), tuple(sx)))
+            for started in (False, True):
+                at_all, longest = set(), 0
+                for (_, s), hits in shifts.items():
+                    if s is not started:
+                        continue
+                    filled = {f for _, i, d in hits for f in zip(i, d, strict=True)}
+                    agrees = len({i for i, _ in filled}) == len(filled) == len({d for _, d in filled})
+                    at = {q for q, i, d in hits if agrees or i == d}
+                    at_all |= at
+                    best = 0
+                    for q in sorted(at):
+                        best = best + 1 if q - 1 in at else 1
+                        longest = max(longest, best + size - 1)
+                if at_all and (longest >= min(run, len(iw)) or len(at_all) / (len(iw) - size + 1) >= coverage):
+                    found.add((doc, item))
+    return found
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+    names, nouns = ["Ann", "Tom", "Eva", "Max"], ["pens", "cups", "maps", "nuts"]
+
+    def item():
+        a, b, n = rng.choice(names), rng.choice(names), rng.choice(nouns)
+        return f"{a} has {rng.randint(2, 9)} {rng.choice(('red', 'blue'))} {n}. {b} walks {rng.randint(2, 99)} {rng.choice(('km', 'miles', 'meters'))} to the shop and buys {rng.randint(2, 9)} more {n} for {a}."
+
+    items = [(i, item()) for i in range(6)] + [(6, "What is 4 plus 5 ?"), (7, "the cat sat on the mat")]
+    filler = lambda: " ".join(rng.choice(("the", "shop", "and", "cat", "sat", "on", "mat", "Ann", "5", "km")) for _ in range(rng.randint(0, 25)))
+    docs = [(i, f"{filler()} {rng.choice((item(), rng.choice(items)[1], '', 'What is 7 plus 2 ?'))} {filler()}") for i in range(40)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string").withColumn("h", F.lit("x")).withColumn("pos", F.lit(1))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and len(want) > 20
+
+
 def test_decontamination_checks_slots(spark):
     item = "add 3 apples to 3 pears and 5 plums then take 3 away and give 5 to them all"
     wrong = "add 4 apples to 9 pears and 5 plums then take 2 away and give 1 to them all"
@@ -349,6 +415,40 @@ def test_folding_and_exceptions():
     assert toxicity.weigh(found, None) == (0.0, 0, 0)
 
 
+def brute_weigh(lexicon, text):
+    """Every stem at every word start of the folded text, outside every exception phrase."""
+    low = toxicity.folded(text)
+    begins = [i for i in range(len(low)) if not i or not low[i - 1].isalpha()]
+    spared = [(i, i + len(p)) for p in lexicon.exceptions for i in begins if low.startswith(p, i) and not low[i + len(p) : i + len(p) + 1].isalpha()]
+    best = {}
+    for stem, weight in lexicon.stems.items():
+        for i in begins:
+            if low.startswith(stem, i) and not any(a <= i and i + len(stem) <= b for a, b in spared):
+                best[i] = max(best.get(i, 0.0), weight)
+    return sum(best.values()), len(best), len(low)
+
+
+def test_toxicity_weights_equal_brute_force(spark):
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc": 2.5, "ca": 0.5, "b": 0.25}, ("abc a", "a b c a", "abc", "ca b", "b b b b b b b"))
+    texts = [None, "", " ", "abc", "ABC 4bc аbс"] + ["".join(rng.choice("abc  b4.а") for _ in range(rng.randrange(400))) for _ in range(200)]
+    automaton = lexicon.automaton()
+    want = {}
+    for i, t in enumerate(texts):
+        got, brute = toxicity.weigh(automaton, t), brute_weigh(lexicon, t)
+        assert got == pytest.approx(brute), t
+        want[i] = lexicon.score_of(brute[0], brute[2])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("weight", F.lit(1))
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()} == pytest.approx(want)
+
+
+def test_repeated_labelled_ids_are_learned_once(spark):
+    rows = [(i % 40, f"{'badword' if i % 40 < 20 else 'fine'} number {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 3, "doc_id long, toxic int")
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert any("badword".startswith(s) for s in lexicon.stems)
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -78,12 +78,18 @@ def test_pruned_index_equals_full_sums():
     rng = np.random.default_rng(1)
     texts = [np.minimum(rng.zipf(1.3, rng.integers(0, 400)) - 1, 4999).astype(np.int32) for _ in range(3000)]
     index = search.Index(np.arange(5000, dtype=np.int64), texts, 200.0)
-    assert len(index.dense) > 10
+    assert index.dense.shape[1] > 10
     queries = [(t, np.log(1 + 3000 / (index.df[t] + 0.5))) for t in (np.unique(texts[i]) for i in range(60)) if len(t)]
-    full = [index.exact(t, w, np.arange(3000)) for t, w in queries]
+    full = [index.exact(index.rare_sums([q])[0], index.common_weights(*q), np.arange(3000)) for q in queries]
+    plain = np.zeros((60, 3000))
+    for i, (terms, weights) in enumerate(queries):
+        for x, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            span = slice(index.start[x], index.start[x + 1])
+            plain[i, index.docs[span]] += index.impact[span] * w
+    assert np.allclose(full, plain[: len(full)], atol=1e-8)
     for level in (0, 10, 1):
         thresholds = np.array([0.0 if not level else np.sort(f)[-level] for f in full])
-        got = dict(index.candidates(queries, thresholds, 10))
+        got = {i: docs for i, docs, _ in index.candidates(queries, thresholds, 10)}
         for i, f in enumerate(full):
             best = np.sort(f)[-10:]
             want = set(np.flatnonzero((f >= best[0]) & (f >= thresholds[i]) & (f > 0)).tolist())
@@ -182,6 +188,19 @@ def test_blocks():
     assert html.blocks_of("") == [] and [b.text for b in html.blocks_of("a < b <3 <")] == ["a < b <3 <"]
 
 
+def test_blocks_in_linear_time():
+    import time
+
+    odd = ['<a "x', "<!", "<div>", "<b>", "</i>", '<a ">" ', "<!--", "<script>", "<p x='", "</", "&", "<td>"]
+    began = time.perf_counter()
+    for piece in odd:
+        html.blocks_of(piece * (1_000_000 // len(piece)))
+        html.blocks_of(piece * (300_000 // len(piece)) + '<p>tail</p>">')
+    html.blocks_of("<b>" * 100_000 + "</i>" * 100_000)
+    assert time.perf_counter() - began < 90
+    assert [b.text for b in html.blocks_of('<p class="a>b">one</p> a </ b <p>two <3 <!-- x')] == ["one", "a </ b", "two <3"]
+
+
 def article_of(page):
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
     return " ".join(stdlib_html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))).split())

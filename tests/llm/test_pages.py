@@ -18,16 +18,17 @@ def brute_chat(rows):
     out = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
         o = out.setdefault(conv, [0, "", "", 0])
+        o[3] += len(f"{chat.START}{chat.escape_role(role or '')}\n{chat.escape(text or '')}{chat.END}\n")
         o[0] += 1
         o[1] += f"{role or ''}\n{text or ''}\n"
         o[2] += (text or "") if role == "assistant" else ""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return {c: (n, sha(a), len(b), sha(b)) for c, (n, a, b, _) in out.items()}
+    return {c: (n, sha(a), len(b), sha(b), k) for c, (n, a, b, k) in out.items()}
 
 
 def digests(spark, rows, kind=CONV):
     got = chat.read_back(chat.formatted(spark.createDataFrame(rows, kind))).collect()
-    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got}
+    return {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in got}
 
 
 def test_chat_round_trip_of_the_table(spark):
