@@ -49,10 +49,8 @@ class Lexicon:
 
     def automaton(self):
         found = ahocorasick.Automaton()
-        for stem, weight in self.stems.items():
-            found.add_word(stem, (len(stem), weight))
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+        for word in {*self.stems, *self.exceptions}:
+            found.add_word(word, (len(word), self.stems.get(word), word in self.exceptions))
         found.make_automaton()
         return found
 
@@ -69,14 +67,13 @@ def weigh(automaton, text: str) -> tuple[float, int, int]:
     if not len(automaton):
         return 0.0, 0, len(low)
     hits, spared = [], []
-    for end, (size, weight) in automaton.iter(low):
+    for end, (size, weight, exception) in automaton.iter(low):
         start = end - size + 1
         if start and low[start - 1].isalpha():
             continue
-        if weight is None:
-            if end + 1 == len(low) or not low[end + 1].isalpha():
-                spared.append((start, end))
-        else:
+        if exception and (end + 1 == len(low) or not low[end + 1].isalpha()):
+            spared.append((start, end))
+        if weight is not None:
             hits.append((start, end, weight))
     best: dict[int, float] = {}
     at, reach = 0, -1  # of the exceptions that begin so far, how far one reaches
@@ -186,7 +183,7 @@ def _exceptions(texts: DataFrame, stems: dict[str, float], most: int = 1000) ->
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 low, seen = folded(text), set()
-                for end, (size, _) in automaton.iter(low):
+                for end, (size, *_) in automaton.iter(low):
                     start = end - size + 1
                     if start and low[start - 1].isalpha():
                         continue
