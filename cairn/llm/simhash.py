@@ -188,7 +188,7 @@ def wide_links(prints: DataFrame, *, words: int, positions: np.ndarray | None =
     The blocks are the bits at the lines of ``positions``, else ``blocks_for`` the number of rows; rows that share a block are candidates, are
     screened by the first 64 bits (at most ``first_bits`` differ: 5 deviations above what ``max_share`` gives) and verified over all bits.
     The rows of a block of over ``cap`` are seated in cells of ``cell`` rows, and a cell's task finds its components. The components of
-    all links so far then tell what is left: in a block whose rows lie in several components, the rows outside the largest one meet
+    all links so far then tell what is left: in a block of several cells whose rows lie in several components, the rows outside the largest one meet
     all rows of the block, in cells of two times ``cell``. So rows that share a block end in one component if they are close,
     whatever the block's size; no task holds more than a cell, and a cell gives no more links than it has rows.
     """
@@ -203,7 +203,8 @@ def wide_links(prints: DataFrame, *, words: int, positions: np.ndarray | None =
     seated = crowded.withColumn("j", F.lit(0).cast("long")).join(wide, "node").withColumn("root", F.col("node"))
     links = cut(links.union(_met(seated, words, max_share, first_bits)))
     roots = cut(components(links))
-    rooted = cut(crowded.select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")))
+    large = crowded.groupBy("key").agg(F.max("i").alias("m")).where("m > 0").select("key")
+    rooted = cut(crowded.join(large, "key").select("node", "key").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root")))
     by_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     parted = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
     parted = cut(parted.select("key", "main", F.ceil(F.col("n") / cell).alias("across"), F.ceil((F.col("n") - F.col("most")) / cell).alias("down")))
