@@ -72,6 +72,12 @@ def boolean(text: Column | str) -> Column:
     return F.when(t.isin("true", "1", "1.0", "yes", "y"), True).when(t.isin("false", "0", "0.0", "no", "n"), False)
 
 
+def strict_boolean(text: Column | str) -> Column:
+    """``boolean`` as a flag column needs it: null is false, and text that is neither true nor false fails the job."""
+    told = boolean(text)
+    return F.when(col(text).isNull(), False).when(told.isNotNull(), told).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), col(text).cast("string"))).cast("boolean"))
+
+
 def gate(value: Column | str, threshold: float) -> Column:
     """value <= threshold, inclusive."""
     return col(value) <= F.lit(threshold)
@@ -79,7 +85,7 @@ def gate(value: Column | str, threshold: float) -> Column:
 
 def path_ids(path: Column | str) -> tuple[Column, Column]:
     """(subject, study) from ``.../p<digits>/p<subject>/s<study>/...``; null where it does not match."""
-    pattern = r"(?:^|/)p\d+/p(\d+)/s(\d+)/"
+    pattern = r"(?:^|/)p\d+/p(\d+)/s(\d+)/"  # the archive's layout, a fixed value
     return tuple(F.nullif(F.regexp_extract(col(path), pattern, i), F.lit("")).try_cast("long") for i in (1, 2))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars as S
 from cairn.operators import pairing
 
-#: Names that give a label, in order of preference, and upper bounds of ranges, which never do.
+# Names that give a label, in order of preference, and upper bounds of ranges, which never do. Fixed values.
 CHAIN = ["lvef", "biplane_lvef", "rest_lvef", "rest_biplane_lvef", "lvef_3d"]
 BOUNDS = ["lvef_upper", "rest_lvef_upper"]
 WINDOW_STAGES = ["all", "linked", "any_label", "accepted", "overlap", "paired", "in_stay"]
@@ -60,13 +60,13 @@ def cohort_flags(
 
 
 def cohort(flags: DataFrame, patients: DataFrame, files: DataFrame, threshold: float = 40.0) -> DataFrame:
-    """The final rows: label, gate, gap in hours, file count (0 if none) and demographics."""
+    """The final rows by subject and study: label, gate, gap in hours, file count (0 if none) and demographics."""
     counts = file_counts(files)
     out = flags.where("in_cohort").join(patients, "subject_id", "left").join(counts, "study_id", "left")
     return out.select(
         "subject_id", "study_id", "record_id", "ts", "record_ts", F.round(F.col("gap_seconds") / 3600.0, 4).alias("delta_hours"), F.col("value").alias("label"), "label_source",
         S.gate("value", threshold).alias("gate"), "path", F.coalesce("n_files", F.lit(0)).alias("n_files"), "stay_id", "start_ts", "end_ts", *[c for c in patients.columns if c != "subject_id"],
-    )
+    ).orderBy("subject_id", "study_id")
 
 
 def file_counts(files: DataFrame) -> DataFrame:

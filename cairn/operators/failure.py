@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,16 @@ def taxonomy(preds: DataFrame, threshold: float = 40.0, tolerance: float = 5.0)
     )
 
 
+def score_subsets(df: DataFrame, modalities: list[str], predict_fn: Callable[[frozenset[str]], Column], keep: list[str]) -> DataFrame:
+    """(keep, subset, pred): every row scored with each non-empty set of modalities present, in one pass.
+
+    ``predict_fn`` gets the set and gives a column, built in or a pandas UDF; sets are written in order, joined by '+'.
+    """
+    sets = [c for n in range(1, len(modalities) + 1) for c in itertools.combinations(modalities, n)]
+    told = F.explode(F.array(*[F.struct(F.lit("+".join(c)).alias("subset"), predict_fn(frozenset(c)).cast("double").alias("pred")) for c in sets]))
+    return df.select(*keep, told.alias("_t")).select(*keep, "_t.*")
+
+
 def by_subset(preds: DataFrame, subset: str = "subset") -> DataFrame:
     """(subset, mae): the error with each set of modalities present; sets are written in order, joined by '+'."""
     return preds.groupBy(subset).agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))

@@ -57,6 +57,14 @@ def enrich(files: DataFrame, records: DataFrame, studies: DataFrame, path: str =
     return out.join(studies.select("subject_id", "study_id", "study_ts"), ["subject_id", "study_id"], "left")
 
 
+def enrichment_counts(enriched: DataFrame) -> DataFrame:
+    """(n, n_by_record, n_by_path, n_without_ids, n_with_time): how the rows of ``enrich`` came to their ids."""
+    known, ids = F.col("by_record"), F.col("subject_id").isNotNull() & F.col("study_id").isNotNull()
+    return enriched.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("n_by_record"), F.count_if(~known & ids).alias("n_by_path"), F.count_if(~ids).alias("n_without_ids"), F.count("study_ts").alias("n_with_time")
+    )
+
+
 def missing_ids(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """What is still to do: rows of ``wanted`` whose key is not cached."""
     return wanted.join(cached.select(key), key, "left_anti")

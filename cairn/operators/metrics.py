@@ -2,80 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.operators import splits
+
 
 def mae(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", baseline: float | None = None) -> DataFrame:
     """(by, n, mae, baseline_mae): the baseline predicts the mean of the scored group, or a given train mean."""
     if baseline is not None:
         rows, base = df, F.lit(float(baseline))
+    elif not by:
+        rows, base = df, F.lit(df.agg(F.avg(y).cast("double")).first()[0]).cast("double")  # one number
     else:  # means first, a row per group, then joined: no group is gathered in one task
-        means = df.groupBy(*by).agg(F.avg(y).alias("_m")) if by else df.agg(F.avg(y).alias("_m"))
+        means = df.groupBy(*by).agg(F.avg(y).alias("_m"))
         means = means.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_m")
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
-        rows, base = (df.join(means, same) if by else df.withColumn("_k", F.lit(1)).join(means.withColumn("_k", F.lit(1)), "_k")), F.col("_m")
+        rows, base = df.join(means, _same(by, [f"_by{i}" for i in range(len(by))])), F.col("_m")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(pred) - F.col(y))).alias("mae"), F.avg(F.abs(base - F.col(y))).alias("baseline_mae"))
 
 
+def _same(names: list[str], others: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(names, others, strict=True)], F.lit(True))
+
+
 def _score_counts(df: DataFrame, by: list[str], gate: str, score: str, weight: str | None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(gate).isNotNull() & F.col(score).isNotNull())
     return rows.groupBy(*by, (F.col(score).cast("double") + 0.0).alias("_s")).agg(F.sum(F.when(F.col(gate), w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(gate), 0).otherwise(w)).alias("neg"))
 
 
-def auroc(df: DataFrame, by: list[str], gate: str = "gate", score: str = "score", weight: str | None = None) -> DataFrame:
-    """(by, n_pos, n_neg, auroc): ties count half; null if a class is missing.
+def score_edges(df: DataFrame, score: str, pieces: int = 64) -> list[float]:
+    """Scores that cut the rows into ``pieces`` of about equal size, from a mergeable sketch: at most ``pieces`` - 1 numbers."""
+    if pieces < 2:
+        return []
+    found = df.agg(F.percentile_approx(F.col(score).cast("double") + 0.0, [i / pieces for i in range(1, pieces)], 10_000)).first()[0]
+    return sorted(set(found or []))
 
-    Rows are first summed per distinct score, so the running sum sees each score of a group once.
-    """
-    counts = _score_counts(df, by, gate, score, weight)
-    below = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1) if by else W.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    rows = counts.withColumn("_b", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    out = rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("_b") + F.col("neg") * 0.5)).alias("_u"))
-    return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_u").cast("double"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
 
+def _before(counts: DataFrame, by: list[str], values: list[str], edges: list[float], desc: bool = False) -> DataFrame:
+    """Adds b_<value>, the sum of each value over the scores _s of the group that come before.
 
-def auroc_global(df: DataFrame, gate: str = "gate", score: str = "score", partitions: int | None = None) -> DataFrame:
-    """(n_pos, n_neg, auroc) of one group with any number of distinct scores.
+    The scores between two edges are one piece: sums per group and piece come first, so that a group is laid
+    out by as many tasks as it has pieces, and the sums of the pieces before are at most a row per edge.
+    """
+    piece = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("_s"))) if edges else F.lit(0)
+    rows = counts.withColumn("_q", piece)
+    order = lambda c: F.desc(c) if desc else F.asc(c)
+    span = (W.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_q").agg(*[F.sum(v).alias(f"_k_{v}") for v in values])
+    upto = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(order("_q")).rowsBetween(*span)
+    base = sums.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_q").alias("_p"), *[F.coalesce(F.sum(f"_k_{v}").over(upto), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = W.partitionBy(*by, "_q").orderBy(order("_s")).rowsBetween(*span)
+    rows = rows.withColumns({f"_i_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    rows = rows.join(base, _same([*by, "_q"], [*[f"_by{i}" for i in range(len(by))], "_p"]))
+    return rows.select(*counts.columns, *[(F.col(f"_o_{v}") + F.col(f"_i_{v}")).alias(f"b_{v}") for v in values])
+
+
+def auroc(df: DataFrame, by: list[str], gate: str = "gate", score: str = "score", weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
+    """(by, n_pos, n_neg, auroc): ties count half; null if a class is missing.
 
-    Scores are range-partitioned; each partition's negatives are summed up to offsets, a row per partition,
-    and the running sums stay inside the partitions.
+    Rows are first summed per distinct score, so the running sum sees each score of a group once, in the pieces between
+    ``edges`` (see ``score_edges``; found from the scores if not given).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    edges = score_edges(df, score) if edges is None else edges
+    rows = _before(_score_counts(df, by, gate, score, weight), by, ["neg"], edges)
+    out = rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("b_neg") + F.col("neg") * 0.5)).alias("_u"))
+    return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_u").cast("double"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
 
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    counts = _score_counts(df, [], gate, score, None).repartitionByRange(n, "_s").withColumn("_p", F.spark_partition_id()).checkpoint()
-    offsets = counts.groupBy("_p").agg(F.sum("neg").alias("_k")).select("_p", F.coalesce(F.sum("_k").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.coalesce(F.sum("neg").over(W.partitionBy("_p").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = counts.withColumn("_i", inside).join(F.broadcast(offsets), "_p")  # a row per partition
-    out = rows.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("_o") + F.col("_i") + F.col("neg") * 0.5)).alias("_u"))
-    return out.select("n_pos", "n_neg", F.try_divide(F.col("_u").cast("double"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
 
+def auroc_global(df: DataFrame, gate: str = "gate", score: str = "score", pieces: int = 256) -> DataFrame:
+    """(n_pos, n_neg, auroc) of one group with any number of distinct scores."""
+    return auroc(df, [], gate, score, edges=score_edges(df, score, pieces))
 
-def average_precision(df: DataFrame, by: list[str], gate: str = "gate", score: str = "score") -> DataFrame:
+
+def average_precision(df: DataFrame, by: list[str], gate: str = "gate", score: str = "score", weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
     """The step sum of precision over recall, taken at each distinct score from above; null without positives."""
-    counts = _score_counts(df, by, gate, score, None)
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    upto = part.orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = counts.withColumn("_tp", F.sum("pos").over(upto)).withColumn("_fp", F.sum("neg").over(upto)).withColumn("_all", F.sum("pos").over(part))
-    step = F.try_divide(F.col("pos").cast("double"), F.col("_all")) * F.col("_tp") / (F.col("_tp") + F.col("_fp"))
-    return rows.groupBy(*by).agg(F.sum(step).alias("average_precision"))
+    edges = score_edges(df, score) if edges is None else edges
+    rows = _before(_score_counts(df, by, gate, score, weight), by, ["pos", "neg"], edges, desc=True)
+    tp, fp = F.col("b_pos") + F.col("pos"), F.col("b_neg") + F.col("neg")
+    out = rows.groupBy(*by).agg(F.sum(F.col("pos").cast("double") * tp / (tp + fp)).alias("_u"), F.sum("pos").alias("_all"))
+    return out.select(*by, F.try_divide("_u", F.col("_all").cast("double")).alias("average_precision"))
 
 
-def brier(df: DataFrame, by: list[str], gate: str = "gate", p: str = "p") -> DataFrame:
+def brier(df: DataFrame, by: list[str], gate: str = "gate", p: str = "p", weight: str | None = None) -> DataFrame:
     error = F.col(p) - F.col(gate).cast("int")
-    return df.groupBy(*by).agg(F.avg(error * error).alias("brier"))
+    if weight is None:
+        return df.groupBy(*by).agg(F.avg(error * error).alias("brier"))
+    rows = df.where(error.isNotNull())
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(error * error * F.col(weight)), F.sum(weight)).alias("brier"))
 
 
 def stratified_metrics(df: DataFrame, strata: list[str], by: list[str] = (), *, y: str = "y", pred: str = "pred", gate: str = "gate", min_n: int = 20) -> DataFrame:
-    """(by, stratum, value, n, mae, baseline_mae, auroc, small_n) overall and for each value of each stratum; missing values are 'unknown'.
+    """(by, stratum, value, n, mae, baseline_mae, auroc, small_n) overall and for each value of each stratum, in this order; missing values are 'unknown'.
 
     The score is the negative prediction: a low prediction tells the gate.
     """
@@ -83,8 +105,8 @@ def stratified_metrics(df: DataFrame, strata: list[str], by: list[str] = (), *,
     pairs = F.explode(F.array(F.struct(F.lit("overall").alias("stratum"), F.lit("all").alias("value")), *[F.struct(F.lit(s).alias("stratum"), F.coalesce(F.col(s).cast("string"), F.lit("unknown")).alias("value")) for s in strata]))
     rows = df.select(*by, F.col(y).alias("y"), F.col(pred).alias("pred"), F.col(gate).alias("gate"), (-F.col(pred)).alias("score"), pairs.alias("_x")).select(*by, "y", "pred", "gate", "score", "_x.stratum", "_x.value")
     keys = [*by, "stratum", "value"]
-    out = mae(rows, keys).join(auroc(rows, keys), keys, "left")
-    return out.withColumn("small_n", F.col("n") < min_n)
+    out = mae(rows, keys).join(auroc(rows, keys, edges=[-e for e in reversed(score_edges(df, pred))]), keys, "left")
+    return out.withColumn("small_n", F.col("n") < min_n).orderBy(*keys)
 
 
 def gate_fairness(df: DataFrame, targets: dict[str, str], strata: list[str], least: int = 5) -> DataFrame:
@@ -131,18 +153,21 @@ def group_error(df: DataFrame, by: str, y: str = "y", pred: str = "pred") -> Dat
 
 
 def draws(df: DataFrame, by: list[str], key: str, b: int, seed: int) -> DataFrame:
-    """Resamples with replacement, n rows per replicate and group: replicate, by, and the drawn row.
+    """Resamples with replacement, n rows per replicate and group: replicate, weight, and the drawn row.
 
-    Rows are numbered per group; draw j of replicate r is number md5(seed:r:j) mod n. The draws of a row are
+    Rows are numbered per group in the order of md5(seed:key) by counted buckets; draw j of replicate r is number md5(seed:r:j) mod n. The draws of a row are
     known from the numbers alone, so they are counted per row and sent as weights.
     """
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    rows = df.withColumn("_i", F.row_number().over(part.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(part))
+    spark = df.sparkSession
+    rows = splits.global_rank(df.withColumn("_o", splits.shuffled(key, seed)), "_o", by, key).withColumnRenamed("total", "_n").withColumn("_i", F.col("rank") - 1).drop("rank", "_o")
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_i").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
-    picks = rows.select(*by, "_i", "_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(*by, "replicate", F.pmod(h, F.col("_n")).alias("_i"))
+    # a fixed number of tasks: few bytes come in and very many rows go out
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    picks = rows.select(*by, "_i", "_n").repartition(tasks, *by, "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(*by, "replicate", F.pmod(h, F.col("_n")).alias("_i"))
     # dealt by row once, for both the count of draws and the join
-    weights = picks.repartition(*by, "_i").groupBy(*by, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(rows.drop("_n"), [*by, "_i"]).drop("_i")
+    weights = picks.repartition(tasks, *by, "_i").groupBy(*by, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
+    weights = weights.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_i").alias("_pick"), "replicate", "weight")
+    return weights.join(rows.drop("_n"), _same([*by, "_i"], [*[f"_by{i}" for i in range(len(by))], "_pick"])).drop("_i", "_pick", *[f"_by{i}" for i in range(len(by))])
 
 
 def poisson_weights(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
@@ -157,17 +182,23 @@ def poisson_weights(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("_u", u).withColumn("weight", weight).where("weight > 0").drop("_u")
 
 
+def _resampled(df: DataFrame, by: list[str], key: str, b: int, seed: int, mode: str) -> DataFrame:
+    if mode not in ("exact", "poisson"):
+        raise ValueError(f"mode is {mode!r}, not 'exact' or 'poisson'")
+    return draws(df, by, key, b, seed) if mode == "exact" else poisson_weights(df, key, b, seed)
+
+
 def bootstrap_ci(df: DataFrame, by: list[str], *, key: str = "example_id", y: str = "y", pred: str = "pred", gate: str = "gate", b: int = 1000, seed: int = 42, alpha: float = 0.05, mode: str = "exact") -> DataFrame:
     """Percentile intervals of MAE and AUROC per group, with how many replicates had no AUROC (``mode`` exact or poisson)."""
-    rows = draws(df, by, key, b, seed) if mode == "exact" else poisson_weights(df, key, b, seed)
+    rows = _resampled(df, by, key, b, seed, mode)
     keys = [*by, "replicate"]
     # both metrics from one table of sums per replicate and score
     w = F.col("weight")
     counts = rows.groupBy(*keys, (-F.col(pred).cast("double") + 0.0).alias("_s")).agg(
         F.sum(F.when(F.col(gate), w).otherwise(0)).alias("pos"), F.sum(F.when(~F.col(gate), w).otherwise(0)).alias("neg"), F.sum(F.abs(F.col(pred) - F.col(y)) * w).alias("e"), F.sum(w).alias("w")
     )
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("_b", below).groupBy(*keys).agg((F.sum("e") / F.sum("w")).alias("mae"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("_b") + F.col("neg") * 0.5)).alias("_u"))
+    counts = _before(counts, keys, ["neg"], [-e for e in reversed(score_edges(df, pred))])
+    sums = counts.groupBy(*keys).agg((F.sum("e") / F.sum("w")).alias("mae"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("b_neg") + F.col("neg") * 0.5)).alias("_u"))
     both = sums.withColumn("auroc", F.try_divide(F.col("_u").cast("double"), F.col("p").cast("double") * F.col("n")))
     lo, hi = alpha / 2, 1 - alpha / 2
     return both.groupBy(*by).agg(
@@ -176,13 +207,26 @@ def bootstrap_ci(df: DataFrame, by: list[str], *, key: str = "example_id", y: st
     )
 
 
+def bootstrap_metric(df: DataFrame, by: list[str], metric_fn: Callable[[DataFrame, list[str], str], DataFrame], value: str, *, key: str = "example_id", b: int = 1000, seed: int = 42, alpha: float = 0.05, mode: str = "exact") -> DataFrame:
+    """(by, lo, hi, replicates, discarded) of any metric: ``metric_fn(rows, keys, weight)`` gives a row per key with a column ``value``.
+
+    ``average_precision``, ``auroc`` and ``brier`` take a weight column; replicates in which the value is null are discarded.
+    """
+    keys = [*by, "replicate"]
+    values = metric_fn(_resampled(df, by, key, b, seed, mode), keys, "weight")
+    return values.groupBy(*by).agg(
+        F.percentile(value, F.lit(alpha / 2)).alias("lo"), F.percentile(value, F.lit(1 - alpha / 2)).alias("hi"), F.count(value).alias("replicates"), F.count_if(F.col(value).isNull()).alias("discarded")
+    )
+
+
 def paired_delta(df: DataFrame, by: list[str], *, pred_a: str, pred_b: str, key: str = "example_id", y: str = "y", gate: str = "gate", b: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Intervals of metric(a) - metric(b) over the same draws; a replicate's AUROC counts only if both have one."""
     rows = draws(df, by, key, b, seed)
     keys = [*by, "replicate"]
     w = F.col("weight")
     errors = rows.groupBy(*keys).agg((F.sum((F.abs(F.col(pred_a) - F.col(y)) - F.abs(F.col(pred_b) - F.col(y))) * w) / F.sum(w)).alias("d_mae"))
-    a, c = (auroc(rows.withColumn("_score", -F.col(p)), keys, gate, "_score", "weight").select(*keys, F.col("auroc").alias(n)) for p, n in ((pred_a, "_a"), (pred_b, "_c")))
+    edges = {p: [-e for e in reversed(score_edges(df, p))] for p in (pred_a, pred_b)}
+    a, c = (auroc(rows.withColumn("_score", -F.col(p)), keys, gate, "_score", "weight", edges[p]).select(*keys, F.col("auroc").alias(n)) for p, n in ((pred_a, "_a"), (pred_b, "_c")))
     both = errors.join(a, keys, "left").join(c, keys, "left").withColumn("d_auroc", F.col("_a") - F.col("_c"))
     lo, hi = alpha / 2, 1 - alpha / 2
     return both.groupBy(*by).agg(*[F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in ("d_mae", "d_auroc") for q, n in ((lo, "lo"), (hi, "hi"))], F.count("d_auroc").alias("auroc_replicates"))
@@ -193,9 +237,10 @@ def paired_delta(df: DataFrame, by: list[str], *, pred_a: str, pred_b: str, key:
 
 def degradation(metrics: DataFrame, condition: str = "condition") -> DataFrame:
     """Differences of mae and auroc to the full condition, and which drop costs most."""
-    full = metrics.where(F.col(condition) == "full").select(F.col("mae").alias("_m"), F.col("auroc").alias("_a"), F.lit(1).alias("_k"))
-    rows = metrics.where(F.col(condition) != "full").withColumn("_k", F.lit(1)).join(full, "_k")
-    rows = rows.select(condition, (F.col("mae") - F.col("_m")).alias("delta_mae"), (F.col("auroc") - F.col("_a")).alias("delta_auroc"))
+    full = F.col(condition) == "full"
+    everything = W.partitionBy(F.lit(0))  # a row per condition
+    rows = metrics.withColumn("_m", F.max(F.when(full, F.col("mae"))).over(everything)).withColumn("_a", F.max(F.when(full, F.col("auroc"))).over(everything))
+    rows = rows.where(F.col(condition) != "full").select(condition, (F.col("mae") - F.col("_m")).alias("delta_mae"), (F.col("auroc") - F.col("_a")).alias("delta_auroc"))
     return rows.withColumn("largest", F.row_number().over(W.orderBy(F.desc("delta_mae"), condition)) == 1)
 
 

@@ -12,21 +12,21 @@ def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def global_rank(df: DataFrame, order: str, by: str | None = None, ties: str | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: str, by: str | list[str] | None = None, ties: str | None = None) -> DataFrame:
     """Adds rank, from 1, and total, the number of rows, in the order of a hex digest, for all rows or per value of ``by``.
 
     Counts per bucket of the digest's first digits are summed up first, so no task sees all rows of a value.
     """
-    own = [by] if by else []
+    own = [by] if isinstance(by, str) else list(by or [])
     rows = df.withColumn("_b", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
     counts = rows.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_k"))
-    part = W.partitionBy(*own) if by else W.partitionBy(F.lit(0))
+    part = W.partitionBy(*own) if own else W.partitionBy(F.lit(0))
     before = F.sum("_k").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    base = counts.select(*[F.col(c).alias("_by") for c in own], F.col("_b").alias("_bucket"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_k").over(part).alias("total"))
+    base = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(own)], F.col("_b").alias("_bucket"), F.coalesce(before, F.lit(0)).alias("_base"), F.sum("_k").over(part).alias("total"))
     inside = F.row_number().over(W.partitionBy(*own, "_b").orderBy(order, *([ties] if ties else [])))
     same = F.col("_b") == F.col("_bucket")
-    if by:
-        same = same & F.col(by).eqNullSafe(F.col("_by"))
+    for i, c in enumerate(own):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     ranked = rows.withColumn("_r", inside).join(base, same).withColumn("rank", F.col("_base") + F.col("_r"))
     return ranked.select(*df.columns, "rank", "total")
 
@@ -80,11 +80,17 @@ def fingerprint(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
     return group.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
-def sha256_of_ids(df: DataFrame, key: str, by: str) -> DataFrame:
-    """(by, n, sha256) of the sorted, line-separated ids of each split, for id lists that fit a value."""
-    return df.groupBy(by).agg(F.collect_set(F.col(key).cast("long")).alias("ids")).select(
-        by, F.size("ids").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), "\n").cast("binary"), 256).alias("sha256")
-    )
+def sha256_of_ids(df: DataFrame, key: str, by: str, width: int = 100_000) -> DataFrame:
+    """(by, n, sha256) of the distinct ids of each split.
+
+    The sorted, line-separated ids of each run of ``width`` id values have a digest; the digest of a split is that of
+    these digests in order, so no value holds more than a run (with ids below ``width`` it is one digest of one list).
+    """
+    ids = df.select(by, F.col(key).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_run", F.floor(F.col("_id") / width))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    runs = ids.groupBy(by, "_run").agg(F.count(F.lit(1)).alias("k"), digest(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda x: x.cast("string")), "\n")).alias("d"))
+    every = runs.groupBy(by).agg(F.sum("k").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_run", "d"))), lambda x: x["d"]).alias("ds"))
+    return every.select(by, "n", F.when(F.size("ds") == 1, F.col("ds")[0]).otherwise(digest(F.array_join("ds", "\n"))).alias("sha256"))
 
 
 def split_manifest(df: DataFrame, subject: str = "subject_id", split: str = "split") -> DataFrame:

@@ -47,9 +47,10 @@ def wide_to_vector(df: DataFrame, *, prefix: str, model: str, subject: str | Non
     return rows.dropna(subset=["subject_id", "study_id"])
 
 
-def write_shards(df: DataFrame, path: str, folder: str = "folder") -> None:
-    """One folder per value, each written by the tasks that hold it."""
-    df.repartition(folder).write.mode("overwrite").partitionBy(folder).option("compression", "snappy").parquet(path)
+def write_shards(df: DataFrame, path: str, folder: str = "folder", order: str | None = None) -> None:
+    """One folder per value, written by as many tasks as its share of the rows takes: ranges of folder and ``order``, or of a hash of the row."""
+    last = F.col(order) if order else F.xxhash64(*df.columns)
+    df.repartitionByRange(F.col(folder), last).write.mode("overwrite").partitionBy(folder).option("compression", "snappy").parquet(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -223,7 +223,7 @@ def test_auroc_with_ties(spark):
         assert got[k] == pytest.approx(brute_auc([r[1] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k]))
     assert got["z"] == 0.5 and got["w"] is None
     known = [r for r in rows if r[0] != "w"]
-    assert metrics.auroc_global(df.where("k <> 'w'"), partitions=5).first()["auroc"] == pytest.approx(brute_auc([r[1] for r in known], [r[2] for r in known]))
+    assert metrics.auroc_global(df.where("k <> 'w'"), pieces=5).first()["auroc"] == pytest.approx(brute_auc([r[1] for r in known], [r[2] for r in known]))
 
 
 def test_binary_metrics(spark):
@@ -457,3 +457,39 @@ def test_vector_cache(spark, tmp_path):
     assert [r["id"] for r in c.missing(rows("b", "q").select("id")).collect()] == ["q"]
     assert cache.VectorCache(spark, str(tmp_path / "cache"), "other", "v1").read().count() == 0
     assert c.stats().first()["n"] == 3
+
+
+def test_metrics_by_pieces_equal_one_window(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, None if g == 3 else int(g), float(s), bool(y), int(w)) for i, (g, s, y, w) in enumerate(zip(rng.integers(0, 4, 900), rng.integers(0, 60, 900) / 4, rng.random(900) < 0.3, rng.integers(1, 4, 900), strict=True))]
+    df = spark.createDataFrame(rows, "example_id int, g int, score double, gate boolean, w int").cache()
+    for of in (metrics.auroc, metrics.average_precision):
+        told = [{r["g"]: r[-1] for r in of(df, ["g"], weight="w", edges=e).collect()} for e in ([], metrics.score_edges(df, "score", 16), [-1.0, 7.0, 7.25, 99.0])]
+        assert told[0] == pytest.approx(told[1]) and told[0] == pytest.approx(told[2]) and None in told[0]
+    mean = metrics.bootstrap_metric(df.withColumn("p", F.col("score") / 16), ["g"], lambda rows, keys, w: metrics.brier(rows, keys, weight=w), "brier", b=30).collect()
+    assert len(mean) == 4 and all(r["lo"] <= r["hi"] and r["replicates"] == 30 for r in mean)
+    with pytest.raises(ValueError):
+        metrics.bootstrap_ci(df, [], mode="other")
+
+
+def test_digest_of_split_ids(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(s, i) for s in "ab" for i in range(25)] + [("a", 3), ("a", None)], "split string, id int")
+    one = {r["split"]: (r["n"], r["sha256"]) for r in splits.sha256_of_ids(df, "id", "split").collect()}
+    assert one["a"] == (25, hashlib.sha256("\n".join(map(str, range(25))).encode()).hexdigest()) == one["b"]
+    two = {r["split"]: r["n"] for r in splits.sha256_of_ids(df, "id", "split", width=4).collect()}
+    assert two == {"a": 25, "b": 25}
+
+
+def test_strict_booleans(spark):
+    df = spark.createDataFrame([("yes",), (None,), ("0",)], "t string")
+    assert [r[0] for r in df.select(S.strict_boolean("t")).collect()] == [True, False, False]
+    with pytest.raises(Exception, match="not a boolean"):
+        spark.createDataFrame([("maybe",)], "t string").select(S.strict_boolean("t")).collect()
+
+
+def test_shards_are_written_by_several_tasks(spark, tmp_path):
+    tables.write_shards(spark.range(1000).selectExpr("id", "if(id < 900, 'a', 'b') AS folder"), str(tmp_path / "s"))
+    assert len({f.name for f in (tmp_path / "s").rglob("*.parquet")}) > 1
+    assert tables.read_parquet(spark, str(tmp_path / "s"), ["id"]).count() == 1000
