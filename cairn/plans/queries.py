@@ -689,7 +689,7 @@ drawn AS (SELECT p.condition, p.rep, b.y, b.pred, b.gate FROM picks p JOIN base
 @query(
     with_views(
         f"""
-SELECT condition, round(quantile_cont(mae, 0.025), 9) AS mae_lo, round(quantile_cont(mae, 0.975), 9) AS mae_hi, round(quantile_cont(auroc, 0.025), 9) AS auroc_lo, round(quantile_cont(auroc, 0.975), 9) AS auroc_hi,
+SELECT condition, round(quantile_cont(mae, 0.025), 6) AS mae_lo, round(quantile_cont(mae, 0.975), 6) AS mae_hi, round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi,
        count(auroc) AS auroc_replicates, count(*) - count(auroc) AS auroc_discarded
 FROM (SELECT condition, rep, avg(abs(pred - y)) AS mae FROM drawn GROUP BY condition, rep) JOIN {_auc("condition, rep", score="-pred", source="drawn")} USING (condition, rep) GROUP BY condition""",
         "predictions",
@@ -698,13 +698,13 @@ FROM (SELECT condition, rep, avg(abs(pred - y)) AS mae FROM drawn GROUP BY condi
 )
 def bootstrap_ci(spark, d):
     out = metrics.bootstrap_ci(V.predictions(spark, d), ["condition"], b=20)
-    return out.select("condition", *[F.round(c, 9).alias(c) for c in ("mae_lo", "mae_hi", "auroc_lo", "auroc_hi")], "auroc_replicates", "auroc_discarded")
+    return out.select("condition", *[F.round(c, 6).alias(c) for c in ("mae_lo", "mae_hi", "auroc_lo", "auroc_hi")], "auroc_replicates", "auroc_discarded")
 
 
 @query(
     with_views(
         f"""
-SELECT round(quantile_cont(d_mae, 0.025), 9) AS d_mae_lo, round(quantile_cont(d_mae, 0.975), 9) AS d_mae_hi, round(quantile_cont(a.auroc - c.auroc, 0.025), 9) AS d_auroc_lo, round(quantile_cont(a.auroc - c.auroc, 0.975), 9) AS d_auroc_hi, count(a.auroc - c.auroc) AS auroc_replicates
+SELECT round(quantile_cont(d_mae, 0.025), 6) AS d_mae_lo, round(quantile_cont(d_mae, 0.975), 6) AS d_mae_hi, round(quantile_cont(a.auroc - c.auroc, 0.025), 6) AS d_auroc_lo, round(quantile_cont(a.auroc - c.auroc, 0.975), 6) AS d_auroc_hi, count(a.auroc - c.auroc) AS auroc_replicates
 FROM (SELECT rep, avg(abs(full_ - y) - abs(a_dropped - y)) AS d_mae FROM drawn GROUP BY rep) JOIN {_auc("rep", score="-full_", source="drawn")} a USING (rep) JOIN {_auc("rep", score="-a_dropped", source="drawn")} c USING (rep)""",
         "examples",
         more="""
@@ -715,7 +715,7 @@ drawn AS (SELECT rep, b.* FROM picks JOIN base b ON pick = b.i)""",
 )
 def paired_delta(spark, d):
     out = metrics.paired_delta(V.examples(spark, d), [], pred_a="full", pred_b="a_dropped", b=20, seed=7)
-    return out.select(*[F.round(c, 9).alias(c) for c in ("d_mae_lo", "d_mae_hi", "d_auroc_lo", "d_auroc_hi")], "auroc_replicates")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("d_mae_lo", "d_mae_hi", "d_auroc_lo", "d_auroc_hi")], "auroc_replicates")
 
 
 def _poisson_steps() -> list[float]:
@@ -740,7 +740,7 @@ errors AS (SELECT condition, rep, sum(abs(pred - y) * w) / sum(w) AS mae FROM dr
 @query(
     with_views(
         """
-SELECT condition, round(quantile_cont(mae, 0.025), 9) AS mae_lo, round(quantile_cont(mae, 0.975), 9) AS mae_hi, round(quantile_cont(auroc, 0.025), 9) AS auroc_lo, round(quantile_cont(auroc, 0.975), 9) AS auroc_hi,
+SELECT condition, round(quantile_cont(mae, 0.025), 6) AS mae_lo, round(quantile_cont(mae, 0.975), 6) AS mae_hi, round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi,
        count(auroc) AS auroc_replicates, count(*) - count(auroc) AS auroc_discarded
 FROM errors JOIN areas USING (condition, rep) GROUP BY condition""",
         "predictions",
@@ -750,19 +750,19 @@ FROM errors JOIN areas USING (condition, rep) GROUP BY condition""",
 def bootstrap_poisson(spark, d):
     """Intervals with Poisson weights."""
     out = metrics.bootstrap_ci(V.predictions(spark, d), ["condition"], b=20, mode="poisson")
-    return out.select("condition", *[F.round(c, 9).alias(c) for c in ("mae_lo", "mae_hi", "auroc_lo", "auroc_hi")], "auroc_replicates", "auroc_discarded")
+    return out.select("condition", *[F.round(c, 6).alias(c) for c in ("mae_lo", "mae_hi", "auroc_lo", "auroc_hi")], "auroc_replicates", "auroc_discarded")
 
 
 @query(
     with_views(
         """
-SELECT condition, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, count(v) AS replicates, count(*) - count(v) AS discarded, 'average_precision' AS metric
+SELECT condition, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(v) AS replicates, count(*) - count(v) AS discarded, 'average_precision' AS metric
 FROM (
   SELECT condition, rep, sum(CAST(pos AS DOUBLE) / total * tp / (tp + fp)) AS v FROM (
     SELECT condition, rep, pos, sum(pos) OVER (PARTITION BY condition, rep) AS total, sum(pos) OVER (PARTITION BY condition, rep ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY condition, rep ORDER BY s DESC) AS fp
     FROM (SELECT condition, rep, -pred AS s, count(*) FILTER (gate) AS pos, count(*) FILTER (NOT gate) AS neg FROM drawn GROUP BY ALL)) GROUP BY condition, rep) GROUP BY condition
 UNION ALL
-SELECT condition, round(quantile_cont(v, 0.025), 9), round(quantile_cont(v, 0.975), 9), count(v), count(*) - count(v), 'brier'
+SELECT condition, round(quantile_cont(v, 0.025), 6), round(quantile_cont(v, 0.975), 6), count(v), count(*) - count(v), 'brier'
 FROM (SELECT condition, rep, avg((p - CAST(gate AS INT)) * (p - CAST(gate AS INT))) AS v FROM drawn GROUP BY condition, rep) GROUP BY condition""",
         "predictions",
         more=_DRAWS.replace("b.gate FROM", "b.gate, b.p FROM"),
@@ -773,7 +773,7 @@ def bootstrap_metrics(spark, d):
     rows = V.predictions(spark, d)
     given = {"average_precision": lambda df, keys, w: metrics.average_precision(df, keys, weight=w), "brier": lambda df, keys, w: metrics.brier(df, keys, weight=w)}
     told = [metrics.bootstrap_metric(rows, ["condition"], f, name, b=20).withColumn("metric", F.lit(name)) for name, f in given.items()]
-    return told[0].unionByName(told[1]).select("condition", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "replicates", "discarded", "metric")
+    return told[0].unionByName(told[1]).select("condition", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "replicates", "discarded", "metric")
 
 
 @query(
