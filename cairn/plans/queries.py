@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import cohort, failure, filters, joins, metrics, models, pairing, pooling, splits, text
+from cairn.operators import cohort, columns, failure, filters, joins, metrics, models, pairing, pooling, splits, text
 from cairn.plans import views as V
 from cairn.plans.views import with_views
 from cairn.sources import cache, tables
@@ -1155,3 +1155,110 @@ def split_view(spark, d):
 @query(with_views("SELECT CAST(sum(CAST('0x' || substr(md5(i::VARCHAR), 1, 12) AS BIGINT)) AS VARCHAR) AS sum_hash, count(*) AS n FROM (SELECT DISTINCT subject_id AS i FROM studies)", "studies"))
 def set_fingerprint(spark, d):
     return splits.fingerprint(V.studies(spark, d), "subject_id")
+
+
+# Tables and columns -------------------------------------------------------------------------------
+
+
+_STATUS = "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders GROUP BY o_orderstatus"
+
+
+@query(f"SELECT kind, t.* FROM ({_STATUS}) t, (VALUES ('csv'), ('parquet')) k(kind)")
+def table_round_trip(spark, d):
+    """Tables written and read by extension."""
+    rows, out = V._t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), None
+    for kind in ("csv", "parquet"):
+        path = f"{cache.scratch(spark, 'table')}.{kind}"
+        tables.write_table(rows, path)
+        one = tables.read_table(spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("customers")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT l_linenumber AS line, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1")
+def shards_round_trip(spark, d):
+    """A table written in folders, read from all of them with two columns."""
+    path = cache.scratch(spark, "shards")
+    rows = V._t(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber AS line", "cast(l_quantity AS double) AS quantity", "concat('f', l_returnflag) AS folder")
+    tables.write_shards(rows, path, order="l_orderkey")
+    return tables.read_parquet(spark, path, ["line", "quantity"]).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+
+
+@query("SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def summary_round_trip(spark, d):
+    """A small result written as JSON lines and read again."""
+    path = cache.scratch(spark, "summary")
+    rows = V._t(spark, d, "customer").join(V._t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    tables.write_summary(rows.groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("nation string, n long").json(path)
+
+
+@query("SELECT count(*) AS rows, CAST(64 AS INT) AS dim, '' AS missing, 'split' AS missing_recommended, true AS ready FROM embeddings")
+def readiness(spark, d):
+    """Whether a table can be used."""
+    told = tables.readiness(V._t(spark, d, "embeddings"), ["vec_id", "embedding"], ["label", "split"], "embedding")
+    row = (told["rows"], told["dim"], ",".join(told["missing"]), ",".join(told["missing_recommended"]), told["ready"])
+    return spark.createDataFrame([row], "rows long, dim int, missing string, missing_recommended string, ready boolean")
+
+
+@query(
+    with_views(
+        "SELECT subject_id, example_id AS study_id, example_id AS record_id, y AS label, CAST(NULL AS VARCHAR) AS split, CAST(NULL AS VARCHAR) AS age, source AS sex, CAST(NULL AS VARCHAR) AS race, CASE WHEN example_id % 3 = 0 THEN y <= 40 ELSE gate END AS gate FROM examples", "examples"
+    )
+)
+def normalize_cohort(spark, d):
+    """Columns found by candidate names in any case; a missing gate comes from the label."""
+    rows = V.examples(spark, d).selectExpr("subject_id AS Subject", "example_id AS STUDY_ID", "example_id AS rec", "y AS Value", "source AS gender", "CASE WHEN example_id % 3 <> 0 THEN gate END AS gate")
+    return columns.metadata(columns.normalize_cohort(rows, record_id="rec"), ("subject_id", "study_id", "record_id", "label", "split", "age", "sex", "race", "gate"))
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS ve0, CAST(embedding[2] AS DOUBLE) AS ve1, CAST(embedding[3] AS DOUBLE) AS ve2, CAST(3 AS INT) AS dim, CAST(2 AS INT) AS tokens, embedding[1] = embedding[1] AS same FROM embeddings")
+def spread_and_tile(spark, d):
+    """A vector as columns, and as repeated tokens."""
+    v = V._t(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("e"))
+    dim = columns.vector_dim(v, "e")
+    rows = columns.spread(v.withColumn("t", S.tile("e", 2)), "e", dim)
+    same = (F.col("t")[0][0] == F.col("ve0")) & (F.col("t")[0] == F.col("t")[1])
+    return rows.select("vec_id", *[F.col(f"ve{i}").cast("double").alias(f"ve{i}") for i in range(3)], F.lit(dim).alias("dim"), F.size("t").alias("tokens"), same.alias("same"))
+
+
+@query(with_views("SELECT record_id, 's' || record_id || '/rec.mp4' AS key FROM records", "records").replace("'/rec.mp4' AS key", "'/rec.mp4' AS key"))
+def path_key(spark, d):
+    return V.records(spark, d).select("record_id", S.path_key(F.replace("path", F.lit("rec.dat"), F.lit("rec.dcm"))).alias("key")).select("record_id", F.substring_index("key", "/", -2).alias("key"))
+
+
+@query(
+    with_views(
+        "SELECT example_id, condition, CASE condition WHEN 'full' THEN 0 WHEN 'a_dropped' THEN 1 ELSE 2 END AS place, CASE WHEN y >= 8 THEN 64 / y END AS ratio FROM predictions",
+        "predictions",
+    )
+)
+def report_values(spark, d):
+    """The order of conditions in reports, and infinite ratios as null."""
+    rows = V.predictions(spark, d)
+    ratio = F.when(F.col("y") >= 8, 64 / F.col("y")).otherwise(F.lit(float("inf")))
+    return rows.select("example_id", "condition", S.condition_order("condition").alias("place"), S.null_safe(ratio).alias("ratio"))
+
+
+@query("SELECT CASE l_returnflag WHEN 'R' THEN 'maybe' WHEN 'A' THEN 'x1' END AS value, count(*) AS n FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1")
+def bad_booleans(spark, d):
+    """Texts that are no boolean, with counts."""
+    told = F.when(F.col("l_returnflag") == "R", "maybe").when(F.col("l_returnflag") == "A", "x1").otherwise(F.when(F.col("l_linenumber") > 2, "yes"))
+    return filters.bad_booleans(V._t(spark, d, "lineitem").select(told.alias("flag")), "flag")
+
+
+@query(with_views("SELECT vec_id, split FROM vectors", "vectors"))
+def checked_splits(spark, d):
+    """Rows whose splits and conditions have passed their checks."""
+    rows = V.vectors(spark, d).select("vec_id", "split")
+    filters.check_splits(rows)
+    filters.check_conditions(["full", "b_dropped"])
+    return filters.require_vectors(rows, ["vec_id"])
+
+
+@query(with_views("SELECT example_id, max(y) AS y, CAST(count(*) AS INT) AS n FROM predictions GROUP BY example_id", "predictions"))
+def aligned_predictions(spark, d):
+    """Predictions that hold the same examples and labels under every condition."""
+    rows = V.predictions(spark, d)
+    joins.check_aligned(rows)
+    return rows.groupBy("example_id").agg(F.max("y").alias("y"), F.count(F.lit(1)).cast("int").alias("n"))
