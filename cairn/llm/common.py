@@ -52,6 +52,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """``df``, for tasks in Python: from here on the session hands over batches of at most ``BATCH_BYTES``, so that long texts don't add up."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -301,4 +301,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """
     key = F.xxhash64(F.col("text").cast("string"))
     bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["text"].cast("string")) == bad["_bad"], "left_anti")

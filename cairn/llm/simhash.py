@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import cut, in_batches
+from cairn.llm.common import cut, free, in_batches
 from cairn.llm.components import components
 
 #: Multiplier of the streams that widen one 64-bit hash to several (the golden ratio in 64 bits).
@@ -405,12 +405,12 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     repeat both, one stays.
     """
     heads = groups.where("head").groupBy(F.col("doc_id").alias("_head"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    key = text_key(F.col("text"))
 
     def those(chosen: DataFrame) -> DataFrame:
-        return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_head")) & (key == F.col("_key")), "left_semi")
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_head"]) & (text_key(docs["text"]) == chosen["_key"]), "left_semi")
 
     if not heads.where("_n > 1").limit(1).count():
         return those(heads)
-    twice = those(heads.where("_n > 1")).withColumn("_text", key).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    name = free(docs, "text_key")
+    twice = those(heads.where("_n > 1")).withColumn(name, text_key(F.col("text"))).dropDuplicates(["doc_id", name]).drop(name)
     return those(heads.where("_n = 1")).unionByName(twice)

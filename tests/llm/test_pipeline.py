@@ -107,3 +107,28 @@ def test_stages_with_odd_rows(spark, tmp_path):
             now = spark.read.parquet(f"{tmp_path}/{n}-{i}")
             if name == "simhash_near_dedup":
                 assert sorted((r["doc_id"] for r in now.collect()), key=str) == ([1, 4, 5] if n else [])
+
+
+def test_columns_of_clashing_names_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from cairn.llm import decontam, lm, mixing, search, simhash
+
+    names = "_head _bad _id _n _key _s _u h head item_id row size rn start rank taken target score predicted hits node key root a b fp wide salt n k word words kind chunk bucket blob held ids term df shard q part group slots pos form window token tokens label toxic".split()
+    plain = table(spark, SF, "documents").where("doc_id % 3 = 0").select("doc_id", "text", "source", "lang", "n_chars")
+    clash = plain.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    labels, items = table(spark, SF, "labels"), table(spark, SF, "benchmark")
+    lexicon = toxicity.Lexicon({"the": 1.0}, (), (-1.0, 1.0, 0.5))
+    ids = ["doc_id", "text"]
+    for of in (
+        mixing.mix,
+        lambda docs: toxicity.score(docs, lexicon),
+        lambda docs: toxicity.kept(docs, lexicon).select(ids),
+        lambda docs: toxicity.score(plain, toxicity.learn(docs, labels.withColumn("text", F.lit("y")).withColumn("n", F.lit(1)))),
+        lm.score,
+        simhash.simhash_groups,
+        lambda docs: simhash.one_of_each(docs, simhash.near_copies(docs)).select(ids),
+        lambda docs: decontam.clean(docs, items.withColumn("doc_id", F.lit(1)).withColumn("h", F.lit(1))).select(ids),
+        lambda docs: search.search(docs, docs.where("doc_id % 20 = 0"), k=3),
+    ):
+        assert sorted(map(str, of(clash).collect())) == sorted(map(str, of(plain).collect()))
