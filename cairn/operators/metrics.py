@@ -163,11 +163,11 @@ def draws(df: DataFrame, by: list[str], key: str, b: int, seed: int) -> DataFram
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_i").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long")
     # a fixed number of tasks: few bytes come in and very many rows go out
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    picks = rows.select(*by, "_i", "_n").repartition(tasks, *by, "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select(*by, "replicate", F.pmod(h, F.col("_n")).alias("_i"))
+    rows = rows.withColumn("_g", F.struct(*by) if by else F.lit(0))  # a struct is a key even where its fields are null
+    picks = rows.select("_g", "_i", "_n").repartition(tasks, "_g", "_i").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).select("_g", "replicate", F.pmod(h, F.col("_n")).alias("_i"))
     # dealt by row once, for both the count of draws and the join
-    weights = picks.repartition(tasks, *by, "_i").groupBy(*by, "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
-    weights = weights.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_i").alias("_pick"), "replicate", "weight")
-    return weights.join(rows.drop("_n"), _same([*by, "_i"], [*[f"_by{i}" for i in range(len(by))], "_pick"])).drop("_i", "_pick", *[f"_by{i}" for i in range(len(by))])
+    weights = picks.repartition(tasks, "_g", "_i").groupBy("_g", "replicate", "_i").agg(F.count(F.lit(1)).alias("weight"))
+    return weights.join(rows.drop("_n"), ["_g", "_i"]).drop("_g", "_i")
 
 
 def poisson_weights(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
