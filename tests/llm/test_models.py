@@ -69,7 +69,7 @@ def test_search_equals_brute_force_on_the_table(spark, monkeypatch):
 
 def test_search_edge_cases(spark):
     docs = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, ""), (3, None), (4, "A, (b)!"), (5, "z " * 30_000), (6, ".. !!"), (7, "é É")]
-    queries = [(1, "a b"), (1, "c"), (2, ""), (3, None), (8, "nowhere"), (None, "a"), (5, "z"), (7, "É")]
+    queries = [(1, "a b"), (1, "c"), (2, ""), (3, None), (8, "nowhere"), (None, "a"), (5, "z"), (7, "É"), (9, "C b, a"), (11, "b a c c")]
     same(found(spark, docs, queries, 3), brute_search(docs, [q for q in queries if q[0] is not None], 3))
     assert found(spark, [], [], 3) == {} and found(spark, docs, [], 3) == {} and found(spark, [], queries, 3) == {}
 
