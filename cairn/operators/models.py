@@ -49,6 +49,13 @@ class Linear:
         return S.weighted(vector, self.weights) + F.lit(self.intercept)
 
 
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows; a null vector is an error."""
+    if column.null_count:
+        raise ValueError("a vector is null")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def gram(df: DataFrame, vector: str, label: str) -> tuple[np.ndarray, int]:
     """(Z'Z, n) of z = (1, x, y): tasks add up their own rows by blocks, so that what moves is one d-by-d matrix per task."""
 
@@ -59,7 +66,7 @@ def gram(df: DataFrame, vector: str, label: str) -> tuple[np.ndarray, int]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(0).to_pylist(), float)
+            x = _matrix(batch.column(0))
             z = np.concatenate([np.ones((len(x), 1)), x, batch.column(1).to_numpy(zero_copy_only=False)[:, None]], axis=1)
             total = z.T @ z if total is None else total + z.T @ z
             n += len(x)
@@ -106,7 +113,7 @@ def fit_ridge_loo(df: DataFrame, vector: str, label: str, alphas: list[float] =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = (np.array(batch.column(0).to_pylist(), float) - mx) @ vectors
+            z = (_matrix(batch.column(0)) - mx) @ vectors
             y = batch.column(1).to_numpy(zero_copy_only=False) - my
             for i, a in enumerate(alphas):
                 shrunk = z / (values + a)
