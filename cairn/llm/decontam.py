@@ -30,17 +30,17 @@ UNITS = frozenset(
     "celsius fahrenheit hertz watt watts volt volts amp amps joule joules calorie calories penny pennies pence yen rupee rupees peso pesos franc francs quarter quarters decade decades century centuries "
     # German, French and Spanish
     "sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad zentimeter millimeter fuß zoll meile meilen pfund unze unzen gramm kilogramm tonnen "
-    "seconde secondes heure heures jour jours semaine semaines mois an ans année années pourcent degré degrés mètre mètres kilomètre kilomètres centimètre centimètres pied pieds pouce pouces livre livres gramme grammes tonne litre "
-    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros centímetro centímetros pie pies pulgada pulgadas milla millas libra libras gramo gramos kilo litro litros céntimo céntimos".split()
+    "seconde secondes heure heures jour jours semaine semaines mois ans année années pourcent degré degrés mètre mètres kilomètre kilomètres centimètre centimètres pied pieds pouce pouces livre livres gramme grammes tonne litre "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros centímetro centímetros pies pulgada pulgadas milla millas libra libras gramo gramos kilo litro litros céntimo céntimos".split()
 )
 
 _NUMBER = re.compile(r"[+-]?(?:[$€£])?\d[\d.,:/]*(?:%|[a-zA-Z]{1,3})?")
-# Numbers as words. Fixed values.
+# Numbers as words, without those that are other words in another of the languages (once, cent, dos, mil). Fixed values.
 _SPELLED = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
     "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
-    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante cent mille "
-    "dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil".split()
+    "deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante mille "
+    "tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta cien".split()
 )
 _TRIM = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
 _P = np.uint64(0x100000001B3 * 2 + 1)
