@@ -20,19 +20,18 @@ RUN, COVERAGE = 13, 0.5
 #: Benchmark windows up to which their hashes are sent to the tasks that read documents.
 MOST_WINDOWS = 4_000_000
 
-# Units that follow a number. Fixed values.
-UNITS = frozenset(
-    "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "percent % c f k kelvin degree degrees kmh kph mph hz khz mhz ghz w kw v a j kj cal kcal pa kpa bar b kb mb gb tb usd eur gbp dollar dollars cent cents euro euros "
-    "mile miles kilometer kilometers kilometre kilometres meter meters metre metres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres "
-    "foot feet inch inches yard yards acre acres hectare hectares pound pounds ounce ounces gram grams kilogram kilograms kilo kilos milligram milligrams ton tons tonne tonnes "
-    "liter liters litre litres milliliter milliliters millilitre millilitres gallon gallons quart quarts pint pints cup cups teaspoon teaspoons tablespoon tablespoons "
-    "celsius fahrenheit hertz watt watts volt volts amp amps joule joules calorie calories penny pennies pence yen rupee rupees peso pesos franc francs quarter quarters decade decades century centuries "
-    # German, French and Spanish
-    "sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad zentimeter millimeter fuß zoll meile meilen pfund unze unzen gramm kilogramm tonnen "
-    "seconde secondes heure heures jour jours semaine semaines mois ans année années pourcent degré degrés mètre mètres kilomètre kilomètres centimètre centimètres pied pieds pouce pouces livre livres gramme grammes tonne litre "
-    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros centímetro centímetros pies pulgada pulgadas milla millas libra libras gramo gramos kilo litro litros céntimo céntimos".split()
+# Units that follow a number: abbreviations and words without a regular plural, and words with a plural in s. Fixed values.
+_AS_THEY_ARE = (
+    "mm cm m km in ft yd mi mg g kg lb oz t ml l gal s sec min h hr percent % c f k kelvin kmh kph mph hz khz mhz ghz w kw v a j kj cal kcal pa kpa bar b kb mb gb tb usd eur gbp foot feet inch inches celsius fahrenheit hertz "
+    "penny pennies pence yen century centuries mois meses stunden tage tagen wochen monate monaten jahre jahren sekunden meilen unzen tonnen prozent grad zentimeter millimeter fuß zoll pfund unze gramm kilogramm"
 )
+_WITH_PLURAL = (
+    "sec min hr second minute hour day week month year degree dollar cent euro mile kilometer kilometre meter metre centimeter centimetre millimeter millimetre yard acre hectare pound ounce gram kilogram kilo milligram ton tonne "
+    "liter litre milliliter millilitre gallon quart pint cup teaspoon tablespoon watt volt amp joule calorie rupee peso franc quarter decade "
+    "sekunde stunde tag woche monat jahr meile seconde heure jour semaine année pourcent degré mètre kilomètre centimètre pied pouce livre gramme "
+    "segundo minuto hora día semana mes año grado metro kilómetro centímetro pulgada milla libra gramo litro céntimo"
+)
+UNITS = frozenset(_AS_THEY_ARE.split()) | {w + s for w in _WITH_PLURAL.split() for s in ("", "s")} | {"pies"}
 
 _NUMBER = re.compile(r"[+-]?(?:[$€£])?\d[\d.,:/]*(?:%|[a-zA-Z]{1,3})?")
 # Numbers as words, without those that are other words in another of the languages (once, cent, dos, mil). Fixed values.
