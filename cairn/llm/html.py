@@ -148,6 +148,29 @@ def _close(stack, tags, shields, pop_to) -> None:
             return
 
 
+# Class names that pages give their parts. Fixed values.
+MAIN_NAMES = "content main-content post-content entry-content article-body article-content story-body post-body article post entry story text body-text page-content single-post".split()
+SIDE_NAMES = "sidebar side-bar aside related related-posts widget widget-area rail recommended most-read trending popular tags author-box secondary".split()
+AD_NAMES = "ad ads advert advertisement ad-slot banner sponsored sponsor promo promotion ad-container adsbox dfp outbrain".split()
+NOTICE_NAMES = "notice cookie-notice cookie-banner cookie consent gdpr alert message newsletter newsletter-signup popup modal subscribe paywall disclaimer announcement".split()
+COMMENT_NAMES = "comments comment-list comment comment-body reader-comments discussion responses replies disqus feedback".split()
+FOOT_NAMES = "footer site-footer page-footer copyright legal bottom colophon".split()
+HEAD_NAMES = "header site-header masthead top-bar branding page-header logo tagline".split()
+MENU_NAMES = "nav navbar menu main-menu navigation breadcrumb breadcrumbs pagination pager sub-nav share social share-buttons skip-link toc".split()
+FORM_NAMES = "form search-form login contact-form signup search subscribe-form".split()
+
+_OTHERS = frozenset(t for name in (*SIDE_NAMES, *AD_NAMES, *NOTICE_NAMES, *COMMENT_NAMES, *FORM_NAMES, *MENU_NAMES) for t in name.split("-")) - frozenset("content author body single list slot container box top".split())
+
+
+def in_main(path: tuple[tuple[str, str], ...]) -> bool:
+    """Whether a block's ancestors have it in an article or main element, and in none of its adverts, comments, notices, forms, menus and asides."""
+    for i, (t, _) in enumerate(path):
+        if t in ("article", "main"):
+            inner = path[i + 1 :]
+            return not any(tag in ("aside", "nav", "footer", "form") or not _OTHERS.isdisjoint(names.split()) for tag, names in inner)
+    return False
+
+
 # Features ----------------------------------------------------------------------------------------
 
 
@@ -158,6 +181,8 @@ def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
         names.add(f"near{i}:{tag}")
         names.update(f"ntok:{w}" for w in tokens.split())
     names.add(f"depth:{min(len(path), 12)}")
+    if in_main(path):
+        names.add("main")
     return sorted(names)
 
 
@@ -167,7 +192,7 @@ def text_features(block: Block) -> list[str]:
     names = [
         f"words:{min(words.bit_length(), 9)}",
         f"links:{min(4, 4 * block.linked // max(1, n))}",
-        f"stop:{text[-1] in '.!?:;…\"”'}",
+        f"stop:{text.rstrip(' |·»')[-1:] in tuple('.!?:;…\"”')}",
         f"commas:{min(3, text.count(','))}",
         f"digits:{min(3, 8 * sum(map(text.count, '0123456789')) // n)}",
     ]
@@ -288,31 +313,6 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 160, pe
 
 # Labelled pages ----------------------------------------------------------------------------------
 
-# Class names that pages give their parts. Fixed values.
-MAIN_NAMES = "content main-content post-content entry-content article-body article-content story-body post-body article post entry story text body-text page-content single-post".split()
-SIDE_NAMES = "sidebar side-bar aside related related-posts widget widget-area rail recommended most-read trending popular tags author-box secondary".split()
-AD_NAMES = "ad ads advert advertisement ad-slot banner sponsored sponsor promo promotion ad-container adsbox dfp outbrain".split()
-NOTICE_NAMES = "notice cookie-notice cookie-banner cookie consent gdpr alert message newsletter newsletter-signup popup modal subscribe paywall disclaimer announcement".split()
-COMMENT_NAMES = "comments comment-list comment comment-body reader-comments discussion responses replies disqus feedback".split()
-FOOT_NAMES = "footer site-footer page-footer copyright legal bottom colophon".split()
-HEAD_NAMES = "header site-header masthead top-bar branding page-header logo tagline".split()
-MENU_NAMES = "nav navbar menu main-menu navigation breadcrumb breadcrumbs pagination pager sub-nav share social share-buttons skip-link toc".split()
-FORM_NAMES = "form search-form login contact-form signup search subscribe-form".split()
-
-
-_OTHERS = frozenset(t for name in (*SIDE_NAMES, *AD_NAMES, *NOTICE_NAMES, *COMMENT_NAMES, *FORM_NAMES, *MENU_NAMES) for t in name.split("-")) - frozenset("content author body single list slot container box top".split())
-
-
-def in_main(block: Block) -> bool:
-    """Whether a block is in an article or main element, and in none of its adverts, comments, notices, forms, menus and asides."""
-    tags = [t for t, _ in block.path]
-    for i, t in enumerate(tags):
-        if t in ("article", "main"):
-            inner = block.path[i + 1 :]
-            return not any(tag in ("aside", "nav", "footer", "form") or not _OTHERS.isdisjoint(names.split()) for tag, names in inner)
-    return False
-
-
 def labelled_variants(page: str, strangers: list[str], seed: int, variants: int = 3, most_blocks: int = 80) -> list[tuple[list[list[str]], list[int]]]:
     """Labelled block sequences from a page that marks its article: as it is, and laid out anew in several ways.
 
@@ -321,7 +321,7 @@ def labelled_variants(page: str, strangers: list[str], seed: int, variants: int
     article, with varied or no class names. Texts of the other parts come from ``strangers``.
     """
     own = blocks_of(page)
-    labels = [in_main(b) for b in own]
+    labels = [in_main(b.path) for b in own]
     main, rest = ([b for b, label in zip(own, labels, strict=True) if label is side] for side in (True, False))
     if not main or len(own) > most_blocks:
         return []
@@ -415,7 +415,7 @@ def learn(pages: DataFrame, *, sample: int = 240, longest: int = 30_000, most_bl
     chosen = marked.select("page_id", "h").distinct().orderBy(F.xxhash64("page_id"), "page_id", "h").limit(sample)
     found = marked.join(F.broadcast(chosen), ["page_id", "h"]).select(F.xxhash64("page_id").alias("o"), "page_id", "h", "html").distinct().collect()  # at most sample * longest characters
     rows = sorted(found, key=lambda r: (r["o"], r["page_id"], r["h"]))
-    pool = [b.text for r in rows for b in blocks_of(r["html"]) if not in_main(b)]
+    pool = [b.text for r in rows for b in blocks_of(r["html"]) if not in_main(b.path)]
     prose = [b.text for r in rows for b in blocks_of(r["html"]) if len(b.text) < 400]
     data = []
     for i, r in enumerate(rows):
