@@ -1,11 +1,11 @@
-"""Queries on documents: mixing, SimHash near-duplicates, decontamination, toxicity."""
+"""Queries on documents: mixing, SimHash near-duplicates, decontamination, toxicity, repeated lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontam, mixing, simhash, toxicity
+from cairn.llm import decontam, lines, mixing, simhash, toxicity
 from cairn.llm.common import fold, table
 
 
@@ -28,7 +28,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "hits")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op6_decontamination": op6_decontamination, "op9_toxicity": op9_toxicity}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_bitmaps(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(lines.kept_text(F.col("text"), F.col("runs")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_simhash": op3_simhash, "op6_decontamination": op6_decontamination, "op9_toxicity": op9_toxicity, "op11_lines": op11_lines}
 
 ORACLES = {
     "op2_mixing": r"""
@@ -68,5 +73,18 @@ words AS (
   SELECT line, sum(least(pos + size, (pieces.rank + 1) * block) - greatest(pos, pieces.rank * block)) AS n
   FROM pieces JOIN r ON r.rn = pieces.rn AND r.rank = pieces.rank GROUP BY line)
 SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM placed LEFT JOIN words ON words.line = placed.line
+""",
+    "op11_lines": r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(t, 1) AS pos, unnest(t) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+k AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, often.key IS NOT NULL AS gone FROM k LEFT JOIN often ON k.key = often.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
 }
