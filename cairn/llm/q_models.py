@@ -1,12 +1,12 @@
-"""Queries with models and indexes: top-k search, main text of pages, language-model scores."""
+"""Queries with models and indexes: top-k and ranked lexical search, main text of pages, language-model scores, whitened embeddings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import html, lm, search
-from cairn.llm.common import table
+from cairn.llm import html, lm, search, whitening
+from cairn.llm.common import cut, table
 
 
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_search": op4_search, "op8_html": op8_html, "op10_lm": op10_lm}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(whitening.grid(table(spark, sf_dir, "embeddings")).select("vec_id", "x"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+QUERIES = {"op4_search": op4_search, "op8_html": op8_html, "op10_lm": op10_lm, "op13_whitening": op13_whitening}
 
 ORACLES: dict[str, str] = {}
