@@ -340,12 +340,12 @@ def _answered(words: DataFrame) -> DataFrame:
 
 def _weights(lessons: DataFrame, tables: Tables, context_bits: int) -> np.ndarray:
     """The mixing weights: learned online on each chunk's lessons, and averaged over the chunks by the number of bits that each gate saw."""
-    sent = lessons.sparkSession.sparkContext.broadcast(tables)
+    sent = lessons.sparkSession.sparkContext.broadcast((tables.plain, tables.odds, tables.evidence, tables.weights))  # arrays alone, which need no copy of this package to be read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                own = Tables(sent.value.plain, sent.value.odds, sent.value.evidence, sent.value.weights.copy())
+                own = Tables(*sent.value[:3], sent.value[3].copy())
                 sizes, ids, props = unpacked(blob)
                 starts = np.zeros(len(ids), bool)
                 starts[np.cumsum(sizes) - sizes] = True
@@ -398,13 +398,16 @@ def score(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     model, chunks = learned(docs, modulus=modulus, held_out=held_out, apart=apart, context_bits=context_bits)
     total_n = int(model.class_n.sum())
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    t = model.tables
+    sent = docs.sparkSession.sparkContext.broadcast(((t.plain, t.odds, t.evidence, t.weights), model.class_n, model.class_v, model.context_bits))
 
     def run(rows: pa.Table) -> pa.Table:
+        tables, *rest = sent.value
+        model = Model(Tables(*tables), *rest)
         parts = sorted(zip(rows.column("bucket").to_pylist(), range(rows.num_rows), strict=True))
         blobs, text = rows.column("blob").to_pylist(), parts[0][1]
         size, ids, props = unpacked(blobs[text])
-        known, base, told = sent.value.text(ids, size, props, np.concatenate([unpacked(blobs[i])[0] for _, i in parts[1:]]))
+        known, base, told = model.text(ids, size, props, np.concatenate([unpacked(blobs[i])[0] for _, i in parts[1:]]))
         of = lambda k: pa.concat_arrays(rows.column(k).slice(text, 1).chunks).flatten()
         return pa.table({"doc_id": of("doc_ids"), "held_out": of("held"), "n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(told), "n_bytes": of("n_bytes")})
 

@@ -34,9 +34,9 @@ def brute_search(docs, queries, k):
         rows = []
         for d, b in bags:
             norm = search.K1 * (1 - search.B + search.B * sum(b.values()) / max(mean, 1e-9))
-            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (search.K1 + 1) / (b[t] + norm) for t in ts if t in b)
+            s = sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (search.K1 + 1) / (b[t] + norm) for t in ts if t in b)
             if s > 0:
-                rows.append((-round(s, 9), d is None, d))
+                rows.append((-float(f"{s:.12g}"), d is None, d))
         out[q] = [(d, -s) for s, _, d in sorted(rows, key=lambda r: (r[0], r[1], r[2] or 0))[:k]]
     return {q: v for q, v in out.items() if v}
 
@@ -74,6 +74,24 @@ def test_search_edge_cases(spark):
     assert found(spark, [], [], 3) == {} and found(spark, docs, [], 3) == {} and found(spark, [], queries, 3) == {}
 
 
+def test_terms_in_all_documents_keep_their_results():
+    texts = [np.array([0, 1] + [2] * (i % 7), np.int32) for i in range(3000)]
+    index = search.Index(np.arange(3, dtype=np.int64), texts, 5.0)
+    for weight in (1.0, 5e-7, 5e-10, 1e-14):  # log1p(0.5 / df) for up to 10^13 documents
+        query = (np.array([0, 1]), np.array([weight, weight / 3]))
+        full = index.exact(index.rare_sums([query])[0], index.common_weights(*query), np.arange(3000))
+        assert (full > 0).all()
+        for threshold in (0.0, np.sort(full)[-10]):
+            (_, docs, scores), *rest = index.candidates([query], np.array([threshold]), 10)
+            assert not rest and set(np.flatnonzero(full >= np.sort(full)[-10]).tolist()) <= set(docs.tolist()) and (scores == full[docs]).all()
+
+
+def test_a_term_of_a_million_documents_on_spark(spark):
+    docs = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("aa bb").alias("text"))
+    rows = search.search(docs, spark.createDataFrame([(7, "aa")], "doc_id long, text string"), k=10).collect()
+    assert sorted((r["rank"], r["doc_id"]) for r in rows) == [(i + 1, i) for i in range(10)] and len({r["score"] for r in rows}) == 1 and rows[0]["score"] > 0
+
+
 def test_pruned_index_equals_full_sums():
     rng = np.random.default_rng(1)
     texts = [np.minimum(rng.zipf(1.3, rng.integers(0, 400)) - 1, 4999).astype(np.int32) for _ in range(3000)]
