@@ -1,4 +1,4 @@
-"""Light models on frozen vectors: closed forms on a distributed Gram matrix, logistic fits by Spark ML, masked scoring."""
+"""Light models on frozen vectors: closed forms on a distributed Gram matrix, logistic fits by batched Newton steps, masked scoring."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import metrics
+from cairn.operators import logistic, metrics
+from cairn.operators.logistic import Problem
 
 ALPHAS = [float(x) for x in np.logspace(-1, 5, 25)]
 CS = [float(x) for x in np.logspace(-4, 2, 12)]
@@ -128,47 +128,50 @@ def fit_ridge_loo(df: DataFrame, vector: str, label: str, alphas: list[float] =
     return Linear([float(x) for x in w], float(my - mx @ w)), best, errors
 
 
-def _logistic(df: DataFrame, features: str, gate: str, c: float, n: int) -> Linear:
-    data = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(gate).cast("double").alias("label"))
-    model = LogisticRegression(regParam=1.0 / (c * n), standardization=False, maxIter=200, tol=1e-9).fit(data)
-    return Linear([float(x) for x in model.coefficients.toArray()], float(model.intercept))
+def _linear(beta: np.ndarray) -> Linear:
+    return Linear([float(x) for x in beta[:-1]], float(beta[-1]))
 
 
 def fit_logistic(df: DataFrame, features: str, gate: str, c: float = 1.0) -> Linear:
-    """Logistic regression of c * total loss + half the squared weights."""
-    return _logistic(df, features, gate, c, df.count())
+    """Logistic regression of c * total loss + half the squared weights; an error without both classes."""
+    (beta,) = logistic.fit_many(df, features, [Problem(gate, c)])
+    if beta is None:
+        raise ValueError(f"{gate}: both classes are needed")
+    return _linear(beta)
 
 
-def fit_logistic_cv(df: DataFrame, features: str, gate: str, key: str, cs: list[float] = CS, folds: int = 5, seed: int = 42) -> tuple[Linear, float]:
-    """(model, c): the c with the best mean AUROC over folds of the shuffled key, then a fit on all rows. Scores tie as in ``auroc``."""
-    rows = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))).persist()
-    sizes = {r["_fold"]: r["n"] for r in rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per fold
-    total, best = sum(sizes.values()), (-1.0, None)
-    for c in cs:
-        got = []
-        for k, size in sizes.items():
-            model = _logistic(rows.where(F.col("_fold") != k), features, gate, c, total - size)
-            value = metrics.auroc(rows.where(F.col("_fold") == k).withColumn("score", model.predict(features)), [], gate).first()["auroc"]
-            if value is not None:
-                got.append(value)
-        mean = sum(got) / len(got) if got else 0.0
-        if mean > best[0]:
-            best = (mean, c)
-    model = _logistic(rows, features, gate, best[1], total)
-    rows.unpersist()
-    return model, best[1]
+def fit_targets(df: DataFrame, features: str, gates: list[str], key: str, cs: list[float] = CS, folds: int = 5, seed: int = 42) -> dict[str, tuple[Linear, float]]:
+    """(model, c) per target: the c with the best mean AUROC over folds of the shuffled key, and its fit on all rows.
 
-
-def fit_targets(df: DataFrame, features: str, gates: list[str], key: str, cs: list[float] = CS) -> dict[str, Linear]:
-    """A classifier per target; one without both classes gets none."""
+    All targets, values of c and folds are fitted together, a job per Newton step, and scored in one more. A target
+    without both classes gets no model; of equal means the first c is taken. Scores tie as in ``auroc``.
+    """
+    rows = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))).select(features, "_fold", *gates).persist()
+    problems = [Problem(g, c, k) for g in gates for c in cs for k in [*range(folds), None]]
+    betas = logistic.fit_many(rows, features, problems, "_fold")
+    scores = logistic.held_out_scores(rows, features, problems, betas, "_fold")
+    found: dict[tuple[str, float], list[float]] = {}
+    for r in metrics.auroc(scores, ["model"]).where("auroc is not null").orderBy("model").collect():  # a row per model
+        found.setdefault(problems[r["model"]][:2], []).append(r["auroc"])
+    rows.unpersist()
     out = {}
+    whole = {p[:2]: b for p, b in zip(problems, betas, strict=True) if p.fold is None}
     for g in gates:
-        known = df.where(F.col(g).isNotNull())
-        if known.select(g).distinct().count() == 2:
-            out[g] = fit_logistic_cv(known, features, g, key, cs)[0]
+        mean = {c: sum(v) / len(v) if (v := found.get((g, c))) else 0.0 for c in cs}
+        best = max(cs, key=lambda c: mean[c])
+        if whole[g, best] is not None:
+            out[g] = (_linear(whole[g, best]), best)
     return out
 
 
+def fit_logistic_cv(df: DataFrame, features: str, gate: str, key: str, cs: list[float] = CS, folds: int = 5, seed: int = 42) -> tuple[Linear, float]:
+    """``fit_targets`` of one target; an error without both classes."""
+    found = fit_targets(df, features, [gate], key, cs, folds, seed)
+    if gate not in found:
+        raise ValueError(f"{gate}: both classes are needed")
+    return found[gate]
+
+
 def platt(fit_df: DataFrame | None, apply_df: DataFrame, score: str, gate: str, c: float = 1.0) -> DataFrame:
     """``apply_df`` with p, from a logistic fit of the gate on one score, and in_sample, true if there was nothing else to fit on."""
     source = apply_df if fit_df is None else fit_df

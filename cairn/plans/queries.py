@@ -988,8 +988,22 @@ def fusion_conditions(spark, d):
 @query()
 def logistic_cv(spark, d):
     v = V.vectors(spark, d).withColumn("gate", F.col("label") <= 4)
-    model, c = models.fit_logistic_cv(v.where("split = 'train'"), "a", "gate", "vec_id", cs=[0.01, 1.0], folds=3)
-    return metrics.auroc(v.withColumn("score", model.predict("a")), ["split"]).withColumn("c", F.lit(c))
+    model, c = models.fit_logistic_cv(v.where("split = 'train'"), "v", "gate", "vec_id")
+    return metrics.auroc(v.withColumn("score", model.predict("v")), ["split"]).withColumn("c", F.lit(c))
+
+
+_TARGETS = {"low": "label <= 4", "least": "label <= 1", "odd": "label % 2 = 1"}
+
+
+@query()
+def multi_target(spark, d):
+    """A classifier per target on one scaled vector, all fitted together; the second target is unknown for some rows."""
+    v = V.vectors(spark, d).withColumns({t: F.expr(f"CASE WHEN '{t}' <> 'least' OR vec_id % 7 <> 0 THEN {e} END") for t, e in _TARGETS.items()})
+    train = v.where("split = 'train'")
+    scaled = v.withColumn("z", models.fit_scaler(train, "v").apply("v"))
+    found = models.fit_targets(scaled.where("split = 'train'"), "z", list(_TARGETS), "vec_id")
+    told = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(c).alias("c"), F.col(t).alias("gate"), m.predict("z").alias("score")) for t, (m, c) in found.items()]))
+    return metrics.auroc(scaled.select("split", told.alias("t")).select("split", "t.*"), ["target", "c", "split"])
 
 
 @query()
