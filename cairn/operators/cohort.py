@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import pairing
+from cairn.sources import shared
 
 # Names that give a label, in order of preference, and upper bounds of ranges, which never do. Fixed values.
 CHAIN = ["lvef", "biplane_lvef", "rest_lvef", "rest_biplane_lvef", "lvef_3d"]
@@ -18,23 +20,16 @@ WINDOW_STAGES = ["all", "linked", "any_label", "accepted", "overlap", "paired",
 STAY_STAGES = ["all", "linked", "any_label", "accepted", "overlap", "in_stay", "paired"]
 
 
-def cohort_flags(
-    studies: DataFrame, measurements: DataFrame, records: DataFrame, stays: DataFrame, *, pair_by: str = "window", before: int = 86400, after: int = 86400, lo: float = 5.0, hi: float = 95.0, require_stay: bool = True, bucketed: bool = False
-) -> DataFrame:
-    """One row per study with its label, record and stay, and a flag s_<stage> for each stage it reaches.
+def labelled(studies: DataFrame, measurements: DataFrame, records: DataFrame, *, lo: float = 5.0, hi: float = 95.0) -> DataFrame:
+    """One row per study with its label (value, label_source) and the flags s_all, s_linked, s_any_label, s_accepted and s_overlap.
 
-    ``studies``: study_id, subject_id, ts, measurement_id; ``measurements``: measurement_id, name, result, ts;
-    ``records``: record_id, subject_id, record_ts, path; ``stays``: stay_id, subject_id, start_ts, end_ts. By
-    "window", the record nearest in time is paired first and the stay attached then, as a filter or
-    (``require_stay`` false) as extra columns; by "stay", the study must lie in a stay and the record too.
+    ``studies``: study_id, subject_id, ts, measurement_id; ``measurements``: measurement_id, name, result, ts; of ``records`` the subjects count.
     """
-    if pair_by not in ("window", "stay"):
-        raise ValueError(f"pair_by is {pair_by!r}, not 'window' or 'stay'")
     base = pairing.keep_first(studies.select("study_id", "subject_id", "ts", "measurement_id"), "study_id", [F.col("measurement_id"), F.col("subject_id"), F.col("ts")])
     labels = pairing.priority_pick(measurements, key="measurement_id", name="name", value=S.percent("result"), lo=lo, hi=hi, chain=CHAIN, excluded=BOUNDS, ties=["ts", "result"])
     subjects = records.select("subject_id").distinct().withColumn("_has", F.lit(True))
     rows = base.join(labels, "measurement_id", "left").join(subjects, "subject_id", "left")
-    rows = (
+    return (
         rows.withColumn("s_all", F.lit(True))
         .withColumn("s_linked", F.col("measurement_id").isNotNull())
         .withColumn("s_any_label", F.col("s_linked") & F.col("value").isNotNull())
@@ -42,20 +37,41 @@ def cohort_flags(
         .withColumn("s_overlap", F.col("s_accepted") & F.coalesce("_has", F.lit(False)))
         .drop("_has", "accepted")
     )
+
+
+def paired(rows: DataFrame, records: DataFrame, stays: DataFrame, *, pair_by: str = "window", before: int = 86400, after: int = 86400, bucketed: bool = False, widths: list[int] | None = None) -> DataFrame:
+    """The studies of ``rows`` that overlap, with the record and stay they are paired with: a row per study that gets as far as its first pairing step.
+
+    ``records``: record_id, subject_id, record_ts, path; ``stays``: stay_id, subject_id, start_ts, end_ts. By
+    "window", the record nearest in time is paired first and the stay attached then; by "stay", the study must lie in a stay and the record too.
+    """
+    if pair_by not in ("window", "stay"):
+        raise ValueError(f"pair_by is {pair_by!r}, not 'window' or 'stay'")
     # only studies that reach pairing take part in the range joins
     candidates = rows.where("s_overlap").select("study_id", "subject_id", "ts")
     window = {"on": "subject_id", "anchor_id": "study_id", "anchor_ts": "ts", "record_ts": "record_ts", "record_id": "record_id"}
     span = {"on": "subject_id", "point_id": "study_id", "ts": "ts", "start": "start_ts", "end": "end_ts", "span_id": "stay_id"}
+    span["widths"] = pairing.widths_in_use(stays, "start_ts", "end_ts") if widths is None else widths
     if pair_by == "window":
         found = pairing.nearest_join(candidates, records, before=before, after=after, bucketed=bucketed, **window)
-        found = pairing.interval_join(found, stays, how="left", **span).drop("subject_id", "ts")
-        rows = rows.join(found, "study_id", "left").withColumn("s_paired", F.col("record_id").isNotNull())
-        return rows.withColumn("s_in_stay", F.col("s_paired") & F.col("stay_id").isNotNull()).withColumn("in_cohort", F.col("s_in_stay") if require_stay else F.col("s_paired"))
+        return pairing.interval_join(found, stays, how="left", **span).drop("subject_id", "ts")
     held = pairing.interval_join(candidates, stays, **span)
-    found = pairing.nearest_in_span(held, records, start="start_ts", end="end_ts", **window)
-    own = [c for c in found.columns if c not in held.columns]
-    found = held.join(found.select("study_id", *own), "study_id", "left").drop("subject_id", "ts")
-    rows = rows.join(found, "study_id", "left").withColumn("s_in_stay", F.col("stay_id").isNotNull())
+    return pairing.nearest_in_span(held, records, start="start_ts", end="end_ts", how="left", widths=span["widths"], **window).drop("subject_id", "ts")
+
+
+def cohort_flags(
+    studies: DataFrame, measurements: DataFrame, records: DataFrame, stays: DataFrame, *, pair_by: str = "window", before: int = 86400, after: int = 86400, lo: float = 5.0, hi: float = 95.0, require_stay: bool = True, bucketed: bool = False
+) -> DataFrame:
+    """One row per study with its label, record and stay, and a flag s_<stage> for each stage it reaches (see ``labelled``, ``paired``).
+
+    By "window", the stay is a filter or (``require_stay`` false) extra columns.
+    """
+    rows = labelled(studies, measurements, records, lo=lo, hi=hi)
+    rows = rows.join(paired(rows, records, stays, pair_by=pair_by, before=before, after=after, bucketed=bucketed), "study_id", "left")
+    if pair_by == "window":
+        rows = rows.withColumn("s_paired", F.col("record_id").isNotNull())
+        return rows.withColumn("s_in_stay", F.col("s_paired") & F.col("stay_id").isNotNull()).withColumn("in_cohort", F.col("s_in_stay") if require_stay else F.col("s_paired"))
+    rows = rows.withColumn("s_in_stay", F.col("stay_id").isNotNull())
     return rows.withColumn("s_paired", F.col("s_in_stay") & F.col("record_id").isNotNull()).withColumn("in_cohort", F.col("s_paired"))
 
 
@@ -73,16 +89,39 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def funnel(flags: DataFrame, stages: list[str], *, subject: str = "subject_id", weight: str = "n_files") -> DataFrame:
-    """(step, stage, n_studies, n_subjects, n_files, excluded_studies, excluded_files): all stages in one pass over the flags."""
+def _bit(i: int) -> Column:
+    return F.lit(1 << i).cast("long")
+
+
+def subject_masks(rows: DataFrame, flags: list[str], subject: str, weight: Column | None = None) -> DataFrame:
+    """One row per subject: ``mask``, with a bit per flag that any of its rows has, and n_<flag> rows and w_<flag> of weight with it.
+
+    What follows counts subjects by bits, so that no row is repeated per distinct count.
+    """
+    on = {f: F.coalesce(F.col(f), F.lit(False)) for f in flags}
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, _bit(i)).otherwise(0) for i, c in enumerate(on.values())])
+    weight = F.lit(0) if weight is None else weight
+    counts = [x for f, c in on.items() for x in (F.count_if(c).alias(f"n_{f}"), F.sum(F.when(c, weight).otherwise(0)).alias(f"w_{f}"))]
+    return rows.groupBy(subject).agg(F.bit_or(mask).alias("mask"), *counts)
+
+
+def _by_flag(masks: DataFrame, flags: list[str], subject: str) -> DataFrame:
+    """(step, flag, n, n_subjects, weight) per flag, from ``subject_masks``; null subjects are no subject."""
     aggs = []
-    for s in stages:
-        on = F.col(f"s_{s}")
-        aggs += [F.count_if(on).alias(f"n_{s}"), F.count_distinct(F.when(on, F.col(subject))).alias(f"u_{s}"), F.coalesce(F.sum(F.when(on, F.coalesce(weight, F.lit(0)))), F.lit(0)).alias(f"w_{s}")]
-    one = flags.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage"), F.col(f"n_{s}").alias("n_studies"), F.col(f"u_{s}").alias("n_subjects"), F.col(f"w_{s}").alias("n_files")) for i, s in enumerate(stages)]))
-    order = W.orderBy("step")
-    return one.select(rows.alias("r")).select("r.*").withColumn("excluded_studies", F.coalesce(F.lag("n_studies").over(order) - F.col("n_studies"), F.lit(0))).withColumn("excluded_files", F.coalesce(F.lag("n_files").over(order) - F.col("n_files"), F.lit(0)))
+    for i, f in enumerate(flags):
+        has = F.col(subject).isNotNull() & (F.col("mask").bitwiseAND(_bit(i)) != 0)
+        aggs += [F.coalesce(F.sum(f"n_{f}"), F.lit(0)).alias(f"n{i}"), F.count_if(has).alias(f"u{i}"), F.coalesce(F.sum(f"w_{f}"), F.lit(0)).alias(f"w{i}")]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(f).alias("flag"), F.col(f"n{i}").alias("n"), F.col(f"u{i}").alias("n_subjects"), F.col(f"w{i}").alias("weight")) for i, f in enumerate(flags)]))
+    return masks.agg(*aggs).select(rows.alias("r")).select("r.*")
+
+
+def funnel(flags: DataFrame, stages: list[str], *, subject: str = "subject_id", weight: str = "n_files") -> DataFrame:
+    """(step, stage, n_studies, n_subjects, n_files, excluded_studies, excluded_files): all stages in one pass over the flags, by masks of subjects."""
+    names = [f"s_{s}" for s in stages]
+    one = _by_flag(subject_masks(flags, names, subject, F.coalesce(weight, F.lit(0))), names, subject)
+    one = one.select("step", F.substring("flag", 3, 1000).alias("stage"), F.col("n").alias("n_studies"), "n_subjects", F.col("weight").alias("n_files"))
+    order = W.orderBy("step")  # a row per stage
+    return one.withColumn("excluded_studies", F.coalesce(F.lag("n_studies").over(order) - F.col("n_studies"), F.lit(0))).withColumn("excluded_files", F.coalesce(F.lag("n_files").over(order) - F.col("n_files"), F.lit(0)))
 
 
 def label_sources(flags: DataFrame, chain: list[str] = CHAIN) -> DataFrame:
@@ -121,18 +160,29 @@ def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sensitivity(scenarios: dict[str, DataFrame]) -> DataFrame:
-    """(scenario, start_rows, final_rows, final_subjects, excluded, gain, gain_pct): flags of several scenarios against the first."""
-    parts = []
-    for i, (name, flags) in enumerate(scenarios.items()):
-        one = flags.agg(F.count(F.lit(1)).alias("start_rows"), F.count_if("in_cohort").alias("final_rows"), F.count_distinct(F.when(F.col("in_cohort"), F.col("subject_id"))).alias("final_subjects"))
-        parts.append(one.select(F.lit(i).alias("step"), F.lit(name).alias("scenario"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    first = F.first("final_rows").over(W.orderBy("step").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    out = out.withColumn("excluded", F.col("start_rows") - F.col("final_rows")).withColumn("gain", F.col("final_rows") - first)
-    return out.withColumn("gain_pct", F.try_divide(F.lit(100.0) * F.col("gain"), first)).drop("step")
+def scenarios(rows: DataFrame, records: DataFrame, stays: DataFrame, options: dict[str, dict]) -> DataFrame:
+    """``rows`` (from ``labelled``) with a flag per scenario: whether the study is in the cohort if paired with these options of ``paired`` and require_stay.
+
+    Labels and overlap are found once and kept in the shared folder; only the pairing varies, and windows of any width share one scan.
+    """
+    rows = shared.cut(rows)
+    base, widths = rows, pairing.widths_in_use(stays, "start_ts", "end_ts")
+    for name, how in options.items():
+        how = dict(how)
+        need = how.pop("require_stay", True)
+        found = paired(base, records, stays, widths=widths, **how)
+        inside = F.col("record_id").isNotNull() & (F.col("stay_id").isNotNull() | F.lit(not need and how.get("pair_by") != "stay"))
+        rows = rows.join(found.where(inside).select("study_id", F.lit(True).alias(name)), "study_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows
+
+
+def sensitivity(flags: DataFrame, names: list[str], subject: str = "subject_id") -> DataFrame:
+    """(scenario, start_rows, final_rows, final_subjects, excluded, gain, gain_pct): the scenarios that ``flags`` has a column for, against the first, by masks of subjects."""
+    one = _by_flag(subject_masks(flags.withColumn("_any", F.lit(True)), [*names, "_any"], subject), [*names, "_any"], subject)
+    all_of = W.orderBy("step").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # a row per scenario
+    out = one.withColumn("start_rows", F.last("n").over(all_of)).withColumn("_first", F.first("n").over(all_of)).where(F.col("flag") != "_any")
+    out = out.select(F.col("flag").alias("scenario"), "start_rows", F.col("n").alias("final_rows"), F.col("n_subjects").alias("final_subjects"), (F.col("start_rows") - F.col("n")).alias("excluded"), (F.col("n") - F.col("_first")).alias("gain"), "_first")
+    return out.withColumn("gain_pct", F.try_divide(F.lit(100.0) * F.col("gain"), F.col("_first"))).drop("_first")
 
 
 def manifest_summary(rows: DataFrame, a: str, b: str, label: str = "label", split: str = "split") -> DataFrame:

@@ -61,14 +61,19 @@ def check_leakage(df: DataFrame, subject: str = "subject_id", split: str = "spli
 
 
 def split_prevalence(df: DataFrame, split: str = "split", gate: str = "gate", subject: str = "subject_id", min_per_class: int = 30) -> DataFrame:
-    """(split, n, n_subjects, n_positive, n_negative, prevalence, both_classes, enough) per split and overall, by grouping sets."""
-    pos, neg = F.count_if(F.col(gate)), F.count_if(~F.col(gate))
-    out = df.groupingSets([[F.col(split)], []], F.col(split)).agg(
-        F.grouping(split).alias("_all"), F.count(F.lit(1)).alias("n"), F.count_distinct(subject).alias("n_subjects"), pos.alias("n_positive"), neg.alias("n_negative")
-    )
+    """(split, n, n_subjects, n_positive, n_negative, prevalence, both_classes, enough) per split and overall.
+
+    Counts per subject and split come first; a subject counts once overall by the first of its splits. Null subjects are no subject.
+    """
+    per = df.groupBy(F.col(subject).alias("_u"), F.col(split).alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(gate)).alias("pos"), F.count_if(~F.col(gate)).alias("neg"))
+    own = per.groupBy("_u").agg(F.collect_list(F.struct("_s", "n", "pos", "neg")).alias("_l")).select("_u", F.posexplode("_l").alias("_i", "_x"))  # a subject has few splits
+    known = F.col("_u").isNotNull()
+    by_split = own.groupBy(F.col("_x._s").alias("_s")).agg(*[F.sum(f"_x.{c}").alias(c) for c in ("n", "pos", "neg")], F.count_if(known).alias("u"), F.count_if(known & (F.col("_i") == 0)).alias("once"))
+    both = F.array(F.struct(F.lit(False).alias("all"), F.col("_s").alias("s"), F.col("u").alias("u")), F.struct(F.lit(True).alias("all"), F.lit("overall").alias("s"), F.col("once").alias("u")))
+    out = by_split.select("n", "pos", "neg", F.explode(both).alias("_k")).groupBy("_k.all", "_k.s").agg(F.sum("n").alias("n"), F.sum("_k.u").alias("n_subjects"), F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"))
     share = F.try_divide(F.col("n_positive").cast("double"), F.col("n_positive") + F.col("n_negative"))
     return out.select(
-        F.when(F.col("_all") == 1, "overall").otherwise(F.col(split)).alias("split"), "n", "n_subjects", "n_positive", "n_negative", share.alias("prevalence"),
+        F.col("s").alias("split"), "n", "n_subjects", "n_positive", "n_negative", share.alias("prevalence"),
         ((F.col("n_positive") > 0) & (F.col("n_negative") > 0)).alias("both_classes"), (F.least("n_positive", "n_negative") >= min_per_class).alias("enough"),
     )
 

@@ -146,7 +146,9 @@ SELECT scenario, (SELECT count(*) FROM orders) AS start_rows, final_rows, final_
 FROM runs"""
 )
 def sensitivity(spark, d):
-    return cohort.sensitivity({"window_24h": _flags(spark, d), "window_48h": _flags(spark, d, before=172800, after=172800), "same_stay": _flags(spark, d, pair_by="stay")})
+    rows = cohort.labelled(V.studies(spark, d), V.measurements(spark, d), V.records(spark, d))
+    options = {"window_24h": {}, "window_48h": {"before": 172800, "after": 172800}, "same_stay": {"pair_by": "stay"}}
+    return cohort.sensitivity(cohort.scenarios(rows, V.records(spark, d), V.stays(spark, d), options), list(options))
 
 
 _FINAL = f"final AS ({_final('')})"

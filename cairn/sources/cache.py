@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share, deleted when the session's JVM ends; a folder of this machine only where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="cairn-")
-    path = f"{shared.rstrip('/')}/cairn-{tag}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 class VectorCache:
     """Vectors by (modality, id), in write order: of an id that was written again, the last write wins."""
 

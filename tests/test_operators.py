@@ -149,8 +149,8 @@ def test_keep_first_takes_nulls_first(spark):
 
 
 def test_sensitivity_gain(spark):
-    flags = lambda n: spark.range(300).selectExpr("id as subject_id", f"id < {n} as in_cohort")
-    rows = {r["scenario"]: r for r in cohort.sensitivity({"a": flags(200), "b": flags(260)}).collect()}
+    flags = spark.range(300).selectExpr("id as subject_id", "id < 200 as a", "id < 260 as b")
+    rows = {r["scenario"]: r for r in cohort.sensitivity(flags, ["a", "b"]).collect()}
     assert (rows["b"]["gain"], rows["b"]["gain_pct"]) == (60, 30.0) and rows["a"]["gain"] == 0
 
 
