@@ -8,7 +8,7 @@ from cairn.functions import scalars as S
 from cairn.operators import cohort, columns, failure, filters, joins, metrics, models, pairing, pooling, splits, text
 from cairn.plans import views as V
 from cairn.plans.views import with_views
-from cairn.sources import cache, tables
+from cairn.sources import cache, dumps, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -367,6 +367,29 @@ def cache_round_trip(spark, d):
     return found.read().select("id", "dim", "encoder_version", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 6 = 0 THEN 2 ELSE 1 END AS writes FROM embeddings WHERE vec_id % 3 = 0")
+def cache_compacted(spark, d):
+    """The cache after its two writes became one: every id once, with the number of the write it came from."""
+    found, _ = _cached(spark, d)
+    found.compact()
+    found.clean()
+    return found._rows().select("id", F.col("written").cast("int").alias("writes"))
+
+
+@query("SELECT count(*) AS n, sum(256) AS bytes, max(64) AS dim, true AS on_disk FROM embeddings WHERE vec_id % 3 = 0")
+def cache_stats(spark, d):
+    """How many vectors a cache holds, and their bytes."""
+    found, _ = _cached(spark, d)
+    return found.stats().select("n", "bytes", "dim", (F.col("disk_bytes") > 0).alias("on_disk"))
+
+
+@query(with_views("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(v[1] AS DOUBLE) * CASE WHEN vec_id % 6 = 0 THEN -1 ELSE 1 END AS first FROM vectors WHERE vec_id % 15 = 0", "vectors"))
+def cache_lookup(spark, d):
+    """Some ids, known or not, from the buckets they lie in."""
+    found, v = _cached(spark, d)
+    return found.lookup(v.where("vec_id % 5 = 0").select("id")).select("id", F.col("embedding")[0].cast("double").alias("first"))
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE vec_id % 3 <> 0")
 def cache_resume(spark, d):
     """What is still to be encoded."""
@@ -387,6 +410,14 @@ def encode_missing(spark, d):
 _PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) + least(1, count(*) - count({c})) AS n_unique, count(*) - count(DISTINCT {c}) - least(1, count(*) - count({c})) AS n_duplicate FROM patients" for c in ("subject_id", "sex", "age", "race"))
 
 
+@query(with_views("SELECT example_id, condition, y, pred, gate FROM predictions", "predictions"))
+def prediction_dump(spark, d):
+    """Predictions written as JSON dumps of parallel arrays and read again."""
+    path = cache.scratch(spark, "dumps")
+    dumps.write_dumps(V.predictions(spark, d), path, conditions=list(V.CONDITIONS))
+    return dumps.read_dumps(spark, path, list(V.CONDITIONS), {"example_id": "long"} | dumps.FIELDS).select("example_id", "condition", "y", "pred", "gate")
+
+
 @query(with_views(_PROFILE, "patients"))
 def profile(spark, d):
     return tables.profile(V.patients(spark, d), ["subject_id", "sex", "age", "race"])

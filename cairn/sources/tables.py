@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import scalars as S
 from cairn.operators import columns
@@ -58,30 +59,24 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_predictions(spark: SparkSession, path: str, conditions: list[str]) -> DataFrame:
-    """(example_id, condition, y, pred, gate) from a JSON object with an object of parallel arrays per condition; all must be there and of one length."""
-    raw = spark.read.option("multiLine", "true").json(path)
-    if missing := [c for c in conditions if c not in raw.columns]:
-        raise ValueError(f"{path}: no predictions for {missing}")
-    out = None
-    for c in conditions:
-        block = F.col(c)
-        sizes = raw.select(F.size(block["y"]), F.size(block["pred"]), F.size(block["gate"])).first()
-        if len(set(sizes)) != 1:
-            raise ValueError(f"{path}: arrays of {c} have lengths {list(sizes)}")
-        one = raw.select(F.posexplode(F.arrays_zip(block["y"].alias("y"), block["pred"].alias("pred"), block["gate"].alias("gate"))).alias("example_id", "r"))
-        one = one.select(F.col("example_id").cast("long"), F.lit(c).alias("condition"), F.col("r.y").cast("double").alias("y"), F.col("r.pred").cast("double").alias("pred"), F.col("r.gate").cast("boolean").alias("gate"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def profile(df: DataFrame, names: list[str]) -> DataFrame:
-    """(column, n, n_null, n_unique, n_duplicate): null counts as one distinct value; all columns in one pass."""
-    aggs = [x for c in names for x in (F.count_if(F.col(c).isNull()).alias(f"{c}__null"), F.count_distinct(F.col(c)).alias(f"{c}__u"))]
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    unique = lambda c: F.col(f"{c}__u") + F.least(F.col(f"{c}__null"), F.lit(1))
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("_n").alias("n"), F.col(f"{c}__null").alias("n_null"), unique(c).alias("n_unique"), (F.col("_n") - unique(c)).alias("n_duplicate")) for c in names]))
-    return one.select(rows.alias("r")).select("r.*")
+    """(column, n, n_null, n_unique, n_duplicate): null is one distinct value. Columns are unpivoted to (column, value) and each pair is counted once, then per column."""
+
+    def text(c: str):
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c))))
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return (F.col(c) + 0.0).cast("string")  # one zero
+        return F.hex(F.col(c)) if isinstance(kind, T.BinaryType) else F.col(c).cast("string")
+
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in names])).alias("p")).select("p.*")
+    counted = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
+    n_null = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("k"))), F.lit(0))
+    found = counted.groupBy("column").agg(F.sum("k").alias("n"), n_null.alias("n_null"), F.count(F.lit(1)).alias("n_unique"))
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string").join(found, "column", "left")  # a row per column, of an empty table too
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.select("column", zero("n"), zero("n_null"), zero("n_unique"), (F.coalesce("n", F.lit(0)) - F.coalesce("n_unique", F.lit(0))).alias("n_duplicate"))
 
 
 def readiness(df: DataFrame, required: list[str], recommended: list[str] = (), vector: str | None = None) -> dict:

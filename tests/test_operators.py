@@ -427,14 +427,6 @@ def test_wide_to_vector(spark):
         tables.wide_to_vector(df, prefix="zz", model="m", path="filename")
 
 
-def test_prediction_dump(spark, tmp_path):
-    (tmp_path / "p.json").write_text('{"full": {"y": [35, 55], "pred": [36, 50], "gate": [true, false]}, "a_dropped": {"y": [35, 55], "pred": [40, 41], "gate": [true, false]}}')
-    out = tables.read_predictions(spark, str(tmp_path / "p.json"), ["full", "a_dropped"])
-    assert sorted(tuple(r) for r in out.collect())[0] == (0, "a_dropped", 35.0, 40.0, True) and out.count() == 4
-    with pytest.raises(ValueError, match="no predictions"):
-        tables.read_predictions(spark, str(tmp_path / "p.json"), ["full", "b_dropped"])
-
-
 def test_profile_and_readiness(spark):
     df = spark.createDataFrame([(1, "a", [1.0]), (2, None, [2.0]), (2, None, [3.0])], "k int, v string, e array<double>")
     assert {r["column"]: (r["n_null"], r["n_unique"], r["n_duplicate"]) for r in tables.profile(df, ["k", "v"]).collect()} == {"k": (0, 2, 1), "v": (2, 2, 1)}
