@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.operators import splits
+from cairn.operators import resample, splits
 
 
 def mae(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred", baseline: float | None = None) -> DataFrame:
@@ -184,22 +184,32 @@ def poisson_weights(df: DataFrame, key: str, b: int, seed: int) -> DataFrame:
 
 def _resampled(df: DataFrame, by: list[str], key: str, b: int, seed: int, mode: str) -> DataFrame:
     if mode not in ("exact", "poisson"):
-        raise ValueError(f"mode is {mode!r}, not 'exact' or 'poisson'")
+        raise ValueError(f"mode is {mode!r}, not one of the modes")
     return draws(df, by, key, b, seed) if mode == "exact" else poisson_weights(df, key, b, seed)
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], *, key: str = "example_id", y: str = "y", pred: str = "pred", gate: str = "gate", b: int = 1000, seed: int = 42, alpha: float = 0.05, mode: str = "exact") -> DataFrame:
-    """Percentile intervals of MAE and AUROC per group, with how many replicates had no AUROC (``mode`` exact or poisson)."""
+def bootstrap_ci(df: DataFrame, by: list[str], *, key: str = "example_id", y: str = "y", pred: str = "pred", gate: str = "gate", b: int = 1000, seed: int = 42, alpha: float = 0.05, mode: str = "multinomial") -> DataFrame:
+    """Percentile intervals of MAE and AUROC per group, with how many replicates had no AUROC.
+
+    ``mode`` is multinomial (see ``resample``), exact (draws known from md5, a row per row and replicate drawn, in any engine) or
+    poisson. Null errors, gates and predictions are left out as in ``mae`` and ``auroc``.
+    """
+    if mode == "multinomial":
+        return _intervals(resample.bootstrap(df, by, key=key, y=y, pred=pred, gate=gate, b=b, seed=seed), by, alpha)
     rows = _resampled(df, by, key, b, seed, mode)
     keys = [*by, "replicate"]
     # both metrics from one table of sums per replicate and score
-    w = F.col("weight")
+    w, error = F.col("weight"), F.abs(F.col(pred) - F.col(y))
+    known = F.col(pred).isNotNull()
     counts = rows.groupBy(*keys, (-F.col(pred).cast("double") + 0.0).alias("_s")).agg(
-        F.sum(F.when(F.col(gate), w).otherwise(0)).alias("pos"), F.sum(F.when(~F.col(gate), w).otherwise(0)).alias("neg"), F.sum(F.abs(F.col(pred) - F.col(y)) * w).alias("e"), F.sum(w).alias("w")
+        F.sum(F.when(known & F.col(gate), w).otherwise(0)).alias("pos"), F.sum(F.when(known & ~F.col(gate), w).otherwise(0)).alias("neg"), F.sum(error * w).alias("e"), F.sum(F.when(error.isNotNull(), w)).alias("w")
     )
     counts = _before(counts, keys, ["neg"], [-e for e in reversed(score_edges(df, pred))])
-    sums = counts.groupBy(*keys).agg((F.sum("e") / F.sum("w")).alias("mae"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("b_neg") + F.col("neg") * 0.5)).alias("_u"))
-    both = sums.withColumn("auroc", F.try_divide(F.col("_u").cast("double"), F.col("p").cast("double") * F.col("n")))
+    sums = counts.groupBy(*keys).agg(F.try_divide(F.sum("e"), F.sum("w")).alias("mae"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("b_neg") + F.col("neg") * 0.5)).alias("_u"))
+    return _intervals(sums.withColumn("auroc", F.try_divide(F.col("_u").cast("double"), F.col("p").cast("double") * F.col("n"))), by, alpha)
+
+
+def _intervals(both: DataFrame, by: list[str], alpha: float) -> DataFrame:
     lo, hi = alpha / 2, 1 - alpha / 2
     return both.groupBy(*by).agg(
         F.percentile("mae", F.lit(lo)).alias("mae_lo"), F.percentile("mae", F.lit(hi)).alias("mae_hi"), F.percentile("auroc", F.lit(lo)).alias("auroc_lo"), F.percentile("auroc", F.lit(hi)).alias("auroc_hi"),
@@ -224,7 +234,8 @@ def paired_delta(df: DataFrame, by: list[str], *, pred_a: str, pred_b: str, key:
     rows = draws(df, by, key, b, seed)
     keys = [*by, "replicate"]
     w = F.col("weight")
-    errors = rows.groupBy(*keys).agg((F.sum((F.abs(F.col(pred_a) - F.col(y)) - F.abs(F.col(pred_b) - F.col(y))) * w) / F.sum(w)).alias("d_mae"))
+    difference = F.abs(F.col(pred_a) - F.col(y)) - F.abs(F.col(pred_b) - F.col(y))  # null, and left out, if either is
+    errors = rows.groupBy(*keys).agg(F.try_divide(F.sum(difference * w), F.sum(F.when(difference.isNotNull(), w))).alias("d_mae"))
     edges = {p: [-e for e in reversed(score_edges(df, p))] for p in (pred_a, pred_b)}
     a, c = (auroc(rows.withColumn("_score", -F.col(p)), keys, gate, "_score", "weight", edges[p]).select(*keys, F.col("auroc").alias(n)) for p, n in ((pred_a, "_a"), (pred_b, "_c")))
     both = errors.join(a, keys, "left").join(c, keys, "left").withColumn("d_auroc", F.col("_a") - F.col("_c"))

@@ -730,10 +730,16 @@ FROM (SELECT condition, rep, avg(abs(pred - y)) AS mae FROM drawn GROUP BY condi
     )
 )
 def bootstrap_ci(spark, d):
-    out = metrics.bootstrap_ci(V.predictions(spark, d), ["condition"], b=20)
+    out = metrics.bootstrap_ci(V.predictions(spark, d), ["condition"], b=20, mode="exact")
     return out.select("condition", *[F.round(c, 6).alias(c) for c in ("mae_lo", "mae_hi", "auroc_lo", "auroc_hi")], "auroc_replicates", "auroc_discarded")
 
 
+@query()
+def bootstrap_intervals(spark, d):
+    """1,000 replicates of every condition, dealt by multinomials."""
+    return metrics.bootstrap_ci(V.predictions(spark, d), ["condition"], b=1000)
+
+
 @query(
     with_views(
         f"""
