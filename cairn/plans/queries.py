@@ -1074,12 +1074,12 @@ def keyword_lines(spark, d):
 
 
 def _note_grades(n: int) -> dict:
-    """Grades of the fixed notes, worked out by hand: (as, mr, tr, ef)."""
+    """Grades of the planted findings, worked out by hand: (as, mr, tr, ef)."""
     return [(3, 0, None, None), (None, 2, 0, None), (None, 1, None, 55.0), (3, None, None, 35.0), (None, None, None, 60.0), (3, None, 2, None), (None, 0, None, None), (None, None, None, None)][n]
 
 
 def _note_evidence(n: int) -> tuple:
-    """The sentences that give the fixed notes their grades: (as, mr, tr)."""
+    """The sentences that give the planted findings their grades: (as, mr, tr)."""
     q = text.QUANTITATIVE
     return [
         ("echo: severe aortic stenosis is seen", "no mitral regurgitation", None), (None, "mild to moderate mitral regurgitation", "trace tricuspid regurgitation"), (None, "mitral valve insufficiency", None), (q, None, None),
@@ -1091,10 +1091,10 @@ _literal = lambda x: "NULL" if x is None else repr(x)
 _GRADES = "grades(k, g_as, g_mr, g_tr, ef, e_as, e_mr, e_tr) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_literal, (*_note_grades(i), *_note_evidence(i))))})" for i in range(8)) + ")"
 _EVIDENCE = ", ".join(f"CASE WHEN a.g_{x} >= coalesce(b.g_{x}, -1) THEN a.e_{x} ELSE b.e_{x} END AS {x}_evidence" for x in ("mr", "tr"))
 _GRADED = f"""{_GRADES},
-graded AS (SELECT o_orderkey AS note_id, o_custkey AS subject_id, CAST(greatest(a.g_as, b.g_as) AS INT) AS as_grade, CAST(greatest(a.g_mr, b.g_mr) AS INT) AS mr_grade, CAST(greatest(a.g_tr, b.g_tr) AS INT) AS tr_grade,
+graded AS (SELECT doc_id AS note_id, doc_id % 300 AS subject_id, CAST(greatest(a.g_as, b.g_as) AS INT) AS as_grade, CAST(greatest(a.g_mr, b.g_mr) AS INT) AS mr_grade, CAST(greatest(a.g_tr, b.g_tr) AS INT) AS tr_grade,
   CASE WHEN '{text.QUANTITATIVE}' IN (a.e_as, b.e_as) THEN '{text.QUANTITATIVE}' WHEN a.g_as >= coalesce(b.g_as, -1) THEN a.e_as ELSE b.e_as END AS as_evidence, {_EVIDENCE},
   CAST(coalesce(a.ef, b.ef) AS DOUBLE) AS ef_percent
-  FROM orders JOIN grades a ON o_orderkey % 8 = a.k JOIN grades b ON o_custkey % 8 = b.k)"""
+  FROM documents JOIN grades a ON doc_id % 8 = a.k JOIN grades b ON doc_id // 8 % 8 = b.k)"""
 _FOUND = ["note_id", "as_grade", "mr_grade", "tr_grade", "as_evidence", "mr_evidence", "tr_evidence", "ef_percent"]
 
 

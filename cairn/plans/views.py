@@ -103,9 +103,10 @@ NOTES = (
 
 
 def notes(spark, d):
+    """The documents as notes: the whole text of each, with two of the findings planted in it."""
     texts = ", ".join("'" + n + "'" for n in NOTES)
-    return _t(spark, d, "orders").selectExpr(
-        "o_orderkey AS note_id", "o_custkey AS subject_id", f"concat(array({texts})[cast(o_orderkey % 8 AS int)], '\\n', 'seen by clerk ', cast(o_custkey AS string), '\\n', array({texts})[cast(o_custkey % 8 AS int)]) AS text"
+    return _t(spark, d, "documents").selectExpr(
+        "doc_id AS note_id", "doc_id % 300 AS subject_id", f"concat(array({texts})[cast(doc_id % 8 AS int)], '\\n', coalesce(text, ''), '\\nseen by clerk.\\n. ', array({texts})[cast(doc_id div 8 % 8 AS int)]) AS text"
     )
 
 
@@ -130,7 +131,7 @@ SQL = {
     "strata": "SELECT subject_id, sex, CASE WHEN age >= 90 THEN '90+' WHEN age >= 75 THEN '75-89' WHEN age >= 65 THEN '65-74' WHEN age >= 55 THEN '55-64' WHEN age >= 40 THEN '40-54' WHEN age >= 18 THEN '18-39' END AS age_band, CASE WHEN upper(race) LIKE 'WHITE%' THEN 'WHITE' WHEN upper(race) LIKE 'BLACK%' THEN 'BLACK' WHEN upper(race) LIKE 'ASIAN%' THEN 'ASIAN' WHEN upper(race) LIKE '%HISPANIC%' THEN 'HISPANIC' ELSE 'OTHER/UNKNOWN' END AS race FROM patients",
     "vectors": "SELECT *, v[1:32] AS a, v[33:64] AS b, vec_id % 97 AS key, vec_id % 60 AS subject_id, CASE WHEN vec_id % 60 < 40 THEN 'train' WHEN vec_id % 60 < 48 THEN 'val' ELSE 'test' END AS split, CAST(label * 8 + vec_id % 5 AS DOUBLE) AS y FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024 + 0.5) / 1024) AS v FROM embeddings)",
     "clips": "SELECT key, vec_id, CASE WHEN vec_id % 6 <> 1 THEN v END AS v FROM vectors",
-    "notes": "SELECT o_orderkey AS note_id, o_custkey AS subject_id, {n}[CAST(o_orderkey % 8 AS INT) + 1] || chr(10) || 'seen by clerk ' || o_custkey || chr(10) || {n}[CAST(o_custkey % 8 AS INT) + 1] AS text FROM orders".replace("{n}", _list(NOTES)),
+    "notes": "SELECT doc_id AS note_id, doc_id % 300 AS subject_id, {n}[CAST(doc_id % 8 AS INT) + 1] || chr(10) || coalesce(text, '') || chr(10) || 'seen by clerk.' || chr(10) || '. ' || {n}[CAST(doc_id // 8 % 8 AS INT) + 1] AS text FROM documents".replace("{n}", _list(NOTES)),
     "diagnoses": "SELECT l_orderkey AS stay_id, ['I350', '4240', 'I361', 'I071', '4019', '3950', '25000'][CAST((l_partkey + l_linenumber) % 7 AS INT) + 1] AS code FROM lineitem",
 }
 _NEEDS = {"predictions": ["examples"], "strata": ["patients"], "clips": ["vectors"]}
