@@ -66,10 +66,18 @@ def race_group(race: Column | str) -> Column:
     )
 
 
-def boolean(text: Column | str) -> Column:
-    """true/1/yes/y and false/0/no/n in any case, numbers by being nonzero; null for null or other text (see ``filters.bad_booleans``)."""
-    t = F.lower(F.trim(col(text).cast("string")))
-    return F.when(t.isin("true", "1", "1.0", "yes", "y"), True).when(t.isin("false", "0", "0.0", "no", "n"), False)
+def _is_number(value: Column) -> Column:
+    """Whether a column is of a numeric type; known when the query is planned."""
+    return F.typeof(value).isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.typeof(value).startswith("decimal")
+
+
+def boolean(value: Column | str) -> Column:
+    """true/1/yes/y and false/0/no/n in any case, numeric columns by being nonzero; null for null, NaN or other text (see ``filters.bad_booleans``)."""
+    text = col(value).cast("string")
+    t = F.lower(F.trim(text))
+    number_ = text.try_cast("double")
+    told = F.when(t.isin("true", "1", "1.0", "yes", "y"), True).when(t.isin("false", "0", "0.0", "no", "n"), False)
+    return F.when(_is_number(col(value)), F.when(~F.isnan(number_), number_ != 0)).otherwise(told)
 
 
 def strict_boolean(text: Column | str) -> Column:
@@ -110,13 +118,31 @@ def canonical_id(value: Column | str) -> Column:
 # Vectors -----------------------------------------------------------------------------------------
 
 
-def parse_vector(text: Column | str) -> Column:
-    """A vector written as a list, or as numbers between brackets, commas or blanks; null for null, empty or unreadable text."""
-    body = F.trim(F.regexp_replace(F.regexp_replace(col(text), r"[\[\]\(\),;]", " "), r"\s+", " "))
+def _numbers(text: Column) -> Column:
+    body = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\[\]\(\),;]", " "), r"\s+", " "))
     parts = F.transform(F.split(body, " "), lambda x: F.when(F.lower(x).isin("nan"), F.lit(float("nan"))).otherwise(number(x)))
     return F.when((F.length(body) > 0) & F.forall(parts, lambda x: x.isNotNull()), parts)
 
 
+#: A bracket inside a bracket.
+NESTED = r"^[^\[\(]*[\[\(][^\]\)]*[\[\(]"
+
+
+def parse_vector(text: Column | str) -> Column:
+    """A vector written as a list, or as numbers between brackets, commas or blanks; null for null, empty or unreadable text. Nested lists are a matrix (``parse_matrix``), and an error here."""
+    t = col(text)
+    return F.when(t.rlike(NESTED), F.raise_error(F.concat(F.lit("a matrix, not a vector: "), F.substring(t, 1, 60))).cast("array<double>")).otherwise(_numbers(t))
+
+
+def parse_matrix(text: Column | str) -> Column:
+    """The rows of a nested list; a plain vector is one row. Null for null, empty or unreadable text, and for rows of different lengths."""
+    t = col(text)
+    inner = F.transform(F.regexp_extract_all(t, F.lit(r"[\[\(]([^\[\]\(\)]*)[\]\)]"), F.lit(1)), lambda x: _numbers(x))
+    rows = F.when(t.rlike(NESTED), inner).otherwise(F.array(_numbers(t)))
+    whole = F.forall(rows, lambda r: r.isNotNull()) & (F.size(F.array_distinct(F.transform(rows, lambda r: F.size(r)))) == 1)
+    return F.when(whole, rows)
+
+
 def finite(vector: Column | str) -> Column:
     """Whether every element is a finite number; null for a null vector."""
     return F.forall(col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

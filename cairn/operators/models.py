@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
-from cairn.operators import logistic, metrics
+from cairn.operators import logistic, metrics, pooling
 from cairn.operators.logistic import Problem
 
 ALPHAS = [float(x) for x in np.logspace(-1, 5, 25)]
@@ -238,6 +238,22 @@ def compare_probes(train: DataFrame, test: DataFrame, vectors: dict[str, str], l
     return out
 
 
+def pooled_and_single(train: DataFrame, test: DataFrame, key: str, vector: str, label: str, alphas: list[float] = ALPHAS) -> DataFrame:
+    """(key, y, single, pooled): the studies of ``test`` with their label and what two ridge probes say, one fitted on single vectors and one on the mean vector of each study.
+
+    Each alpha is chosen by leave-one-out errors of its own training rows. A study's prediction from single vectors is
+    the mean over its vectors, so that both are scored on the same studies. Null vectors are left out; a study without any is in neither.
+    """
+    there = lambda df: df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y"))
+    train, test = there(train), there(test)
+    single, _, _ = fit_ridge_loo(train, "_x", "_y", alphas)
+    goals = lambda df: df.groupBy(F.col(key).alias("_k")).agg(F.avg("_y").alias("_y"))
+    pooled = lambda df: pooling.mean_pool(df, [key], "_x", "_m").join(goals(df), F.col(key) == F.col("_k")).drop("_k")
+    mean, _, _ = fit_ridge_loo(pooled(train), "_m", "_y", alphas)
+    by_vector = test.withColumn("_p", single.predict("_x")).groupBy(F.col(key).alias("_k")).agg(F.avg("_p").alias("single"))
+    return pooled(test).join(by_vector, F.col(key) == F.col("_k")).select(key, F.col("_y").alias("y"), "single", mean.predict("_m").alias("pooled"))
+
+
 def ablation(a: DataFrame, b: DataFrame, on: str = "probe", metric: str = "mae") -> DataFrame:
     """The same probes on two representations of the same rows: their metrics, the difference, and which is better."""
     left, right = a.select(on, F.col(metric).alias("first")), b.select(on, F.col(metric).alias("second"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import scalars as S
 
@@ -51,11 +53,52 @@ def vector_stats(df: DataFrame, vector: str) -> DataFrame:
     return one.select("n_vectors", "n_elements", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n_elements") - mean * mean)).alias("std"), "all_finite")
 
 
-def attentive_pool(df: DataFrame, tokens: str, query: list[float], out: str = "pooled") -> DataFrame:
-    """Tokens pooled by softmax attention to a given query; null tokens get no weight, a row without tokens gets null."""
-    there = F.filter(tokens, lambda t: t.isNotNull())
-    rows = df.withColumn("_t", there).withColumn("weights", S.attention("_t", query))
-    return rows.withColumn(out, F.when(F.size("_t") > 0, S.pooled("_t", "weights", len(query)))).drop("_t")
+#: Length of tokens from which matrix products on Arrow batches are faster than array expressions.
+LONG_TOKENS = 512
+
+
+def attentive_pool(df: DataFrame, tokens: str, query: list[float], out: str = "pooled", long_tokens: int = LONG_TOKENS) -> DataFrame:
+    """Tokens pooled by softmax attention to a given query; null tokens get no weight, a row without tokens gets null.
+
+    Adds weights, one per token that is there, and ``out``. Queries of ``long_tokens`` elements or more go through one
+    matrix product per Arrow batch, shorter ones through expressions; the results are the same. A token of another length is an error.
+    """
+    there = F.filter(F.col(tokens), lambda t: t.isNotNull())
+    if len(query) < long_tokens:
+        rows = df.withColumn("_t", there).withColumn("weights", S.attention("_t", query))
+        return rows.withColumn(out, F.when(F.size("_t") > 0, S.pooled("_t", "weights", len(query)))).drop("_t")
+    q = np.array(query, float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            sizes = np.diff(column.offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
+            sizes[~column.is_valid().to_numpy(zero_copy_only=False)] = 0
+            lists = column.flatten()
+            if len(lists) and set(np.unique(np.diff(lists.offsets.to_numpy()))) != {len(q)}:
+                raise ValueError(f"tokens are not all of {len(q)} elements")
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            scores = x @ q / np.sqrt(len(q))
+            some = np.flatnonzero(sizes)
+            start = (np.cumsum(sizes) - sizes)[some]
+            top = np.zeros(batch.num_rows)
+            if len(some):
+                top[some] = np.maximum.reduceat(scores, start)
+            e = np.exp(scores - top[row])
+            weights = e / np.bincount(row, weights=e, minlength=batch.num_rows)[row]
+            pooled = [None] * batch.num_rows
+            if len(some):
+                for i, v in zip(some.tolist(), np.add.reduceat(weights[:, None] * x, start), strict=True):
+                    pooled[i] = v
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            given = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*given, pa.ListArray.from_arrays(offsets, pa.array(weights)), pa.array(pooled, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "weights", out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    return df.select("*", there.cast("array<array<double>>").alias("_t")).mapInArrow(run, schema)
 
 
 def attention_spread(df: DataFrame, weights: str) -> DataFrame:

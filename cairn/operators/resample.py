@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.sources import shared
+from cairn.operators import splits
 
 #: Rows of a run, and replicates whose weights are in memory together (a matrix of the two).
 RUN, AT_ONCE = 4096, 250
@@ -61,20 +61,6 @@ def run_sums(weights: np.ndarray, error: np.ndarray, gate: np.ndarray, score: np
     return np.stack(out, axis=1), edges
 
 
-def ordered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds rank, from 0 in each value of ``group``, and total, the value's rows, by a range partition of all rows.
-
-    The sorted rows are kept in the shared folder; a row's rank follows from its place in its partition and the counts of the partitions and groups before.
-    """
-    rows = shared.cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order))
-    rows = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    base = counts.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row per partition
-    rows = rows.join(base, "_p").withColumn("_at", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    starts = rows.groupBy(F.col(group).alias("_own")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("total"))
-    return rows.join(starts, F.col(group).eqNullSafe(F.col("_own"))).withColumn("rank", F.col("_at") - F.col("_first")).select(*df.columns, "rank", "total")
-
-
 def resampled_sums(df: DataFrame, by: list[str], *, key: str, y: str, pred: str, gate: str, b: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(by, run, replicate, e, w, pos, neg, u) and (by, run, replicate, score, pos, neg): the sums of each run of rows in the order of the score, and those of its outermost scores.
 
@@ -83,7 +69,7 @@ def resampled_sums(df: DataFrame, by: list[str], *, key: str, y: str, pred: str,
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("_none"))
     rows = df.select(group.alias("_g"), F.col(key).alias("_k"), (F.col(pred) - F.col(y)).cast("double").alias("_e"), F.col(gate).cast("double").alias("_t"), (-F.col(pred).cast("double") + 0.0).alias("_s"))
     # equal scores are in the order of a hash, so that a score of very many rows is dealt over tasks
-    ranked = ordered(rows.withColumn("_h", F.xxhash64("_k")), "_g", ["_s", "_h", "_k"])
+    ranked = splits.ordered(rows.withColumn("_h", F.xxhash64("_k")), "_g", ["_s", "_h", "_k"])
     ranked = ranked.select("_g", F.to_json("_g").alias("_name"), F.floor(F.col("rank") / RUN).cast("long").alias("_run"), "rank", F.col("total").alias("_n"), F.abs("_e").alias("_e"), "_t", "_s")
 
     def told(batch):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.sources import shared
+
 
 def shuffled(key: str, seed: int) -> Column:
     """A text that puts keys in a random order, the same in every engine that has md5."""
@@ -31,6 +33,20 @@ def global_rank(df: DataFrame, order: str, by: str | list[str] | None = None, ti
     return ranked.select(*df.columns, "rank", "total")
 
 
+def ordered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds rank, from 0 in each value of ``group``, and total, the value's rows, by a range partition of all rows.
+
+    The sorted rows are kept in the shared folder; a row's rank follows from its place in its partition and the counts of the partitions and groups before.
+    """
+    rows = shared.cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order))
+    rows = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    base = counts.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row per partition
+    rows = rows.join(base, "_p").withColumn("_at", F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    starts = rows.groupBy(F.col(group).alias("_own")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("total"))
+    return rows.join(starts, F.col(group).eqNullSafe(F.col("_own"))).withColumn("rank", F.col("_at") - F.col("_first")).select(*df.columns, "rank", "total")
+
+
 def subject_split(df: DataFrame, subject: str = "subject_id", fractions=(0.7, 0.1, 0.2), seed: int = 42) -> DataFrame:
     """Adds split: subjects in shuffled order, the first round(n * train) train, the next round(n * val) val, the rest test."""
     if len(fractions) != 3 or abs(sum(fractions) - 1) > 1e-9:
@@ -85,17 +101,24 @@ def fingerprint(df: DataFrame, key: str, by: str | None = None) -> DataFrame:
     return group.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("sum_hash"))
 
 
-def sha256_of_ids(df: DataFrame, key: str, by: str, width: int = 100_000) -> DataFrame:
-    """(by, n, sha256) of the distinct ids of each split.
+def sha256_of_ids(df: DataFrame, key: str, by: str, width: int = 100_000, fan: int = 1024) -> DataFrame:
+    """(by, n, sha256) of the distinct ids of each split, of any type; null ids don't count.
 
-    The sorted, line-separated ids of each run of ``width`` id values have a digest; the digest of a split is that of
-    these digests in order, so no value holds more than a run (with ids below ``width`` it is one digest of one list).
+    Ids in their order (texts by code point), a line each, have one digest as far as ``width`` of them; more are cut into
+    pieces of ``width`` ids, whose digests, a line each, are digested ``fan`` at a time, and so on up to one. Ranks come from a range
+    partition, so the digest is the same however the rows lie, and no value holds more than a piece.
     """
-    ids = df.select(by, F.col(key).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_run", F.floor(F.col("_id") / width))
-    digest = lambda x: F.sha2(x.cast("binary"), 256)
-    runs = ids.groupBy(by, "_run").agg(F.count(F.lit(1)).alias("k"), digest(F.array_join(F.transform(F.array_sort(F.collect_list("_id")), lambda x: x.cast("string")), "\n")).alias("d"))
-    every = runs.groupBy(by).agg(F.sum("k").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_run", "d"))), lambda x: x["d"]).alias("ds"))
-    return every.select(by, "n", F.when(F.size("ds") == 1, F.col("ds")[0]).otherwise(digest(F.array_join("ds", "\n"))).alias("sha256"))
+    ids = ordered(df.select(F.col(by).alias("_by"), F.col(key).alias("_id")).where("_id is not null").distinct(), "_by", ["_id"])
+    digest = lambda c, order: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x[c]), "\n").cast("binary"), 256)
+    level = ids.select("_by", "total", "rank", F.col("_id").cast("string").alias("d"), F.floor(F.col("rank") / width).alias("piece"))
+    most = level.agg(F.max("piece")).first()[0] or 0
+    level = level.groupBy("_by", "total", "piece").agg(digest("d", "rank").alias("d"))
+    while most > 0:
+        level = level.withColumn("rank", F.col("piece")).withColumn("piece", F.floor(F.col("piece") / fan))
+        # a split that has come to its one digest keeps it
+        level = level.groupBy("_by", "total", "piece").agg(F.when(F.count(F.lit(1)) == 1, F.max("d")).otherwise(digest("d", "rank")).alias("d"))
+        most //= fan
+    return level.select(F.col("_by").alias(by), F.col("total").alias("n"), F.col("d").alias("sha256"))
 
 
 def split_manifest(df: DataFrame, subject: str = "subject_id", split: str = "split") -> DataFrame:

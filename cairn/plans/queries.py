@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
@@ -215,21 +216,39 @@ def percent_parse(spark, d):
     return V.measurements(spark, d).groupBy("name", "result").agg(F.count(F.lit(1)).alias("n")).withColumn("value", S.percent("result"))
 
 
-@query("SELECT l_returnflag, l_linestatus, l_linenumber % 3 AS k, count(*) AS n, CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS flag, CASE l_linenumber % 3 WHEN 0 THEN false WHEN 1 THEN true END AS number FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, l_linenumber % 3 AS k, count(*) AS n, CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS flag, l_linenumber % 3 <> 0 AS number FROM lineitem GROUP BY ALL")
 def bool_normalize(spark, d):
     rows = V._t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", F.expr("l_linenumber % 3").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     text_ = F.element_at(F.create_map(*[F.lit(x) for kv in {"A": " Yes", "N": "FALSE", "R": "maybe"}.items() for x in kv]), F.col("l_returnflag"))
     return rows.withColumn("flag", S.boolean(text_)).withColumn("number", S.boolean(F.col("k")))
 
 
-@query("SELECT vec_id, list_transform(list_slice(embedding, 1, 4), lambda x: floor(CAST(x AS DOUBLE) * 1024 + 0.5) / 1024) AS v, true AS same FROM embeddings")
+def _written(x):
+    return F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: e.cast("decimal(20,12)").cast("string")), ", "), F.lit("]"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024 + 0.5) / 1024) AS v, true AS same FROM embeddings")
 def parse_vectors(spark, d):
-    rows = V.vectors(spark, d).select("vec_id", F.slice("v", 1, 4).alias("x"))
-    written = F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e.cast("decimal(20,12)").cast("string")), ", "), F.lit("]"))
-    rows = rows.withColumn("v", S.parse_vector(written))
+    rows = V.vectors(spark, d).select("vec_id", F.col("v").alias("x"))
+    rows = rows.withColumn("v", S.parse_vector(_written("x")))
     return rows.select("vec_id", "v", (F.col("v") == F.col("x")).alias("same"))
 
 
+@query("SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024 + 0.5) / 1024) AS v, 8 AS n_rows, 8 AS n_columns FROM embeddings")
+def parse_matrices(spark, d):
+    """Vectors written as nested lists of eight rows and read as matrices."""
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: _written(F.slice("v", k * 8 + 1, F.lit(8))))
+    m = V.vectors(spark, d).select("vec_id", S.parse_matrix(F.concat(F.lit("["), F.array_join(pieces, ", "), F.lit("]"))).alias("m"))
+    return m.select("vec_id", F.flatten("m").alias("v"), F.size("m").alias("n_rows"), F.size(F.col("m")[7]).alias("n_columns"))
+
+
+@query("SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) AS place FROM embeddings ORDER BY label DESC, vec_id LIMIT 50")
+def first_rows(spark, d):
+    """The first 50 rows in an order."""
+    rows = V._t(spark, d, "embeddings").select("vec_id", "label").orderBy(F.desc("label"), "vec_id").limit(50)
+    return rows.select("vec_id", F.row_number().over(W.orderBy(F.desc("label"), "vec_id")).cast("long").alias("place"))
+
+
 # Pairing and joins -------------------------------------------------------------------------------
 
 
@@ -585,6 +604,12 @@ def leakage(spark, d):
     return splits.leaking_subjects(V._t(spark, d, "orders").selectExpr("o_custkey AS subject_id", "o_orderstatus AS split"))
 
 
+@query("SELECT source AS split, count(*) AS n, sha256(string_agg(i, chr(10) ORDER BY i)) AS sha256 FROM (SELECT DISTINCT source, 'd-' || doc_id AS i FROM documents) GROUP BY 1")
+def text_id_fingerprint(spark, d):
+    """The digest of ids that are texts."""
+    return splits.sha256_of_ids(V._t(spark, d, "documents").selectExpr("source AS split", "concat('d-', doc_id) AS id"), "id", "split")
+
+
 @query("SELECT o_orderstatus AS split, count(*) AS n, sha256(string_agg(o_custkey::VARCHAR, chr(10) ORDER BY o_custkey)) AS sha256 FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders) GROUP BY 1")
 def id_fingerprint(spark, d):
     return splits.sha256_of_ids(V._t(spark, d, "orders").selectExpr("o_orderstatus AS split", "o_custkey AS subject_id"), "subject_id", "split")
@@ -973,6 +998,17 @@ def ridge_loo(spark, d):
 _PROBES = 4
 
 
+@query()
+def pooled_probe(spark, d):
+    """Ridge probes fitted on single clips and on pooled studies, scored on the same studies: (probe, n, mae, baseline_mae)."""
+    v = V.vectors(spark, d)
+    goals = v.groupBy("key").agg((F.min("label") * 8.0).alias("y"))
+    clips = V.clips(spark, d).join(goals, "key")
+    out = models.pooled_and_single(clips.where("key % 10 < 7"), clips.where("key % 10 >= 7"), "key", "v", "y")
+    told = F.explode(F.array(*[F.struct(F.lit(c).alias("probe"), F.col(c).alias("pred")) for c in ("single", "pooled")]))
+    return metrics.mae(out.select("y", told.alias("t")).select("y", "t.*"), ["probe"])
+
+
 @query(
     with_views(
         """
