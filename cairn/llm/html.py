@@ -163,7 +163,7 @@ _OTHERS = frozenset(t for name in (*SIDE_NAMES, *AD_NAMES, *NOTICE_NAMES, *COMME
 
 
 def in_main(path: tuple[tuple[str, str], ...]) -> bool:
-    """Whether a block's ancestors have it in an article or main element, and in none of its adverts, comments, notices, forms, menus and asides."""
+    """The label of a block on a training page, from what the page marks; no feature. Whether a block's ancestors have it in an article or main element, and in none of its adverts, comments, notices, forms, menus and asides."""
     for i, (t, _) in enumerate(path):
         if t in ("article", "main"):
             inner = path[i + 1 :]
@@ -173,6 +173,15 @@ def in_main(path: tuple[tuple[str, str], ...]) -> bool:
 
 # Features ----------------------------------------------------------------------------------------
 
+#: Elements of running text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong a span u small blockquote ul ol li pre q sub sup code".split())
+_COMMON = frozenset("content author body single list slot container box top post story text page entry".split())
+#: What a part is called by its class name: the lists of names above, word by word; features only, no label follows from them.
+KINDS: dict[str, set[str]] = {}
+for _kind, _names in (("side", SIDE_NAMES), ("ad", AD_NAMES), ("notice", NOTICE_NAMES), ("comment", COMMENT_NAMES), ("foot", FOOT_NAMES), ("head", HEAD_NAMES), ("menu", MENU_NAMES), ("form", FORM_NAMES)):
+    for _word in {w for name in _names for w in name.split("-")} - _COMMON:
+        KINDS.setdefault(_word, set()).add(_kind)
+
 
 def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
     names = {f"in:{t}" for t, _ in path} | {f"tok:{w}" for _, ts in path for w in ts.split()}
@@ -181,8 +190,16 @@ def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
         names.add(f"near{i}:{tag}")
         names.update(f"ntok:{w}" for w in tokens.split())
     names.add(f"depth:{min(len(path), 12)}")
-    if in_main(path):
-        names.add("main")
+    for i, (_, tokens) in enumerate(path):
+        at = "own" if i == len(path) - 1 else "over"
+        names |= {f"{at}:{k}" for w in tokens.split() for k in KINDS.get(w, ())}
+    marked = [i for i, (tag, _) in enumerate(path) if tag in ("article", "main")]
+    if marked:  # what stands between the outermost article and the block
+        inner = path[marked[0] + 1 :]
+        names |= {f"inner:{t}" for t, _ in inner} | {f"itok:{w}" for _, ts in inner for w in ts.split()}
+        if not any(tokens for _, tokens in inner):
+            names.add("unnamed:" + ("text" if all(tag in PROSE for tag, _ in inner) else "part"))
+        names |= {f"inside:{k}" for _, ts in inner[:-1] for w in ts.split() for k in KINDS.get(w, ())}
     return sorted(names)
 
 
@@ -255,8 +272,43 @@ def viterbi(emissions: list[float], moves) -> list[int]:
     return labels[::-1]
 
 
+def objective(x: np.ndarray, y: np.ndarray, spot: np.ndarray, w: np.ndarray, moves: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised negative log-likelihood of all pages and its gradients by ``w`` and ``moves``.
+
+    ``x`` has a row of features per block and ``y`` its label; ``spot[page, t]`` is the row of a page's block number t, -1 beyond its
+    end. Forward and backward passes step through all pages together.
+    """
+    there, (n, longest) = spot >= 0, spot.shape
+    sizes, rows_at = there.sum(1), np.arange(n)
+    labels = np.where(there, y[np.maximum(spot, 0)], 0)
+    both = there[:, 1:]
+    truth = np.zeros((2, 2))
+    np.add.at(truth, (labels[:, :-1][both], labels[:, 1:][both]), 1)
+    e = np.where(there, (x @ w)[np.maximum(spot, 0)].astype(float), 0.0)
+    alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+    alpha[:, 0, 1] = e[:, 0]
+    for t in range(1, longest):
+        alpha[:, t] = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1])
+        alpha[:, t, 1] += e[:, t]
+    for t in range(longest - 2, -1, -1):
+        ahead = beta[:, t + 1].copy()
+        ahead[:, 1] += e[:, t + 1]
+        value = np.logaddexp(ahead[:, 0, None] + moves[:, 0], ahead[:, 1, None] + moves[:, 1])
+        beta[:, t] = np.where(there[:, t + 1, None], value, 0.0)
+    z = np.logaddexp(*alpha[rows_at, sizes - 1].T)
+    error = np.zeros(len(y))
+    error[spot[there]] = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])[there] - y[spot[there]]
+    expected = np.zeros((2, 2))
+    for a in range(2):
+        for b in range(2):
+            joint = alpha[:, :-1, a] + moves[a, b] + beta[:, 1:, b] + (e[:, 1:] if b else 0.0) - z[:, None]
+            expected[a, b] = np.exp(joint[both]).sum()
+    loss = z.sum() - (e * labels).sum() - (truth * moves).sum() + penalty / 2 * (float(w @ w) + (moves * moves).sum())
+    return loss, x.T @ error.astype(x.dtype) + penalty * w, expected - truth + penalty * moves
+
+
 def fit(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 160, penalty: float = 0.3, least: int = 4) -> Crf:
-    """Maximum likelihood with an L2 penalty, by Adam over all pages at once; forward and backward passes step through all pages together."""
+    """Maximum likelihood with an L2 penalty, by Adam over all pages at once, on features that occur ``least`` times or more."""
     pages = [p for p in pages if p[0]]
     if not pages:
         return Crf()
@@ -271,38 +323,11 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], *, rounds: int = 160, pe
             x[row, [index[n] for n in names if n in index]] = 1
             spot[p, t] = row
             row += 1
-    there = spot >= 0
-    sizes = there.sum(1)
     w, moves = np.zeros(len(index), np.float32), np.zeros((2, 2))
-    labels = np.where(there, y[np.maximum(spot, 0)], 0)
-    truth = np.zeros((2, 2))
-    both = there[:, 1:]
-    np.add.at(truth, (labels[:, :-1][both], labels[:, 1:][both]), 1)
     state = [np.zeros(len(w) + 4), np.zeros(len(w) + 4)]
-    rows_at = np.arange(len(pages))
     for step in range(1, rounds + 1):
-        e = np.where(there, (x @ w)[np.maximum(spot, 0)].astype(float), 0.0)
-        alpha, beta = np.zeros((len(pages), longest, 2)), np.zeros((len(pages), longest, 2))
-        alpha[:, 0, 1] = e[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1])
-            alpha[:, t, 1] += e[:, t]
-        for t in range(longest - 2, -1, -1):
-            ahead = beta[:, t + 1].copy()
-            ahead[:, 1] += e[:, t + 1]
-            value = np.logaddexp(ahead[:, 0, None] + moves[:, 0], ahead[:, 1, None] + moves[:, 1])
-            beta[:, t] = np.where(there[:, t + 1, None], value, 0.0)
-        z = np.logaddexp(*alpha[rows_at, sizes - 1].T)
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])[there]
-        order = spot[there]
-        error = np.zeros(total)
-        error[order] = p1 - y[order]
-        expected = np.zeros((2, 2))
-        for a in range(2):
-            for b in range(2):
-                joint = alpha[:, :-1, a] + moves[a, b] + beta[:, 1:, b] + (e[:, 1:] if b else 0.0) - z[:, None]
-                expected[a, b] = np.exp(joint[both]).sum()
-        gradient = np.concatenate([x.T @ error.astype(np.float32) + penalty * w, (expected - truth).ravel() + penalty * moves.ravel()])
+        _, by_w, by_moves = objective(x, y, spot, w, moves, penalty)
+        gradient = np.concatenate([by_w, by_moves.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.99 * state[1] + 0.01 * gradient**2
         move = 0.12 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
@@ -318,7 +343,8 @@ def labelled_variants(page: str, strangers: list[str], seed: int, variants: int
 
     In the new layouts the article's own blocks are the main text and everything else is known not to be:
     menus, headers, footers, sidebars, notices, adverts, forms and comments, some of them inside the
-    article, with varied or no class names. Texts of the other parts come from ``strangers``.
+    article, with varied or no class names; in most layouts the article's own tags and names are hidden, and parts of it may carry names that
+    elsewhere mark comments or forms. Texts of the other parts come from ``strangers``.
     """
     own = blocks_of(page)
     labels = [in_main(b.path) for b in own]
@@ -376,18 +402,34 @@ def _laid_out(rng: random.Random, main: list[tuple[str, str]], strangers: list[s
         return part(["footer", "footer", "div"], FOOT_NAMES, rng.choice([f"&copy; {text_of()}", f"<p>{text_of()}</p>", f"<p>&copy; {bit(8)}</p>" + menu()]))
 
     inside = [ad, ad, side, notice, form, comments, menu]
+    odd = [*COMMENT_NAMES, *FORM_NAMES, *SIDE_NAMES, *NOTICE_NAMES]
+    hidden = rng.random() < 0.5  # neither tags nor names tell the article
     pieces = []
     for i, (tag, text) in enumerate(main):
         tag = tag if tag in ("p", "h1", "h2", "h3", "li", "blockquote", "td", "pre", "figcaption") else "p"
         if tag == "p" and i and rng.random() < 0.12:
             tag = rng.choice(["h2", "h3", "li", "blockquote", "figcaption", "div"])
-        pieces.append(f"<{tag}>{marker}{html.escape(text)}</{tag}>" if rng.random() < 0.95 else f"<{tag}>{marker}{html.escape(text[: len(text) // 2])}<a href='#'>{html.escape(text[len(text) // 2 :])}</a></{tag}>")
+        given = attr([*MAIN_NAMES, "lead", "paragraph", "intro"], 0.6) if rng.random() < 0.15 else attr(odd, 1.0) if rng.random() < 0.06 else ""
+        if rng.random() < 0.04:  # a word or two by themselves
+            text = " ".join(text.split()[: rng.randint(1, 2)])
+        half, draw = len(text) // 2, rng.random()
+        if draw < 0.05:
+            inner = f"{html.escape(text[:half])}<a href='#'>{html.escape(text[half:])}</a>"
+        elif draw < 0.15:
+            bold = rng.choice(["b", "strong", "em", "i"])
+            inner = f"<{bold}>{marker}{html.escape(text)}</{bold}>" if draw < 0.09 else f"<{bold}>{html.escape(text[:half])}</{bold}>{html.escape(text[half:])}"
+        else:
+            inner = html.escape(text)
+        pieces.append(f"<{tag}{given}>{marker}{inner}</{tag}>")
         if rng.random() < 0.07:
             pieces.append(rng.choice(inside)())
     if rng.random() < 0.3:
         pieces.append(rng.choice([comments, side, form])())
     shape = rng.random()
-    if shape < 0.45:
+    if hidden:
+        tag = rng.choice(["div", "div", "section", "td"])
+        body = f"<{tag}>{''.join(pieces)}</{tag}>" if tag != "td" else f"<table><tr><td>{''.join(pieces)}</td></tr></table>"
+    elif shape < 0.45:
         body = f"<article{attr(MAIN_NAMES, 0.4)}>{''.join(pieces)}</article>"
     elif shape < 0.6:
         body = f"<main{attr(MAIN_NAMES, 0.4)}>{''.join(pieces)}</main>"

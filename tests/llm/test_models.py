@@ -241,6 +241,68 @@ def test_main_text_of_the_table_and_of_new_layouts(spark):
     assert wrong <= 0.02 * total
 
 
+def test_gradient_of_the_field_by_finite_differences():
+    rng = np.random.default_rng(4)
+    sizes = [4, 1, 6, 3]
+    x = (rng.random((sum(sizes), 7)) < 0.4).astype(float)
+    y = rng.integers(0, 2, sum(sizes))
+    spot, row = np.full((4, 6), -1), 0
+    for p, n in enumerate(sizes):
+        spot[p, :n] = range(row, row + n)
+        row += n
+    w, moves = rng.standard_normal(7), rng.standard_normal((2, 2))
+    loss, by_w, by_moves = html.objective(x, y, spot, w, moves, 0.3)
+    # the likelihood itself by enumeration of all labellings
+    total = 0.15 * (w @ w + (moves**2).sum())
+    for p, n in enumerate(sizes):
+        e = x[spot[p, :n]] @ w
+        value = lambda labels: sum(v for v, l in zip(e, labels) if l) + sum(moves[a, b] for a, b in itertools.pairwise(labels))  # noqa: B023, B905, E731, E741
+        every = [value(c) for c in itertools.product((0, 1), repeat=n)]
+        total += np.logaddexp.reduce(every) - value(y[spot[p, :n]].tolist())
+    assert loss == pytest.approx(total)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        slope = (html.objective(x, y, spot, w + step, moves, 0.3)[0] - html.objective(x, y, spot, w - step, moves, 0.3)[0]) / 2e-6
+        assert by_w[i] == pytest.approx(slope, abs=1e-5)
+    for a, b in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-6
+        slope = (html.objective(x, y, spot, w, moves + step, 0.3)[0] - html.objective(x, y, spot, w, moves - step, 0.3)[0]) / 2e-6
+        assert by_moves[a, b] == pytest.approx(slope, abs=1e-5)
+
+
+def test_layouts_whose_names_no_training_page_had(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html.learn(pages)
+    assert "main" not in model.weights
+    rows = [r["html"] for r in pages.orderBy("page_id").collect()]
+    others = {"MAIN": "prose longread copy", "SIDE": "margin companion", "AD": "buynow dealbox", "NOTICE": "heads-up privacy-bar", "COMMENT": "talkback readers", "FOOT": "base imprint", "HEAD": "crown strip", "MENU": "links-row jump", "FORM": "fields ask-us"}
+    for kind, names in others.items():
+        monkeypatch.setattr(html, f"{kind}_NAMES", names.split())
+    rng = random.Random(1)
+    pool = [b.text for h in rows[:60] for b in html.blocks_of(h)]
+    right = told_ = true_ = 0
+    for i, page in enumerate(rows[-80:]):
+        for names, labels in html.labelled_variants(page, [rng.choice(pool) for _ in range(12)], 777 + i):
+            told = html.viterbi([model.emission(x) for x in names], model.moves)
+            right += sum(a == b == 1 for a, b in zip(told, labels, strict=True))
+            told_ += sum(told)
+            true_ += sum(labels)
+    assert right > 0.9 * told_ and right > 0.98 * true_
+
+
+def test_pages_without_article_tags(spark):
+    model = html.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    prose = "<p>This is a long article text, with words and commas. It goes on and on.</p><p>Another paragraph, quite long enough to be one of prose.</p>"
+    want = " ".join(re.findall("<p>(.*?)</p>", prose))
+    menu, foot = '<div class="menu"><a href="#">Home</a></div>', "<footer>&copy; 2020 Firm</footer>"
+    comments = '<div class="comments"><p>I think that is a silly article, really. Thanks for it.</p></div>'
+    for page in (f'{menu}<div class="post">{prose}</div>{comments}{foot}', f"{menu}<div>{prose}</div>{foot}", f"<nav><a href='#'>Home</a></nav><section>{prose}</section><form><label>Name</label><button>Send</button></form>"):
+        assert html.main_text(f"<html><body>{page}</body></html>", model, {}) == want
+    odd = f'<article>{prose}<p class="discussion">The discussion of the results, at some length, is here. It goes on.</p></article>'
+    assert html.main_text(odd, model, {}).endswith("It goes on.")
+
+
 def test_main_text_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p"), (1, "u", "<article><p>" + "word " * 100_000 + "</p></article>"), (3, "u", "just text"), (3, "u", "just text")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
