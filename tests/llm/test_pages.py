@@ -121,12 +121,12 @@ def test_mined_rules_and_verdicts_equal_brute_force(spark):
         rows.append((f"http://{host}/{'en' if i % 4 else 'de'}/{i}", "block" if i % 2 and i % 5 else "allow"))
     data = spark.createDataFrame(rows, "url string, verdict string").withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))
     data = data.withColumn("tokens", urls.tokens(F.col("url"), F.col("host"), F.col("path")))
-    rules = urls.mine(data, min_support=0.02, min_confidence=0.9)
+    rules, kept = urls.mine(data, min_support=0.02, min_count=1, min_confidence=0.9)
     got = {(tuple(r["items"]), r["verdict"]): r["confidence"] for r in rules.collect()}
     baskets = [(set(r["tokens"]), r["verdict"]) for r in data.collect()]
     want = brute_mine(baskets, 0.02, 0.9, 1.05)
     assert got == pytest.approx(want) and got
-    told = {r["url"]: r["mined_verdict"] for r in urls.judged(data.select("url", "tokens"), rules).collect()}
+    told = {r["url"]: r["mined_verdict"] for r in urls.judged(data.select("url", "tokens"), rules, kept).collect()}
     for r in data.collect():
         fits = {v: max((x for (c, w), x in want.items() if w == v and set(c) <= set(r["tokens"])), default=0) for v in ("block", "allow")}
         if fits["block"] != fits["allow"]:
@@ -142,10 +142,34 @@ def test_mined_rules_block_what_no_stated_rule_covers(spark, monkeypatch):
     assert len(got) == len(rows + new + long) and all(got[i]["rule"] is None for i, _ in new)
     assert {got[i]["verdict"] for i in range(800, 900)} == {"block"} and {got[i]["verdict"] for i in range(900, 1000)} == {"allow"}
     assert got[2000]["rule"] == "com/en/"
-    monkeypatch.setattr(urls, "mine", lambda labelled, **_: spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double, n int"))
+    monkeypatch.setattr(urls, "mine", lambda labelled, **_: (spark.createDataFrame([], "items array<string>, verdict string, confidence double, support double, n int"), spark.createDataFrame([], "token string, head string, n long")))
     assert {r["verdict"] for r in urls.filter_urls(pages).collect() if 800 <= r["page_id"] < 1000} == {"allow"}
 
 
+def test_few_urls_mine_nothing(spark):
+    rows = [(["p1:odd", f"d2:h{i}"] if i == 0 else [f"d2:h{i}", "q:sid"] if i < 30 else [f"d2:h{i}", "q:page"], "block" if i < 30 else "allow") for i in range(60)]
+    rules, _ = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    got = {(tuple(r["items"]), r["verdict"]) for r in rules.collect()}
+    assert got == {(("q:sid",), "block"), (("q:page",), "allow")}  # none from the single url with p1:odd
+    few, _ = urls.mine(spark.createDataFrame(rows[:9], "tokens array<string>, verdict string"))
+    assert few.collect() == []
+
+
+def test_a_rule_does_not_teach_its_own_host(spark):
+    rows = [(i, f"http://h{i % 7}.com/en/{i}") for i in range(100)] + [(i, f"http://h{i % 7}.net/de/{i}") for i in range(100, 200)]
+    rows += [(300, "http://other.com/fr/1"), (301, "http://other.org/en/1")]
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[5] == "block" and got[150] == "allow" and got[300] == got[301] == "allow"
+
+
+def test_tokens_that_stood_for_each_other_in_mining_all_count(spark):
+    rows = [(["q:a", "q:b"], "block")] * 20 + [(["q:c"], "allow")] * 20
+    rules, kept = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    new = spark.createDataFrame([("x", ["q:b"]), ("y", ["q:a"]), ("z", ["q:c"]), ("w", []), (None, ["q:b"])], "url string, tokens array<string>")
+    told = {r["url"]: r["mined_verdict"] for r in urls.judged(new, rules, kept).collect()}
+    assert (told["x"], told["y"], told["z"], told["w"]) == ("block", "block", "allow", "allow")
+
+
 def test_many_stated_rules_are_joined(spark, monkeypatch):
     rows = [(i, u) for i, u in enumerate(ODD)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
