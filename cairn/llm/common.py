@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is configured."""
+    """The folder that driver and executors share; a private one only in local mode where none is configured, and an error on a cluster."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
     if not shared:
+        if (spark.sparkContext.master or "").partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set")
         shared = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)

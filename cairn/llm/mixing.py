@@ -32,7 +32,8 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_passe
     Sources in code point order, null last, take ``weights`` in turn and share the total size; a target
     stops at ``max_passes`` times its source's size, and the excess goes to the others by weight. Taken in
     the order of size per weight, a source stops exactly if its share of what is left would exceed its
-    limit, so one running sum over the table of sources settles all of them.
+    limit, so one running sum over the table of sources settles all of them. That table, a row of numbers per
+    source, goes through one task: it is meant for up to some millions of sources, not for one per document.
     """
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("rn") - 1, F.lit(len(weights))) + 1).cast("int"))
