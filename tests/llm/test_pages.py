@@ -177,3 +177,21 @@ def test_many_stated_rules_are_joined(spark, monkeypatch):
     want = told()
     monkeypatch.setattr(urls, "MOST_RULES", 0)
     assert told() == want
+
+
+def test_columns_of_clashing_names_change_nothing(spark, tmp_path):
+    from cairn.llm import chat, html, warc
+
+    names = "host path rule verdict hit tokens token items u v text n_chars h o digest payload_digest record_type refers_to row n blob held start size turn_no formatted _id key value".split()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").where("page_id % 2 = 0")
+    talks = spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id % 3 = 0").select("conv_id", "turn", "role", "text")
+    with_names = lambda df: df.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names) if n not in df.columns])
+    model = html.learn(pages)
+
+    def archived(df):
+        path = str(tmp_path / f"w{len(df.columns)}")
+        warc.archive(df, path)
+        return warc.inventory(spark, path)
+
+    for plain, of in ((pages, urls.filter_urls), (pages, lambda df: html.extract(df, model)), (pages, lambda df: html.extract(df, html.learn(df))), (pages, archived), (talks, lambda df: chat.read_back(chat.formatted(df)))):
+        assert sorted(map(str, of(with_names(plain)).collect())) == sorted(map(str, of(plain).collect()))
