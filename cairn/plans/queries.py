@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars as S
 from cairn.operators import cohort, columns, failure, filters, joins, metrics, models, pairing, pooling, splits, text
+from cairn.plans import fits
 from cairn.plans import views as V
 from cairn.plans.views import with_views
 from cairn.sources import cache, dumps, tables
@@ -976,29 +977,68 @@ def recovery(spark, d):
     return out.select("n_runs", *[F.round(c, 9).alias(c) for c in ("f_mean", "f_std", "a_mean", "a_std")], "holds")
 
 
-# Models (tested against closed forms in numpy) ----------------------------------------------------
+# Models (tested against closed forms in numpy as well) --------------------------------------------
 
 
-@query()
+def _rounded(df):
+    """Errors of fits to six digits, which all engines agree on."""
+    return df.withColumns({c: F.round(c, 6) for c in ("mae", "baseline_mae")})
+
+
+def _errors_sql(by: str, source: str, more: str = "") -> str:
+    """``metrics.mae`` of rows (by, y, pred)."""
+    return f"""SELECT {by}, n, round(avg(abs(pred - y)), 6) AS mae, round(avg(abs(m - y)), 6) AS baseline_mae{more} FROM (SELECT *, avg(y) OVER w AS m, count(*) OVER w AS n FROM ({source}) WINDOW w AS (PARTITION BY {by})) GROUP BY {by}, n"""
+
+
+_TRAIN = "SELECT vec_id AS id, {x} AS x, y FROM vectors WHERE split = 'train'"
+
+
+@query(with_views(_errors_sql("split", "SELECT split, y, list_dot_product(v, w) + r_model.b AS pred FROM vectors, r_model"), "vectors", more=f"train AS ({_TRAIN.format(x='v')}), {fits.ridge('r', 'train', [1.0])}"))
 def ridge_fit(spark, d):
     v = V.vectors(spark, d)
     model = models.fit_ridge(v.where("split = 'train'"), "v", "y")
-    return metrics.mae(v.withColumn("pred", model.predict("v")), ["split"])
+    return _rounded(metrics.mae(v.withColumn("pred", model.predict("v")), ["split"]))
 
 
-@query()
+@query(
+    with_views(
+        _errors_sql("split", "SELECT split, y, list_dot_product(z, w) + b AS pred FROM scaled, r_best", ", (SELECT alpha FROM r_best) AS alpha"),
+        "vectors",
+        more=f"""
+parts AS (SELECT vec_id, split, y, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM vectors),
+scales AS (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS s FROM parts WHERE split = 'train' GROUP BY j),
+scaled AS (SELECT vec_id, split, y, list((x - m) / s ORDER BY j) AS z FROM parts JOIN scales USING (j) GROUP BY ALL),
+train AS (SELECT vec_id AS id, z AS x, y FROM scaled WHERE split = 'train'), {fits.ridge("r", "train", models.ALPHAS)}""",
+    )
+)
 def ridge_loo(spark, d):
     v = V.vectors(spark, d)
     scaler = models.fit_scaler(v.where("split = 'train'"), "v")
     v = v.withColumn("z", scaler.apply("v"))
     model, alpha, _ = models.fit_ridge_loo(v.where("split = 'train'"), "z", "y")
-    return metrics.mae(v.withColumn("pred", model.predict("z")), ["split"]).withColumn("alpha", F.lit(alpha))
+    return _rounded(metrics.mae(v.withColumn("pred", model.predict("z")), ["split"])).withColumn("alpha", F.lit(alpha))
 
 
 _PROBES = 4
 
 
-@query()
+@query(
+    with_views(
+        _errors_sql(
+            "probe",
+            """SELECT 'single' AS probe, any_value(y) AS y, avg(list_dot_product(x, w) + b) AS pred FROM clip_rows, s_best WHERE key % 10 >= 7 GROUP BY key
+            UNION ALL SELECT 'pooled', y, list_dot_product(x, w) + b FROM pooled, p_best WHERE id % 10 >= 7""",
+        ),
+        "vectors",
+        more=f"""
+goals AS (SELECT key, CAST(min(label) * 8 AS DOUBLE) AS y FROM vectors GROUP BY key),
+clip_rows AS (SELECT vec_id AS id, key, v AS x, goals.y FROM vectors JOIN goals USING (key) WHERE vec_id % 6 <> 1),
+pooled AS (SELECT key AS id, y, list(CAST(CAST(m AS FLOAT) AS DOUBLE) ORDER BY j) AS x
+  FROM (SELECT key, y, j, avg(x) AS m FROM (SELECT key, y, unnest(x) AS x, generate_subscripts(x, 1) AS j FROM clip_rows) GROUP BY ALL) GROUP BY key, y),
+s_train AS (SELECT * FROM clip_rows WHERE key % 10 < 7), p_train AS (SELECT * FROM pooled WHERE id % 10 < 7),
+{fits.ridge("s", "s_train", models.ALPHAS)}, {fits.ridge("p", "p_train", models.ALPHAS)}""",
+    )
+)
 def pooled_probe(spark, d):
     """Ridge probes fitted on single clips and on pooled studies, scored on the same studies: (probe, n, mae, baseline_mae)."""
     v = V.vectors(spark, d)
@@ -1006,7 +1046,7 @@ def pooled_probe(spark, d):
     clips = V.clips(spark, d).join(goals, "key")
     out = models.pooled_and_single(clips.where("key % 10 < 7"), clips.where("key % 10 >= 7"), "key", "v", "y")
     told = F.explode(F.array(*[F.struct(F.lit(c).alias("probe"), F.col(c).alias("pred")) for c in ("single", "pooled")]))
-    return metrics.mae(out.select("y", told.alias("t")).select("y", "t.*"), ["probe"])
+    return _rounded(metrics.mae(out.select("y", told.alias("t")).select("y", "t.*"), ["probe"]))
 
 
 @query(
@@ -1052,12 +1092,22 @@ def ridge_one(spark, d):
     return metrics.mae(v.withColumn("pred", model.predict("x")), ["split"]).select("split", "n", F.round("mae", 6).alias("mae"))
 
 
-@query()
+@query(
+    with_views(
+        _errors_sql(
+            "split, condition",
+            """SELECT split, y, unnest(['full', 'b_dropped', 'a_dropped']) AS condition, unnest([of_a + of_b + b, of_a + b, of_b + b]) AS pred
+            FROM (SELECT split, y, r_model.b, list_dot_product(vectors.a, w[:32]) AS of_a, list_dot_product(vectors.b, w[33:]) AS of_b FROM vectors, r_model)""",
+        ),
+        "vectors",
+        more=f"train AS ({_TRAIN.format(x='a || b')}), {fits.ridge('r', 'train', [1.0])}",
+    )
+)
 def fusion_conditions(spark, d):
     v = V.vectors(spark, d)
     model = models.fit_fusion(v.where("split = 'train'"), {"a": "a", "b": "b"}, "y")
     scored = models.score_conditions(v, model, {"a": "a", "b": "b"}, ["vec_id", "split", "y"])
-    return metrics.mae(scored, ["split", "condition"])
+    return _rounded(metrics.mae(scored, ["split", "condition"]))
 
 
 @query()
@@ -1081,17 +1131,31 @@ def multi_target(spark, d):
     return metrics.auroc(scaled.select("split", told.alias("t")).select("split", "t.*"), ["target", "c", "split"])
 
 
-@query()
+@query(
+    with_views(
+        "SELECT vec_id, gate, round(1 / (1 + exp(-(s * a + b))), 6) AS p, false AS in_sample FROM scored, f_model WHERE split = 'test'",
+        "vectors",
+        more=f"""
+scored AS (SELECT vec_id, split, label <= 4 AS gate, list_dot_product(a, {V.WEIGHTS_A}::DOUBLE[]) AS s FROM vectors),
+fit_rows AS (SELECT s, gate::INT AS t FROM scored WHERE split = 'val'), {fits.platt("f", "fit_rows")}""",
+    )
+)
 def platt(spark, d):
     v = V.vectors(spark, d).withColumn("gate", F.col("label") <= 4).withColumn("s", S.weighted("a", V.WEIGHTS_A))
     out = models.platt(v.where("split = 'val'"), v.where("split = 'test'"), "s", "gate")
-    return out.select("vec_id", "gate", "p", "in_sample")
+    return out.select("vec_id", "gate", F.round("p", 6).alias("p"), "in_sample")
 
 
-@query()
+@query(
+    with_views(
+        _errors_sql("probe", " UNION ALL ".join(f"SELECT '{n}' AS probe, y, list_dot_product({x}, w) + {p}_model.b AS pred FROM vectors, {p}_model WHERE split = 'test'" for n, x, p in (("a", "a", "p"), ("b", "vectors.b", "q"), ("concat", "v", "r")))),
+        "vectors",
+        more=", ".join(f"{p}_train AS ({_TRAIN.format(x=x)}), {fits.ridge(p, f'{p}_train', [1.0])}" for x, p in (("a", "p"), ("b", "q"), ("v", "r"))),
+    )
+)
 def probe_comparison(spark, d):
     v = V.vectors(spark, d)
-    return models.compare_probes(v.where("split = 'train'"), v.where("split = 'test'"), {"a": "a", "b": "b"}, "y")
+    return _rounded(models.compare_probes(v.where("split = 'train'"), v.where("split = 'test'"), {"a": "a", "b": "b"}, "y"))
 
 
 # Text --------------------------------------------------------------------------------------------

@@ -138,11 +138,11 @@ _NEEDS = {"predictions": ["examples"], "strata": ["patients"], "clips": ["vector
 
 
 def with_views(body: str, *names: str, more: str = "") -> str:
-    """A query with the views it names in front."""
+    """A query with the views it names in front; ``more`` may hold recursive ones."""
     order: list[str] = []
     for n in names:
         for x in [*_NEEDS.get(n, []), n]:
             if x not in order:
                 order.append(x)
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
-    return f"WITH {ctes}{',' + chr(10) + more if more else ''}\n{body}"
+    return f"WITH RECURSIVE {ctes}{',' + chr(10) + more if more else ''}\n{body}"
