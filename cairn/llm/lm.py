@@ -1,10 +1,11 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
 A token is coded as its class, ten bits that a hash of its ending gives, and its share of the class's
-training tokens. The class's bits are predicted one after another in three contexts: none, the last short
-word, and a hash of the previous word. Each context holds how often either bit followed in the training
+training tokens. The class's bits are predicted one after another in four contexts: none, the last short
+word, and hashes of the previous word and of the one before it. Each context holds how often either bit followed in the training
 texts; their log odds are mixed with weights that a gate on the contexts' evidence selects, learned online
-on documents that the counts for learning leave out. While a text is read, a share of the probability moves to the words it has
+on documents that the counts for learning leave out. A second stage refines the mix: per bit and gate it
+holds how often the bit was set where the mix said so, adapted to the same documents, and the mean of both counts. While a text is read, a share of the probability moves to the words it has
 used already; the share follows the text.
 """
 
@@ -32,7 +33,13 @@ SLICE = 1 << 17
 CHUNK = 1_000_000
 END = b"\n"  # no word: words have no white space
 NO_WORD = 0
+#: Kinds of contexts with a table of their own.
+KINDS = 3
 GATES = 32
+#: Log odds at which the second stage keeps a rate; between two of them it is interpolated.
+RUNGS = np.linspace(-8, 8, 33)
+#: Bits that the mix itself stands for at each rung.
+RUNG_PRIOR = 30.0
 
 
 def properties(word: bytes, context_bits: int = CONTEXT_BITS) -> int:
@@ -52,7 +59,7 @@ class Vocabulary(dict):
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, props: np.ndarray, context_bits: int = CONTEXT_BITS):
-    """(class, last short word, previous word) of each token; ``starts`` marks the first token of each text."""
+    """(class, last short word, previous word, word before that) of each token; ``starts`` marks the first token of each text."""
     packed = props[ids]
     cls = packed & (CLASSES - 1)
     short, before = (packed >> BITS) & ((1 << context_bits) - 1), packed >> (BITS + context_bits)
@@ -60,6 +67,9 @@ def contexts(ids: np.ndarray, starts: np.ndarray, props: np.ndarray, context_bit
     previous = np.zeros(n, np.int64)
     previous[1:] = before[:-1]
     previous[starts] = NO_WORD
+    earlier = np.zeros(n, np.int64)
+    earlier[1:] = previous[:-1]
+    earlier[starts] = NO_WORD
     at = np.arange(n)
     last = np.where(short > 0, at, -1)
     last = np.maximum.accumulate(last)
@@ -67,17 +77,18 @@ def contexts(ids: np.ndarray, starts: np.ndarray, props: np.ndarray, context_bit
     shifted[1:] = last[:-1]
     first = np.maximum.accumulate(np.where(starts, at, 0))
     ctx = np.where(shifted >= first, short[np.maximum(shifted, 0)], NO_WORD)
-    return cls, ctx, previous
+    return cls, ctx, previous, earlier
 
 
 @dataclass
 class Tables:
-    """Log odds of the next class bit and evidence (log2 of the count) per context and node; for no context, the short word and the previous word."""
+    """Log odds of the next class bit and evidence (log2 of the count) per context and node, for no context and each kind of context; mixing weights per gate; rates of the second stage per bit and gate."""
 
     plain: np.ndarray
-    odds: tuple[np.ndarray, np.ndarray]
-    evidence: tuple[np.ndarray, np.ndarray]
+    odds: tuple[np.ndarray, ...]
+    evidence: tuple[np.ndarray, ...]
     weights: np.ndarray
+    rates: np.ndarray
 
 
 def nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,56 +103,76 @@ def nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return zero, one
 
 
-def tables_of(short: np.ndarray, previous: np.ndarray) -> Tables:
+def tables_of(short: np.ndarray, previous: np.ndarray, earlier: np.ndarray) -> Tables:
     zero, one = nodes(previous.sum(0, keepdims=True).astype(np.float64))
     share = (one + 0.4) / (zero + one + 0.8)
     plain = np.log(share / (1 - share))[0].astype(np.float32)
     odds, evidence = [], []
-    for counts in (short, previous):
+    for counts in (short, previous, earlier):
         z, o = nodes(counts.astype(np.float32))
         odds.append((np.log(o + 1.5 * share) - np.log(z + 1.5 * (1 - share))).astype(np.float32).ravel())
         evidence.append(np.minimum(np.log2(z + o + 1) / 1.5, 7).astype(np.uint8).ravel())
-    weights = np.tile(np.array([0.2, 0.4, 0.4], np.float32), (GATES, 1))
-    return Tables(plain, tuple(odds), tuple(evidence), weights)
+    weights = np.tile(np.array([0.2, 0.3, 0.4, 0.1], np.float32), (GATES, 1))
+    return Tables(plain, tuple(odds), tuple(evidence), weights, np.tile(1 / (1 + np.exp(-RUNGS)), (BITS * GATES, 1)))
 
 
-def bit_inputs(tables: Tables, cls, short, previous, depth: int):
-    """The predictors' log odds for one bit of each token, the gate, and the sign of the bit."""
+def bit_inputs(tables: Tables, cls, ctx, depth: int):
+    """The predictors' log odds for one bit of each token, the gate, and whether the bit is set."""
     node = (1 << depth) + (cls >> (BITS - depth))
-    a, b = short * CLASSES + node, previous * CLASSES + node
-    gate = tables.evidence[1][b].astype(np.int64) * 4 + (tables.evidence[0][a] >> 1)
-    sign = ((cls >> (BITS - 1 - depth)) & 1).astype(np.float32) * 2 - 1
-    return tables.plain[node], tables.odds[0][a], tables.odds[1][b], gate, sign
+    at = [c * CLASSES + node for c in ctx]
+    gate = tables.evidence[1][at[1]].astype(np.int64) * 4 + (tables.evidence[0][at[0]] >> 1)
+    bit = (cls >> (BITS - 1 - depth)) & 1 == 1
+    return [tables.plain[node], *[odds[a] for odds, a in zip(tables.odds, at, strict=True)]], gate, bit
 
 
-def class_log_prob(tables: Tables, cls, short, previous) -> np.ndarray:
+def rung_of(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rung below each log odds, and how far it is to the next one (0 to 1)."""
+    place = (np.clip(z, RUNGS[0], RUNGS[-1]) - RUNGS[0]) / (RUNGS[1] - RUNGS[0])
+    low = np.minimum(place.astype(np.int64), len(RUNGS) - 2)
+    return low, place - low
+
+
+def class_log_prob(tables: Tables, cls, *ctx) -> np.ndarray:
     """Natural log of the probability of each token's class."""
     total = np.zeros(len(cls), np.float64)
+    w = tables.weights
     for depth in range(BITS):
-        x0, x1, x2, gate, sign = bit_inputs(tables, cls, short, previous, depth)
-        w = tables.weights
-        z = w[gate, 0] * x0 + w[gate, 1] * x1 + w[gate, 2] * x2
-        total -= np.log1p(np.exp(-np.clip(sign * z, -30, 30)))
+        x, gate, bit = bit_inputs(tables, cls, ctx, depth)
+        z = sum(w[gate, k] * x[k] for k in range(len(x))).astype(np.float64)
+        low, share = rung_of(z)
+        rates = tables.rates[depth * GATES : (depth + 1) * GATES]
+        refined = (1 - share) * rates[gate, low] + share * rates[gate, low + 1]
+        p = (1 / (1 + np.exp(-np.clip(z, -30, 30))) + refined) / 2
+        total += np.log(np.where(bit, p, 1 - p))
     return total
 
 
-def train_weights(tables: Tables, cls, short, previous, *, step: int = 512, rate: float = 0.02) -> np.ndarray:
-    """Online gradient steps over the tokens in order, ``step`` tokens at a time, on each gate's weights; how many bits each gate saw."""
+def train_weights(tables: Tables, cls, *ctx, step: int = 512, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Online gradient steps over the tokens in order, ``step`` tokens at a time, on each gate's weights.
+
+    How many bits each gate saw, and for the second stage how many bits came to each rung and how many of them were set.
+    """
     w, seen = tables.weights, np.zeros(GATES)
+    came, was_set = np.zeros(tables.rates.size), np.zeros(tables.rates.size)
     for at in range(0, len(cls), step):
         part = slice(at, at + step)
         pull = rate / (1 + at / 200_000) ** 0.5
         for depth in range(BITS):
-            x0, x1, x2, gate, sign = bit_inputs(tables, cls[part], short[part], previous[part], depth)
-            x = np.stack([x0, x1, x2], axis=1)
+            x, gate, bit = bit_inputs(tables, cls[part], [c[part] for c in ctx], depth)
+            x = np.stack(x, axis=1)
             z = (w[gate] * x).sum(1)
-            error = (sign > 0) - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            error = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             change, n = np.zeros_like(w), np.bincount(gate, minlength=GATES)
-            for k in range(3):
+            for k in range(x.shape[1]):
                 change[:, k] = np.bincount(gate, weights=error * x[:, k], minlength=GATES)
             w += pull * change / np.sqrt(n + 1)[:, None]
             seen += n
-    return seen
+            low, share = rung_of(z)
+            for i, weight in ((low, 1 - share), (low + 1, share)):
+                i = (depth * GATES + gate) * len(RUNGS) + i
+                np.add.at(came, i, weight)
+                np.add.at(was_set, i, weight * bit)
+    return seen, came, was_set
 
 
 def text_scores(ids, starts, model_p, seen_before, place, *, prior: float = 0.05, weight: float = 20.0) -> np.ndarray:
@@ -225,7 +256,7 @@ def _encoded(docs: DataFrame, kind: str, buckets: int, context_bits: int) -> Dat
     Words are told apart by a 64-bit hash, which also gives the bucket. A chunk's words are numbered by bucket and hash,
     so that the answers of all buckets, one after another, are in the order of the numbers.
     """
-    size = 2 << (BITS + context_bits)
+    size = KINDS << (BITS + context_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -255,14 +286,15 @@ def _encoded(docs: DataFrame, kind: str, buckets: int, context_bits: int) -> Dat
             held, apart = (np.repeat([t[i] for t in texts], sizes) for i in (1, 3))
             starts = np.zeros(len(ids), bool)
             starts[np.cumsum(sizes) - sizes] = True
-            cls, short, previous = contexts(ids, starts, props, context_bits)
+            cls, *kinds = contexts(ids, starts, props, context_bits)
             for side in (0, 1):
                 mine = ~held & (apart == side)
                 if mine.any():
                     if counts[side] is None:
                         counts[side] = np.zeros(size, np.uint32)
-                    for k, ctx in enumerate((short, previous)):
-                        counts[side] += np.bincount(k * (size // 2) + ctx[mine] * CLASSES + cls[mine], minlength=size).astype(np.uint32)
+                    for k, ctx in enumerate(kinds):
+                        own = counts[side][k * (size // KINDS) : (k + 1) * (size // KINDS)]
+                        own += np.bincount(ctx[mine] * CLASSES + cls[mine], minlength=len(own)).astype(np.uint32)
             n = np.bincount(ids[~held], minlength=len(words)).astype(np.uint32)
             yield rows(TEXT, 1, doc_ids=[[t[0] for t in texts]], held=[[t[1] for t in texts]], n_bytes=[[t[4] for t in texts]], blob=[packed(sizes, ids, props)])
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -338,27 +370,37 @@ def _answered(words: DataFrame) -> DataFrame:
     return words.select("chunk", "bucket", "blob").groupBy("bucket").applyInArrow(run, "chunk long, bucket int, blob binary, cls int, n long, v long")
 
 
-def _weights(lessons: DataFrame, tables: Tables, context_bits: int) -> np.ndarray:
-    """The mixing weights: learned online on each chunk's lessons, and averaged over the chunks by the number of bits that each gate saw."""
-    sent = lessons.sparkSession.sparkContext.broadcast((tables.plain, tables.odds, tables.evidence, tables.weights))  # arrays alone, which need no copy of this package to be read
+def _taught(lessons: DataFrame, tables: Tables, context_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mixing weights, learned online on each chunk's lessons and averaged over the chunks by the number of bits that each gate saw, and the rates of the second stage from the sums over all chunks."""
+    sent = lessons.sparkSession.sparkContext.broadcast(arrays_of(tables))  # arrays alone, which need no copy of this package to be read
+    width = KINDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = n = 0
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                own = Tables(*sent.value[:3], sent.value[3].copy())
+                own = Tables(*sent.value)
+                own.weights = own.weights.copy()
                 sizes, ids, props = unpacked(blob)
                 starts = np.zeros(len(ids), bool)
                 starts[np.cumsum(sizes) - sizes] = True
-                seen = train_weights(own, *contexts(ids, starts, props, context_bits))
-                gate = np.repeat(np.arange(GATES), 3)
-                n = np.repeat(seen, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(gate), pa.array(np.tile(np.arange(3), GATES)), pa.array(own.weights.astype(np.float64).ravel() * n), pa.array(n)], names=["gate", "k", "w", "n"])
+                seen, came, was_set = train_weights(own, *contexts(ids, starts, props, context_bits))
+                seen = np.repeat(seen, width)
+                total, n = total + np.r_[own.weights.astype(np.float64).ravel() * seen, was_set], n + np.r_[seen, came]
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(n[at])], names=["i", "w", "n"])
+
+    told = np.r_[tables.weights.astype(np.float64).ravel(), tables.rates.ravel()]
+    prior = np.r_[np.zeros(tables.weights.size), np.full(tables.rates.size, RUNG_PRIOR)]
+    for r in lessons.select("blob").mapInArrow(run, "i long, w double, n double").groupBy("i").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect():  # a row per weight and rate
+        told[r["i"]] = round((r["w"] + prior[r["i"]] * told[r["i"]]) / (r["n"] + prior[r["i"]]), 6)
+    weights, rates = told[: tables.weights.size], np.clip(told[tables.weights.size :], 1e-5, 1 - 1e-5)
+    return weights.reshape(tables.weights.shape).astype(np.float32), rates.reshape(tables.rates.shape)
+
 
-    weights = tables.weights.astype(np.float64)
-    summed = lessons.select("blob").mapInArrow(run, "gate long, k long, w double, n double").groupBy("gate", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    for r in summed.where("n > 0").collect():  # a row per gate and predictor
-        weights[r["gate"], r["k"]] = round(r["w"] / r["n"], 6)
-    return weights.astype(np.float32)
+def arrays_of(t: Tables) -> tuple:
+    return t.plain, t.odds, t.evidence, t.weights, t.rates
 
 
 def learned(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int = 20, context_bits: int = CONTEXT_BITS) -> tuple[Model, DataFrame]:
@@ -372,15 +414,15 @@ def learned(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int
     per_class = answered.where("cls is not null").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toPandas()  # at most CLASSES rows
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     class_n[per_class["cls"]], class_v[per_class["cls"]] = per_class["n"], per_class["v"]
-    size = 2 << (BITS + context_bits)
+    size = KINDS << (BITS + context_bits)
     sums = np.zeros((2, size))
     for r in _added(encoded.where(F.col("kind") == TABLE)).collect():  # at most 2 * size counts
         part = unpacked(r["blob"])[0]
         sums[r["slice"] & 1, (r["slice"] >> 1) * SLICE :][: len(part)] = part
-    shape = (2, 1 << context_bits, CLASSES)
+    shape = (KINDS, 1 << context_bits, CLASSES)
     lesson = tables_of(*sums[0].reshape(shape))  # without the documents that the weights are learned on
     tables = tables_of(*sums.sum(axis=0).reshape(shape))
-    tables.weights = _weights(encoded.where(F.col("kind") == LESSON), lesson, context_bits)
+    tables.weights, tables.rates = _taught(encoded.where(F.col("kind") == LESSON), lesson, context_bits)
     texts = encoded.where(F.col("kind") == TEXT).select("chunk", F.lit(-1).alias("bucket"), "doc_ids", "held", "n_bytes", "blob")
     return Model(tables, class_n, class_v, context_bits), texts.unionByName(answered.where("chunk is not null").select("chunk", "bucket", "blob"), allowMissingColumns=True)
 
@@ -388,7 +430,7 @@ def learned(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int
 def score(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int = 20, context_bits: int = CONTEXT_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every whole text.
 
-    Word and context counts come from all texts outside the held-out fold. The mixing weights are learned in tasks on one in ``apart`` of these
+    Word and context counts come from all texts outside the held-out fold. The mixing weights and the second stage are learned in tasks on one in ``apart`` of these
     documents, all of them whole, from context counts of the others. Context tables have 2 ** ``context_bits`` contexts of each kind,
     so they are sent to the tasks whatever the corpus; word counts are as many as the words and are added up and handed back by shuffles, in
     which a chunk of texts sends each of its words once. A null or empty text has the end token alone; repeated rows are scored
@@ -398,8 +440,7 @@ def score(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, apart: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     model, chunks = learned(docs, modulus=modulus, held_out=held_out, apart=apart, context_bits=context_bits)
     total_n = int(model.class_n.sum())
-    t = model.tables
-    sent = docs.sparkSession.sparkContext.broadcast(((t.plain, t.odds, t.evidence, t.weights), model.class_n, model.class_v, model.context_bits))
+    sent = docs.sparkSession.sparkContext.broadcast((arrays_of(model.tables), model.class_n, model.class_v, model.context_bits))
 
     def run(rows: pa.Table) -> pa.Table:
         tables, *rest = sent.value

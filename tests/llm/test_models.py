@@ -1,5 +1,6 @@
 """Search, WARC, main text and language-model scores against brute force, round trips and held-out data."""
 
+import bisect
 import hashlib
 import html as stdlib_html
 import itertools
@@ -343,21 +344,22 @@ def brute_scores(rows, model, apart=20):
     class_of = lambda w: zlib.crc32(w if len(w) <= 4 else b"~" + w[-3:]) & 1023
 
     def walk(t):
-        short = previous = 0
+        short = previous = earlier = 0
         for w in tokens(t):
-            yield w, class_of(w), short, previous
+            yield w, class_of(w), (short, previous, earlier)
+            earlier = previous
             previous, own = context(w)
             short = own or short
 
-    words, nodes = Counter(), [Counter(), Counter(), Counter()]
+    words, nodes = Counter(), [Counter() for _ in range(4)]
     for r in rows:
         if fold(r["doc_id"]) != 1:
-            for w, cls, short, previous in walk(r["text"]):
+            for w, cls, ctx in walk(r["text"]):
                 words[w] += 1
                 for depth in range(10):
                     node, bit = (1 << depth) + (cls >> (10 - depth)), cls >> (9 - depth) & 1
-                    for k, ctx in enumerate((0, short, previous)):
-                        nodes[k][ctx, node, bit] += 1
+                    for k, c in enumerate((0, *ctx)):
+                        nodes[k][c, node, bit] += 1
     in_class, kinds = Counter(), Counter()
     for w, n in words.items():
         in_class[class_of(w)] += n
@@ -365,20 +367,25 @@ def brute_scores(rows, model, apart=20):
     out = []
     for r in rows:
         total, seen, guesses = 0.0, Counter(), 0.0
-        for place, (w, cls, short, previous) in enumerate(walk(r["text"])):
+        for place, (w, cls, ctx) in enumerate(walk(r["text"])):
             p = (words[w] + 0.5) / (in_class[cls] + 0.5 * (kinds[cls] + 1))
             for depth in range(10):
                 node, bit = (1 << depth) + (cls >> (10 - depth)), cls >> (9 - depth) & 1
                 z0, z1 = nodes[0][0, node, 0], nodes[0][0, node, 1]
                 share = (z1 + 0.4) / (z0 + z1 + 0.8)
                 x, evidence = [math.log(share / (1 - share))], []
-                for k, ctx in ((1, short), (2, previous)):
-                    a, b = nodes[k][ctx, node, 0], nodes[k][ctx, node, 1]
+                for k, c in enumerate(ctx, 1):
+                    a, b = nodes[k][c, node, 0], nodes[k][c, node, 1]
                     x.append(math.log(b + 1.5 * share) - math.log(a + 1.5 * (1 - share)))
                     evidence.append(min(int(math.log2(a + b + 1) / 1.5), 7))
-                weights = model.tables.weights[evidence[1] * 4 + (evidence[0] >> 1)]
-                z = sum(float(u) * v for u, v in zip(weights, x, strict=True))
-                p /= 1 + math.exp(-z if bit else z)
+                gate = evidence[1] * 4 + (evidence[0] >> 1)
+                z = sum(float(u) * v for u, v in zip(model.tables.weights[gate], x, strict=True))
+                rungs = [k / 2 for k in range(-16, 17)]
+                below = min(bisect.bisect_right(rungs, max(-8, min(8, z))) - 1, 31)
+                part = (max(-8, min(8, z)) - rungs[below]) / 0.5
+                rates = model.tables.rates[depth * 32 + gate]
+                one = (1 / (1 + math.exp(-z)) + (1 - part) * rates[below] + part * rates[below + 1]) / 2
+                p *= one if bit else 1 - one
             own = seen[w] / max(place, 1)
             share = (0.05 * 20 + guesses) / (20 + place) if place else 0.0
             total += math.log10((1 - share) * p + share * own)
@@ -394,7 +401,8 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     docs = docs.unionByName(spark.createDataFrame([(None, "a b"), (10_002, None), (10_003, "é É the the the")], "doc_id long, text string")).repartition(3).cache()
     rows = docs.collect()
     model, _ = lm.learned(docs, apart=4)
-    assert not np.allclose(model.tables.weights, [0.2, 0.4, 0.4])  # something was learned
+    assert not np.allclose(model.tables.weights, [0.2, 0.3, 0.4, 0.1])  # something was learned
+    assert not np.allclose(model.tables.rates, 1 / (1 + np.exp(-lm.RUNGS)))
     got = {(r["doc_id"], round(r["score"], 3)) for r in lm.score(docs, apart=4).collect()}
     for (doc, want), (_, told) in zip(sorted(brute_scores(rows, model), key=str), sorted(got, key=str), strict=True):
         assert told == pytest.approx(want, rel=1e-4, abs=2e-3), doc
@@ -406,15 +414,30 @@ def test_lm_of_an_empty_table(spark):
 
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    short, previous = rng.integers(0, 3, (2048, lm.CLASSES)), rng.integers(0, 3, (2048, lm.CLASSES))
-    tables = lm.tables_of(short, previous)
+    tables = lm.tables_of(*rng.integers(0, 3, (3, 2048, lm.CLASSES)))
+    tables.rates = rng.uniform(0.01, 0.99, tables.rates.shape)
     every = np.arange(lm.CLASSES)
-    for a, b in ((0, 0), (5, 900), (2047, 1)):
-        p = np.exp(lm.class_log_prob(tables, every, np.full_like(every, a), np.full_like(every, b)))
+    for ctx in ((0, 0, 0), (5, 900, 3), (2047, 1, 2047)):
+        p = np.exp(lm.class_log_prob(tables, every, *[np.full_like(every, c) for c in ctx]))
         assert p.sum() == pytest.approx(1, abs=1e-4)
     assert lm.occurrences(np.array([1, 1, 2, 1, 1]), np.array([0, 0, 0, 1, 1])).tolist() == [0, 1, 0, 0, 1]
 
 
+def test_second_stage_counts_bits_and_contexts_stay_in_their_text():
+    rng = np.random.default_rng(1)
+    tables = lm.tables_of(*rng.integers(0, 3, (3, 2048, lm.CLASSES)))
+    cls, *ctx = rng.integers(0, lm.CLASSES, (4, 3000))
+    seen, came, was_set = lm.train_weights(tables, cls, *ctx)
+    assert came.sum() == pytest.approx(30_000) and seen.sum() == 30_000
+    bits = np.array([(cls >> (9 - d) & 1).sum() for d in range(10)])
+    np.testing.assert_allclose(was_set.reshape(10, -1).sum(1), bits)
+    words = [b"abcdef", b"x", b"uvwxyz", b"abcdef", b"yy", b"uvwxyz"]
+    props = np.array([lm.properties(w) for w in words])
+    before = props >> (lm.BITS + lm.CONTEXT_BITS)
+    _, _, previous, earlier = lm.contexts(np.arange(6), np.array([True, False, False, True, False, False]), props)
+    assert previous.tolist() == [0, before[0], before[1], 0, before[3], before[4]] and earlier.tolist() == [0, 0, before[0], 0, 0, before[3]]
+
+
 def test_token_probabilities_sum_to_one():
     """Known words, and one place per class for the unknown."""
     model = np.array([0.5, 0.3, 0.2])
