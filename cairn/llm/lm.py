@@ -132,8 +132,13 @@ def rung_of(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def class_log_prob(tables: Tables, cls, *ctx) -> np.ndarray:
-    """Natural log of the probability of each token's class."""
+def class_log_prob(tables: Tables, cls, *ctx, span: int = 1 << 15) -> np.ndarray:
+    """Natural log of the probability of each token's class, ``span`` tokens at a time, so that the inputs of few bits are held at once."""
+    parts = [slice(at, at + span) for at in range(0, len(cls), span)]
+    return np.concatenate([np.zeros(0), *[_log_prob(tables, cls[part], [c[part] for c in ctx]) for part in parts]])
+
+
+def _log_prob(tables: Tables, cls, ctx) -> np.ndarray:
     total = np.zeros(len(cls), np.float64)
     w = tables.weights
     for depth in range(BITS):
