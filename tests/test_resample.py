@@ -1,7 +1,9 @@
 """Multinomial resampling: its law, its sums against brute force from the same weights, and nulls."""
 
+import hashlib
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,3 +96,29 @@ def test_intervals_agree_with_the_exact_draws(spark):
     for c in ("auroc_lo", "auroc_hi"):
         assert abs(a[c] - b[c]) < 0.004
     assert a["auroc_replicates"] == 400 and metrics.bootstrap_ci(df.limit(0), ["gate"], b=5).collect() == []
+
+
+def word(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
+
+
+@pytest.mark.parametrize("picks", [40, 1 << 21])
+def test_exact_draws_are_counted_by_number_once_per_size(spark, monkeypatch, picks):
+    monkeypatch.setattr(resample, "PICKS", picks)
+    rows = [(g, i, float(i)) for g, n in (("a", 57), (None, 57), ("c", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    sizes = spark.createDataFrame([(57,), (3,)], "_n long")
+    assert resample.drawn_weights(sizes, 4, 9).count() == 60  # groups of one size share their draws
+    got = {(r["g"], r["k"]): list(r["weights"]) for r in metrics.drawn(df, ["g"], "k", 4, 9).collect()}
+    for g, n in (("a", 57), (None, 57), ("c", 3)):
+        own = sorted(range(n), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())
+        for r in range(4):
+            times = Counter(own[word(f"9:{r}:{j}") % n] for j in range(n))
+            assert [got[g, i][r] for i in range(n)] == [times[i] for i in range(n)]
+
+
+def test_paired_delta_finds_its_draws_once(spark):
+    df = spark.range(200).selectExpr("id AS example_id", "cast(id % 80 AS double) AS y", "id % 80 < 40 AS gate", "cast(id % 70 AS double) AS a", "cast(id % 60 AS double) AS c")
+    out = metrics.paired_delta(df, [], pred_a="a", pred_b="c", b=5)
+    # what follows the sums per replicate and score does not see a draw again
+    assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["auroc_replicates"] == 5
