@@ -122,3 +122,18 @@ def test_paired_delta_finds_its_draws_once(spark):
     out = metrics.paired_delta(df, [], pred_a="a", pred_b="c", b=5)
     # what follows the sums per replicate and score does not see a draw again
     assert "md5" not in out._jdf.queryExecution().optimizedPlan().toString() and out.first()["auroc_replicates"] == 5
+
+
+def test_poisson_weights_hash_a_key_once(spark):
+    df = spark.createDataFrame([(k, c) for k in [*range(30), None] for c in "ab"], "example_id long, c string").selectExpr("*", "1D AS y", "2D AS pred", "true AS gate")
+    got = metrics.poisson(df, "example_id", 6, 42)
+    assert got.count() == 62
+    term, steps = 0.36787944117144233, [0.0]
+    for k in range(1, 12):
+        steps.append(steps[-1] + term)
+        term /= k
+    for r in got.collect():
+        u = [word(f"42:{i}" + ("" if r["example_id"] is None else f":{r['example_id']}")) / 2**48 for i in range(6)]
+        assert list(r["weights"]) == [sum(x >= t for t in steps[1:]) for x in u]
+    # a test of the weight above the hashes would hash once per step
+    assert "md5" not in metrics._replicates(got)._jdf.queryExecution().optimizedPlan().toString()
