@@ -137,3 +137,13 @@ def test_poisson_weights_hash_a_key_once(spark):
         assert list(r["weights"]) == [sum(x >= t for t in steps[1:]) for x in u]
     # a test of the weight above the hashes would hash once per step
     assert "md5" not in metrics._replicates(got)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_several_metrics_share_their_draws(spark):
+    df = spark.range(120).selectExpr("id AS example_id", "id % 3 = 0 AS gate", "cast(id % 50 AS double) / 50 AS p", "cast(id % 50 AS double) AS score")
+    given = {"brier": lambda rows, keys, w: metrics.brier(rows, keys, weight=w), "average_precision": lambda rows, keys, w: metrics.average_precision(rows, keys, weight=w)}
+    both = {r["metric"]: (r["lo"], r["hi"]) for r in metrics.bootstrap_metrics(df, [], given, b=8).collect()}
+    for name, f in given.items():
+        r = metrics.bootstrap_metric(df, [], f, name, b=8).first()
+        assert both[name] == pytest.approx((r["lo"], r["hi"]))
+    assert "md5" not in metrics.bootstrap_metrics(df, [], given, b=8)._jdf.queryExecution().optimizedPlan().toString()
