@@ -97,3 +97,30 @@ def test_pooled_and_single_probes(spark):
     for k, r in got.items():
         assert r["y"] == pytest.approx(clips[k][1])
         assert r["single"] == pytest.approx(one(np.array(clips[k][0])).mean(), abs=1e-5) and r["pooled"] == pytest.approx(float(mean(np.mean(clips[k][0], 0))), abs=1e-5)
+
+
+def test_the_sql_of_id_digests_is_the_tree_of_digests(spark, tmp_path):
+    import duckdb
+
+    from cairn.plans import queries
+
+    path = str(tmp_path / "orders.parquet")
+    spark.range(230_000).selectExpr("CASE WHEN id % 23 = 0 THEN 'P' ELSE 'O' END AS o_orderstatus", "nullif(id, 7) AS o_custkey").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    told = {r[0]: r[1:] for r in con.sql(queries.ORACLES["id_fingerprint"]).fetchall()}
+    assert told["O"][0] == 219_999 and {r["split"]: (r["n"], r["sha256"]) for r in queries.id_fingerprint(spark, str(tmp_path)).collect()} == told
+
+
+def test_attention_of_many_tokens_grows_with_their_number(spark):
+    import time
+
+    df = spark.range(60).selectExpr("id", "transform(sequence(1, 192), i -> array(cast(i * id % 7 AS double), 1D)) AS t")
+    out = pooling.attention_spread(pooling.attentive_pool(df, "t", [0.5, 0.25]), "weights")
+    began = time.perf_counter()
+    r = out.first()
+    assert time.perf_counter() - began < 20  # minutes, if a lambda finds its constants anew for each element
+    t = np.array([[[i * k % 7, 1.0] for i in range(1, 193)] for k in range(60)])
+    e = np.exp(t @ [0.5, 0.25] / 2**0.5)
+    w = e / e.sum(1, keepdims=True)
+    assert r["max_range"] == pytest.approx(np.ptp(w, axis=1).max()) and r["mean_std"] == pytest.approx(w.std(1).mean())
