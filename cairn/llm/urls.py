@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ RULES = (
 )
 #: Stated rules up to this many are compared in one expression; more are joined by host.
 MOST_RULES = 512
-#: Tokens of a url that take part in mining, the rarest of its frequent ones: so many give up to 2 ** 14 combinations.
+#: Where no labelled url has more frequent tokens than this, FP-growth counts all combinations, up to 2 ** 14 of a url; else ``_free_sets`` counts those that a rule can come from.
 MOST_ITEMS = 14
 #: Labelled urls that a mined rule rests on at least.
 MIN_COUNT = 10
@@ -88,18 +90,54 @@ def heads(labelled: DataFrame, least: float) -> DataFrame:
 
 
 def _baskets(labelled: DataFrame, kept: DataFrame) -> DataFrame:
-    """(items): the frequent tokens of each labelled url, as their heads, and its verdict."""
+    """(verdict, t): the frequent tokens of each labelled url, all of them, as their heads, and its verdict."""
     rows = labelled.withColumn("row", F.monotonically_increasing_id())
-    items = rows.select("row", F.explode("tokens").alias("token")).join(kept.where("token = head").select("token", "n"), "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    items = rows.select("row", "verdict").join(items, "row", "left").select("verdict", F.transform(F.slice(F.coalesce("t", F.array().cast("array<struct<n:bigint,token:string>>")), 1, MOST_ITEMS), lambda x: x["token"]).alias("t"))
-    return items.select(F.array_append("t", F.concat(F.lit("v:"), "verdict")).alias("items"))
+    items = rows.select("row", F.explode("tokens").alias("token")).join(kept.where("token = head").select("token"), "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    return rows.select("row", "verdict").join(items, "row", "left").select("verdict", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+
+
+def _all_sets(baskets: DataFrame, share: float, partitions: int) -> DataFrame:
+    """(items, verdict, both, all): all token combinations with a frequent verdict, and those with it and in all, by FP-growth."""
+    rows = baskets.select(F.array_append("t", F.concat(F.lit("v:"), "verdict")).alias("items"))
+    found = cut(FPGrowth(itemsCol="items", minSupport=share, **({"numPartitions": partitions} if partitions else {})).fit(rows).freqItemsets)
+    verdicts = found.select("freq", F.filter("items", lambda x: x.startswith("v:")).alias("v"), F.array_sort(F.filter("items", lambda x: ~x.startswith("v:"))).alias("items")).where(F.size("items") > 0)
+    both = verdicts.where(F.size("v") == 1).select("items", F.expr("substring(v[0], 3)").alias("verdict"), F.col("freq").alias("both"))
+    return both.join(verdicts.where(F.size("v") == 0).select("items", F.col("freq").alias("all")), "items")
+
+
+def _free_sets(baskets: DataFrame, least: float) -> DataFrame:
+    """(items, verdict, both, all) as ``_all_sets``, without combinations whose rules a shorter one replaces anyway: of urls of any length, level by level.
+
+    A combination in as many urls as a part of it has the part's rules. One that only one verdict has is surest, so that
+    none longer beats it. Neither is made longer, nor is one in fewer than ``least`` urls of each verdict. Equal urls are counted, not repeated.
+    """
+    rows = cut(baskets.groupBy("t", "verdict").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.monotonically_increasing_id()))
+    seen = rows.select("b", "verdict", "n", F.array().cast("array<string>").alias("head"), F.explode("t").alias("last"))
+    levels, grown, k = [], None, 1
+    while True:
+        told = seen.groupBy("head", "last", "verdict").agg(F.sum("n").alias("both")).groupBy("head", "last").agg(F.sum("both").alias("all"), F.collect_list(F.struct("verdict", "both")).alias("told"))
+        told = told.where(F.array_max(F.transform("told", lambda x: x["both"])) >= least).select("head", "last", F.concat("head", F.array("last")).alias("items"), "all", "told")
+        if grown is not None:
+            parts = told.select("items", "all", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")).join(grown.select(F.col("items").alias("part"), F.col("all").alias("more")), "part")
+            free = parts.where(F.col("more") > F.col("all")).groupBy("items").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == k).select("items")
+            told = told.join(free, "items")
+        told = cut(told)
+        levels.append(told)
+        grown = told.where(F.size("told") > 1)
+        if grown.isEmpty():
+            break
+        own = cut(seen.join(grown.select("head", "last"), ["head", "last"]))
+        pairs = own.join(own.select("b", "head", F.col("last").alias("next")), ["b", "head"]).where(F.col("last") < F.col("next"))
+        seen, k = pairs.select("b", "verdict", "n", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")), k + 1
+    found = reduce(DataFrame.unionByName, levels).select("items", "all", F.explode("told").alias("x")).select("items", "x.verdict", "x.both", "all")
+    return found.where(F.col("both") >= least)
 
 
 def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = MIN_COUNT, min_confidence: float = 0.9, min_lift: float = 1.05, partitions: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(items, verdict, confidence, support, n): token combinations that tell the verdict; and the heads of the frequent tokens (see ``heads``), which the items are.
+    """(items, verdict, confidence, support, n): token combinations that tell the verdict, of all frequent tokens of a url; and the heads of the frequent tokens (see ``heads``), which the items are.
 
     ``labelled`` has tokens (array<string>) and verdict ('block' or 'allow'; rows without one are left out). FP-growth over
-    the tokens that reach the support and the verdict; the support is a share of the labelled urls, and never fewer than ``min_count`` of them; rules with enough support and confidence that beat the verdict's own share by
+    the tokens that reach the support and the verdict, or for long urls ``_free_sets``, with the same rules; the support is a share of the labelled urls, and never fewer than ``min_count`` of them; rules with enough support and confidence that beat the verdict's own share by
     ``min_lift`` stay, and of two rules with the same verdict, one with a subset of the other's tokens and
     at least its confidence replaces the longer.
     """
@@ -112,13 +150,12 @@ def mine(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = MI
     kept = cut(heads(labelled, least))
     baskets = cut(_baskets(labelled, kept))
     # a hair below, so that a count of just the least is not lost to rounding
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 1e-6) / total)), minConfidence=min_confidence, **({"numPartitions": partitions} if partitions else {})).fit(baskets)
-    found = cut(model.freqItemsets)
-    verdicts = found.select("freq", F.filter("items", lambda x: x.startswith("v:")).alias("v"), F.array_sort(F.filter("items", lambda x: ~x.startswith("v:"))).alias("items"))
-    both = verdicts.where((F.size("v") == 1) & (F.size("items") > 0)).select("items", F.expr("substring(v[0], 3)").alias("verdict"), F.col("freq").alias("both"))
-    alone = verdicts.where((F.size("v") == 0) & (F.size("items") > 0)).select("items", F.col("freq").alias("all"))
-    share = verdicts.where((F.size("v") == 1) & (F.size("items") == 0)).select(F.expr("substring(v[0], 3)").alias("verdict"), (F.col("freq") / total).alias("share"))
-    rules = both.join(alone, "items").join(share, "verdict").withColumn("confidence", F.col("both") / F.col("all"))
+    if (baskets.agg(F.max(F.size("t"))).first()[0] or 0) <= MOST_ITEMS:
+        both = _all_sets(baskets, min(1.0, max(0.0, (least - 1e-6) / total)), partitions)
+    else:
+        both = _free_sets(baskets, least - 1e-6)
+    share = baskets.groupBy("verdict").agg((F.count(F.lit(1)) / total).alias("share"))
+    rules = both.join(share, "verdict").withColumn("confidence", F.col("both") / F.col("all"))
     rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= F.least(F.lit(1.0), min_lift * F.col("share"))))
     rules = cut(rules.select("items", "verdict", "confidence", (F.col("both") / total).alias("support"), F.size("items").alias("n")))
     # a longer rule goes if one with fewer of its tokens says the same at least as surely; matched by the index too

@@ -195,3 +195,21 @@ def test_columns_of_clashing_names_change_nothing(spark, tmp_path):
 
     for plain, of in ((pages, urls.filter_urls), (pages, lambda df: html.extract(df, model)), (pages, lambda df: html.extract(df, html.learn(df))), (pages, archived), (talks, lambda df: chat.read_back(chat.formatted(df)))):
         assert sorted(map(str, of(with_names(plain)).collect())) == sorted(map(str, of(plain).collect()))
+
+
+def test_all_frequent_tokens_of_long_urls_are_mined(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):  # the token that tells is the commonest, behind sixteen rarer ones
+        bad = i % 4 > 0
+        rows.append(([f"q:{k}" for k in range(16) if rng.random() < 0.5] + ["s:other"] + ["p1:bad"] * bad + ["p2:odd"] * (bad == (rng.random() < 0.9)), "block" if bad else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    told = {}
+    for most in (14, 99):
+        monkeypatch.setattr(urls, "MOST_ITEMS", most)
+        rules, _ = urls.mine(df, min_support=0.05, min_confidence=0.8)
+        told[most] = sorted((tuple(sorted(r["items"])), r["verdict"], round(r["confidence"], 9), round(r["support"], 9), r["n"]) for r in rules.collect())
+    assert told[14] == told[99] and any(len(r[0]) > 1 for r in told[14])
+    assert (("p1:bad",), "block", 1.0, 0.75, 1) in told[14]
