@@ -147,3 +147,18 @@ def test_several_metrics_share_their_draws(spark):
         r = metrics.bootstrap_metric(df, [], f, name, b=8).first()
         assert both[name] == pytest.approx((r["lo"], r["hi"]))
     assert "md5" not in metrics.bootstrap_metrics(df, [], given, b=8)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_are_alike_are_drawn_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(resample, "RUN", 16)
+    df = spark.range(6000).selectExpr("id AS example_id", "CASE WHEN id % 7 > 0 THEN 'a' END AS g", "cast(id * id % 11 AS double) AS y", "CASE WHEN id % 13 > 0 THEN cast(id % 5 AS double) END AS pred", "id % 3 = 0 AS gate")
+    sums, _ = resample.resampled_sums(df, ["g"], key="example_id", y="y", pred="pred", gate="gate", b=300, seed=1)
+    assert sums.select("_g", "run").distinct().count() < 6000 // 16 // 2  # runs of cells, not of rows
+    told = [{(r["g"], r["replicate"]): (r["mae"], r["auroc"]) for r in resample.bootstrap(df, ["g"], b=300).collect()} for _ in range(2)]
+    assert told[0] == told[1] and len(told[0]) == 600
+    monkeypatch.setattr(resample, "ALIKE", float("inf"))
+    plain = {(r["g"], r["replicate"]): (r["mae"], r["auroc"]) for r in resample.bootstrap(df, ["g"], b=300).collect()}
+    for g in ("a", None):
+        for m in (0, 1):
+            new, old = (np.array([v[m] for k, v in t.items() if k[0] == g]) for t in (told[0], plain))
+            assert abs(new.mean() - old.mean()) < 5 * old.std() / np.sqrt(150) and 0.8 < new.std() / old.std() < 1.25
