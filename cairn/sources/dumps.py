@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.operators import splits
+from cairn.sources import shared
 
 #: The arrays of a condition, by name, and the types of their elements.
 FIELDS = {"y": "double", "pred": "double", "gate": "boolean"}
@@ -24,7 +25,7 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
     ranges = raw.groupBy("file", "range").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("k"))
     before = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
     ranges = ranges.select("file", "range", "first", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
-    return raw.join(ranges, ["file", "range"]).select("file", (F.col("base") + F.col("n") - F.col("first")).alias("at"), "token")
+    return raw.join(F.broadcast(ranges), ["file", "range"]).select("file", (F.col("base") + F.col("n") - F.col("first")).alias("at"), "token")
 
 
 def _arrays(tokens: DataFrame) -> DataFrame:
@@ -53,20 +54,25 @@ def read_dumps(spark: SparkSession, path: str, conditions: list[str], fields: di
     """
     fields = fields or FIELDS
     tokens = _tokens(spark, path)
-    arrays = _arrays(tokens).where(F.col("condition").isin(conditions) & F.col("field").isin(*fields))
+    marks = shared.cut(_arrays(tokens))  # few rows per file, found once for the checks and the cells
+    arrays = marks.where(F.col("condition").isin(conditions) & F.col("field").isin(*fields))
     told = arrays.groupBy("file").agg(F.count_distinct("condition", "field").alias("n"), (F.count_if(F.col("hi").isNull() | F.col("nested")) + F.count(F.lit(1)) - F.count_distinct("condition", "field")).alias("open"))
     lengths = arrays.groupBy("file", "condition").agg(F.array_sort(F.collect_list(F.struct("field", (F.col("hi") - F.col("lo") + 1).alias("n")))).alias("l"))
-    files = tokens.select("file").distinct().join(told, "file", "left")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where("length > 0").select(F.col("_metadata.file_path").alias("file")).join(told, "file", "left")
     if bad := files.where(F.coalesce("open", F.lit(0)) > 0).select("file").first():
         raise ValueError(f"{bad['file']}: arrays inside arrays")
     if bad := files.where(F.coalesce("n", F.lit(0)) < len(conditions) * len(fields)).select("file").first():
         raise ValueError(f"{bad['file']}: no predictions for some of {conditions} and {list(fields)}")
     if bad := lengths.where(F.size(F.array_distinct(F.transform("l", lambda x: x["n"]))) > 1).first():
         raise ValueError(f"{bad['file']}: arrays of {bad['condition']} have lengths {[tuple(x) for x in bad['l']]}")
-    own = arrays.select(F.col("file").alias("f"), "condition", "field", "lo", "hi")  # few rows per file
+    # the arrays of a file's condition by one number, so that few bytes go with each cell
+    slots = arrays.select("file", "condition").distinct().withColumn("slot", F.row_number().over(W.orderBy("file", "condition")))
+    own = arrays.join(slots, ["file", "condition"]).select(F.col("file").alias("f"), "slot", "field", "lo", "hi")
     value = F.trim(F.regexp_replace("token", r'^[^\[]*\[|\].*$|"', ""))
-    cells = tokens.join(own, (F.col("file") == F.col("f")) & F.col("at").between(F.col("lo"), F.col("hi"))).select("file", "condition", (F.col("at") - F.col("lo")).alias("position"), "field", F.when(value != "null", value).alias("v"))
-    return cells.groupBy("file", "condition", "position").agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).cast(kind).alias(f) for f, kind in fields.items()])
+    cells = tokens.join(F.broadcast(own), (F.col("file") == F.col("f")) & F.col("at").between(F.col("lo"), F.col("hi"))).select("slot", (F.col("at") - F.col("lo")).alias("position"), "field", F.when(value != "null", value).alias("v"))
+    # values of their own types fit a hash table, as texts do not
+    rows = cells.groupBy("slot", "position").agg(*[F.max(F.when(F.col("field") == f, F.col("v")).cast(kind)).alias(f) for f, kind in fields.items()])
+    return rows.join(F.broadcast(slots), "slot").select("file", "condition", "position", *fields)
 
 
 def write_dumps(df: DataFrame, path: str, *, condition: str = "condition", key: str = "example_id", fields: list[str] = ("y", "pred", "gate"), conditions: list[str], rows: int = FILE_ROWS) -> None:
@@ -78,7 +84,7 @@ def write_dumps(df: DataFrame, path: str, *, condition: str = "condition", key:
     buckets = max(1, -(-n // rows))
     names = [key, *fields]
     bucket = F.pmod(F.conv(F.substring(splits.shuffled(key, 0), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    lists = df.groupBy(bucket.alias("bucket"), F.col(condition).alias("condition")).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("l"))
+    lists = df.groupBy(bucket.alias("bucket"), F.col(condition).alias("condition")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("l"))
     empty = F.struct(*[F.array().cast(f"array<{df.schema[f].dataType.simpleString()}>").alias(f) for f in names])
     one = lambda c: F.coalesce(F.max(F.when(F.col("condition") == c, F.struct(*[F.col("l")[f].alias(f) for f in names]))), empty).alias(c)
     body = lists.groupBy("bucket").agg(*[one(c) for c in conditions])

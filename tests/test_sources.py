@@ -129,3 +129,11 @@ def test_profile_without_expand(spark):
     assert {r["column"]: tuple(r)[1:] for r in out.collect()} == {"k": (3, 0, 2, 1), "v": (3, 2, 2, 1), "e": (3, 1, 2, 1), "f": (3, 0, 2, 1)}
     assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r)[1:] for r in tables.profile(df.limit(0), ["k", "v"]).collect()} == {(0, 0, 0, 0)}
+
+
+def test_reading_dumps_scans_the_files_twice_at_the_end(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({c: {"y": [1.5, None], "pred": [2, 3], "gate": [True, None]} for c in ("a", "b")}))
+    out = dumps.read_dumps(spark, str(tmp_path), ["a", "b"])
+    assert sorted((r["condition"], r["position"], r["y"], r["pred"], r["gate"]) for r in out.collect()) == [(c, i, *v) for c in "ab" for i, v in enumerate([(1.5, 2.0, True), (None, 3.0, None)])]
+    # once for the counts of the ranges, once for the cells; where the arrays lie is known by then
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
