@@ -162,3 +162,40 @@ def test_rows_that_are_alike_are_drawn_by_their_number(spark, monkeypatch):
         for m in (0, 1):
             new, old = (np.array([v[m] for k, v in t.items() if k[0] == g]) for t in (told[0], plain))
             assert abs(new.mean() - old.mean()) < 5 * old.std() / np.sqrt(150) and 0.8 < new.std() / old.std() < 1.25
+
+
+def test_hashed_numbers_equal_md5():
+    for first in (b"42:7:", b"-1:999:", b"7:0:", b"123456:10:", b"9" * 47 + b":", b"9" * 48 + b":", b"9" * 60 + b":"):
+        for lo, hi in ((0, 12_345), (98_765, 111_111), (8_999_990, 9_000_600), (9_999_000, 10_001_000), (5, 6)):
+            got = np.concatenate(list(resample.hashed_numbers(first, lo, hi)))
+            assert len(got) == hi - lo
+            for j in {lo, hi - 1, (lo + hi) // 2, min(hi - 1, max(lo, 9_999)), min(hi - 1, max(lo, 10_000)), *np.random.default_rng(lo).integers(lo, hi, 40).tolist()}:
+                assert got[j - lo] == word(first.decode() + str(j))
+
+
+@pytest.mark.parametrize("limits", [{}, {"WIDTH": 8, "PICKS": 40}, {"WIDTH": 8, "PICKS": 20, "DENSE": 10}, {"WIDTH": 1, "PICKS": 7, "DENSE": 1}])
+def test_rows_that_are_alike_have_the_sum_of_their_weights(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(resample, name, value)
+    rows = [(g, i, None if i % 5 == 0 else float(i % 3)) for g, n in (("a", 57), (None, 57), ("c", 3), *((f"x{k}", 9) for k in range(12))) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    want, got = Counter(), Counter()
+    for r in metrics.drawn(df, ["g"], "k", 6, 9).collect():
+        want.update({(r["g"], r["v"], i): w for i, w in enumerate(r["weights"])})
+    told = metrics._drawn_sums(df, ["g"], "k", 6, 9).collect()
+    for r in told:
+        got.update({(r["g"], r["v"], r["_first"] + i): w for i, w in enumerate(r["weights"])})
+    assert +want == +got and sum(want.values()) == 6 * len(rows)
+    if not limits:
+        assert len(told) == 4 * 15 - 1  # "c" has three rows
+
+
+def test_weights_are_never_sent_to_the_driver(spark):
+    df = spark.range(3000).selectExpr("id AS example_id", "id % 3 AS g", "cast(id % 70 AS double) AS y")
+    for by in ([], ["g"]):
+        plan = metrics.drawn(df, by, "example_id", 20, 7)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [_n" in plan and "BroadcastHashJoin [_n" not in plan
+        # here draws are in no join; the one broadcast is that of the sizes
+        plan = metrics._drawn_sums(df, by, "example_id", 20, 7)._jdf.queryExecution().sparkPlan().toString()
+        above, _, below = plan.partition("MapInArrow summed")
+        assert below and "Join" not in above and "Join" not in below.partition("MapInArrow picked")[2]
