@@ -199,3 +199,28 @@ def test_weights_are_never_sent_to_the_driver(spark):
         plan = metrics._drawn_sums(df, by, "example_id", 20, 7)._jdf.queryExecution().sparkPlan().toString()
         above, _, below = plan.partition("MapInArrow summed")
         assert below and "Join" not in above and "Join" not in below.partition("MapInArrow picked")[2]
+
+
+def test_paired_delta_equals_brute_force_from_its_weights(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i % 3 else None, None if i % 17 == 0 else float(rng.integers(0, 20)), *(None if rng.random() < 0.1 else float(rng.integers(0, 9)) for _ in "ab"), [True, False, None][rng.integers(0, 3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "example_id long, g string, y double, a double, c double, gate boolean")
+    drawn = metrics.drawn(df, ["g"], "example_id", 8, 3).collect()
+    for got in metrics.paired_delta(df, ["g"], pred_a="a", pred_b="c", b=8, seed=3).collect():
+        own, deltas = [r for r in drawn if r["g"] == got["g"]], []
+        for rep in range(8):
+            weights = [r["weights"][rep] for r in own]
+            known = [(abs(r["a"] - r["y"]) - abs(r["c"] - r["y"]), w) for r, w in zip(own, weights, strict=True) if None not in (r["a"], r["c"], r["y"])]
+            areas = [brute([(r["y"], r[p], r["gate"]) for r in own], weights)[1] for p in "ac"]
+            deltas.append((sum(d * w for d, w in known) / sum(w for _, w in known), areas[0] - areas[1]))
+        for i, m in enumerate(("d_mae", "d_auroc")):
+            assert (got[f"{m}_lo"], got[f"{m}_hi"]) == pytest.approx(tuple(np.percentile([d[i] for d in deltas], (2.5, 97.5))))
+        assert got["auroc_replicates"] == 8
+
+
+def test_bootstrap_metrics_takes_a_thousand_replicates(spark):
+    from cairn.plans import queries
+
+    rows = queries.QUERIES["bootstrap_metrics"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 6 and all(r["replicates"] + r["discarded"] == 1000 for r in rows)
+    assert "range(1000)" in queries.ORACLES["bootstrap_metrics"] and "range(20)" in queries.ORACLES["bootstrap_ci"]
