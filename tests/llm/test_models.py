@@ -449,3 +449,15 @@ def test_token_probabilities_sum_to_one():
         seen = lm.occurrences(text, np.zeros(4, int))
         total += 10 ** lm.text_scores(text, starts, model[text], seen, np.arange(4))[-1]
     assert total == pytest.approx(1)
+
+
+def test_search_keeps_all_cores_at_work(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 10)
+    docs = spark.range(0, 120, 1, 1).selectExpr("id AS doc_id", "concat('aa b', id % 7, ' c', id % 11) AS text")  # one partition
+    dealt = []
+    own = type(docs).repartitionById
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, by: dealt.append(own(self, n, by)) or dealt[-1])
+    rows = search.search(docs, docs.where("doc_id % 20 = 0"), k=3).collect()
+    parts = dealt[0].select(F.spark_partition_id().alias("p"), "group", "shard").where("shard is not null").distinct().collect()
+    assert len(rows) == 18 and len({r["p"] for r in parts}) == len({r["group"] for r in parts}) == 4 and len(parts) == 12
+    assert {sum(r["p"] == p for r in parts) for p in range(4)} == {3}
